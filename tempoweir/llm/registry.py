@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tempoweir.llm import url_filter
+from tempoweir.llm import substring_dedup, url_filter
 
-MODULES = [url_filter]
+MODULES = [url_filter, substring_dedup]
 
 
 def queries():
