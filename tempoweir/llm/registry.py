@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tempoweir.llm import license_scan, quality_pu, substring_dedup, url_filter
+from tempoweir.llm import embedding_dedup, license_scan, quality_pu, substring_dedup, url_filter
 
-MODULES = [url_filter, substring_dedup, quality_pu, license_scan]
+MODULES = [url_filter, substring_dedup, quality_pu, license_scan, embedding_dedup]
 
 
 def queries():
