@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tempoweir.llm import embedding_dedup, jaccard_join, license_scan, quality_pu, substring_dedup, url_filter
+from tempoweir.llm import embedding_dedup, jaccard_join, license_scan, pfair_mix, quality_pu, substring_dedup, url_filter
 
-MODULES = [url_filter, substring_dedup, quality_pu, license_scan, embedding_dedup, jaccard_join]
+MODULES = [url_filter, substring_dedup, quality_pu, license_scan, embedding_dedup, jaccard_join, pfair_mix]
 
 
 def queries():
