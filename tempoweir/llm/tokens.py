@@ -16,7 +16,6 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,6 +30,14 @@ LOWER[0x41:0x5B] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """Lower-cased bytes of ASCII and of the two-byte Latin-1 letters."""
+    out = LOWER[data]
+    capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[1:][capital] += 32
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Splitmix64 finaliser."""
     with np.errstate(over="ignore"):
@@ -85,8 +92,8 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(column, kind: np.ndarray = NOT_SPACE, fold: np.ndarray = SAME, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Words of each text, chunk by chunk."""
+def words(column, kind: np.ndarray = NOT_SPACE, fold=SAME, chunk: int = CHUNK_BYTES) -> Iterator[Words]:
+    """Words of each text, chunk by chunk; fold: a table of bytes, or a function of them."""
     data, offsets = buffers(column)
     n, lo = len(offsets) - 1, 0
     while lo < n:
@@ -107,7 +114,7 @@ def _words(lo, hi, data, offsets, kind, fold) -> Words:
     power, inverse = _powers(size + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTES[fold[data]] * power[:size], out=sums[1:])
+        np.cumsum(_BYTES[fold(data) if callable(fold) else fold[data]] * power[:size], out=sums[1:])
         hashes = (sums[ends] - sums[starts]) * inverse[starts]
         hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     doc = np.searchsorted(offsets, starts, "right") - 1
