@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tempoweir.llm import embedding_dedup, jaccard_join, license_scan, pfair_mix, quality_pu, substring_dedup, template_decontam, url_filter, warc_zip
+from tempoweir.llm import embedding_dedup, jaccard_join, license_scan, pfair_mix, pii_surrogates, quality_pu, substring_dedup, template_decontam, url_filter, warc_zip
 
-MODULES = [url_filter, substring_dedup, quality_pu, license_scan, embedding_dedup, jaccard_join, pfair_mix, template_decontam, warc_zip]
+MODULES = [url_filter, substring_dedup, quality_pu, license_scan, embedding_dedup, jaccard_join, pfair_mix, template_decontam, warc_zip, pii_surrogates]
 
 
 def queries():
