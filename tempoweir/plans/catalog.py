@@ -1,15 +1,391 @@
-"""Registry of the engine's queries and their SQL counterparts."""
+"""Registry of the engine's queries over the driver's tables and their SQL counterparts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempoweir.functions import helpers
+from tempoweir.operators import analysis, keyed, latency, market, stats
+from tempoweir.operators.stats import Span
+from tempoweir.sources.ticks import from_table, nanos
+from tempoweir.stream import Stream, bounded
+
+HOUR, DAY = 3_600 * 10**9, 86_400 * 10**9
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: Events as a stream keyed by type (k) or by user; values have two decimals.
+E = "e AS (SELECT event_type AS k, epoch_us(ts) * 1000 AS t, event_id AS seq, value AS v FROM events)"
+U = "e AS (SELECT user_id AS k, epoch_us(ts) * 1000 AS t, event_id AS seq, value AS v FROM events)"
+UN = U + ", n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, seq) AS rn FROM e)"
+
+
+def events(spark: SparkSession, sf: str, key: str | None = "event_type") -> Stream:
+    df = spark.read.parquet(f"{sf}/events.parquet").withColumn("t", nanos(F.col("ts")))
+    if key:
+        df = df.withColumn("k", F.col(key))
+    return from_table(df, "t", "value", ["k"] if key else [], "event_id", 0.0)
+
+
+def daily(spark: SparkSession, sf: str, table: str, time: str, value: str, key: str) -> Stream:
+    """A stream of one value for each key and day: the sum over the day's rows."""
+    df = spark.read.parquet(f"{sf}/{table}.parquet").withColumn("t", nanos(F.col(time))).withColumn("k", F.col(key))
+    return from_table(df.groupBy("k", "t").agg(F.sum(F.col(value).cast("decimal(20,2)")).cast("double").alias("v")), "t", "v", ["k"], None, 0.0)
+
+
+def add(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            # ties of binary fractions round up on both sides
+            ORACLE[name] = sql.replace(", 6)", " + 1e-9, 6)").replace(", 4)", " + 1e-7, 4)")
+        return f
+
+    return put
+
+
+def rounded(c, digits: int = 6):
+    """Rounded half up, with a nudge that outweighs the order of summation."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + (1e-9 if digits == 6 else 1e-7), digits)
+
+
+def out(s: Stream | DataFrame, v=None) -> DataFrame:
+    df = s.df if isinstance(s, Stream) else s
+    keys = [c for c in ("k", "child") if c in df.columns]
+    value = F.col("v") if v is None else v
+    if v is None and dict(df.dtypes)["v"] == "double":
+        value = rounded("v")
+    return df.select(*keys, "t", value.alias("v"))
+
+
+# ---- row-local
+add("map", f"WITH {E} SELECT k, t, round(v * 2 + 1, 6) AS v FROM e")(lambda s, d: out(events(s, d).map(lambda v: v * 2 + 1)))
+add("map_n", f"WITH {E} SELECT k, t, round(v + 5, 6) AS v FROM e")(lambda s, d: out(events(s, d).map_n(5, lambda v: v + 1)))
+add("try_map", f"WITH {E} SELECT k, t, round(sqrt(v), 6) AS v FROM e")(lambda s, d: out(events(s, d).try_map(F.sqrt, lambda v: v < 0, "negative value")))
+add("map_filter", f"WITH {E} SELECT k, t, round(v / 10, 6) AS v FROM e WHERE v > 20")(lambda s, d: out(events(s, d).map_filter(lambda v: (v / 10, v > 20))))
+add("try_map_filter", f"WITH {E} SELECT k, t, round(v / 10, 6) AS v FROM e WHERE v > 40")(lambda s, d: out(events(s, d).try_map_filter(lambda v: (v / 10, v > 40), lambda v: v < 0)))
+add("filter_value", f"WITH {E} SELECT k, t, v FROM e WHERE v >= 50")(lambda s, d: out(events(s, d).filter_value(lambda v: v >= 50)))
+add("filter_none", f"WITH {E} SELECT k, t, CASE WHEN v > 10 THEN v END AS v FROM e WHERE v > 10")(lambda s, d: out(events(s, d).map(lambda v: F.when(v > 10, v)).filter_none()))
+add("not", f"WITH {E} SELECT k, t, NOT (v > 30) AS v FROM e")(lambda s, d: out(events(s, d).map(lambda v: v > 30).not_()))
+add("with_time", f"WITH {E} SELECT k, t, t AS time, v FROM e")(lambda s, d: events(s, d).with_time().df.select("k", "t", F.col("v.time").alias("time"), F.col("v.value").alias("v")))
+add("split", f"WITH {E} SELECT k, t, round(v + 1, 6) AS v FROM e")(lambda s, d: out(events(s, d).map(lambda v: F.struct(v.alias("a"), (v + 1).alias("b"))).split("a", "b")[1]))
+add("ticked_at", f"WITH {E} SELECT k, t, t AS v FROM e")(lambda s, d: out(events(s, d).ticked_at()))
+add("ticked_at_elapsed", f"WITH {E} SELECT k, t, t - 1704067200000000000 AS v FROM e")(lambda s, d: out(events(s, d).ticked_at_elapsed(1704067200000000000)))
+add("collapse", f"WITH {E} SELECT k, t, v + 2 AS v FROM e WHERE v > 25")(lambda s, d: out(events(s, d).map(lambda v: F.when(v > 25, F.array(v, v + 1, v + 2)).otherwise(F.slice(F.array(v), 1, 0))).collapse()))
+add("fan", f"WITH {E} SELECT k, t, CASE WHEN v > 60 THEN v ELSE v * 2 END AS v FROM e")(
+    lambda s, d: out(events(s, d).fan(2, lambda x, i: x.filter_value(lambda v: v > 60) if i == 0 else x.map(lambda v: v * 2)))
+)
+
+# ---- fixed frames
+O = "OVER (PARTITION BY k ORDER BY t, seq)"  # noqa: E741
+add("distinct", f"WITH {E}, b AS (SELECT k, t, seq, cast(floor(v / 40) AS bigint) AS v FROM e), l AS (SELECT *, lag(v) {O} AS p, row_number() {O} AS n FROM b) SELECT k, t, v FROM l WHERE n = 1 OR v IS DISTINCT FROM p")(
+    lambda s, d: out(events(s, d).map(lambda v: F.floor(v / 40)).distinct())
+)
+add("difference", f"WITH {E}, l AS (SELECT *, lag(v) {O} AS p FROM e) SELECT k, t, round(v - p, 6) AS v FROM l WHERE p IS NOT NULL")(lambda s, d: out(events(s, d).difference()))
+add("pairwise", f"WITH {E}, l AS (SELECT *, lag(v) {O} AS p FROM e) SELECT k, t, p AS prev, v FROM l WHERE p IS NOT NULL")(
+    lambda s, d: events(s, d).pairwise().df.select("k", "t", F.col("v.prev").alias("prev"), F.col("v.cur").alias("v"))
+)
+add("take_while", f"WITH {U}, l AS (SELECT *, min(cast(v < 100 AS int)) OVER (PARTITION BY k ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS ok FROM e) SELECT k, t, v FROM l WHERE ok = 1")(
+    lambda s, d: out(events(s, d, "user_id").take_while(lambda v: v < 100))
+)
+add("limit", f"WITH {UN} SELECT k, t, v FROM n WHERE rn <= 5")(lambda s, d: out(events(s, d, "user_id").limit(5)))
+add("skip", f"WITH {UN} SELECT k, t, v FROM n WHERE rn > 5")(lambda s, d: out(events(s, d, "user_id").skip(5)))
+add("count", f"WITH {E} SELECT k, t, row_number() {O} AS v FROM e")(lambda s, d: out(events(s, d).count()))
+add("accumulate", f"WITH {UN} SELECT k, t, rn AS n, round(sum(v) OVER (PARTITION BY k ORDER BY rn), 6) AS v FROM n")(
+    lambda s, d: events(s, d, "user_id").accumulate().df.select("k", "t", F.size("v").cast("long").alias("n"), rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("v"))
+)
+add("window", f"""WITH {E}, g AS (SELECT k, t // {DAY} AS w, list(v ORDER BY t, seq) AS l, min(t) AS a FROM e GROUP BY 1, 2),
+x AS (SELECT *, lead(a) OVER (PARTITION BY k ORDER BY w) AS t FROM g) SELECT k, t, len(l) AS n, round(list_sum(l), 6) AS v, l[1] AS first FROM x WHERE t IS NOT NULL""")(
+    lambda s, d: events(s, d).window(DAY).df.select("k", "t", F.size("v").cast("long").alias("n"), rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("v"), F.get("v", F.lit(0)).alias("first"))
+)
+add("buffer", f"WITH {UN} SELECT k, max(t) AS t, round(sum(v), 6) AS v, max_by(v, rn) AS last FROM n GROUP BY k, (rn - 1) // 10 HAVING count(*) = 10")(
+    lambda s, d: events(s, d, "user_id").buffer(10).df.select("k", "t", rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("v"), F.element_at("v", -1).alias("last"))
+)
+
+# ---- statistics: three spans, weighted by count or time
+SPANS = {
+    "rolling": (Span.count(10), "ORDER BY t, seq ROWS BETWEEN 9 PRECEDING AND {end}"),
+    "cumulative": (Span.unbounded(), "ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND {end}"),
+    "time_windowed": (Span.nanos(6 * HOUR), f"ORDER BY t RANGE BETWEEN {6 * HOUR} PRECEDING AND {{end}}"),
+}
+AGGREGATE = {"sum": "sum(v)", "mean": "avg(v)", "min": "min(v)", "max": "max(v)", "var": "var_samp(v)", "std": "stddev_samp(v)", "median": "quantile_cont(v, 0.5)"}
+
+
+def _register_statistics() -> None:
+    for span_name, (span, frame) in SPANS.items():
+        for stat, agg in AGGREGATE.items():
+            over = f"{agg} OVER (PARTITION BY k {frame.format(end='CURRENT ROW')})"
+            over = f"coalesce({over}, 0)" if stat in ("var", "std") else over
+            source, key = (U, "user_id") if stat == "median" and span_name == "cumulative" else (E, "event_type")
+            add(f"{span_name}_{stat}", f"WITH {source} SELECT k, t, round({over}, 6) AS v FROM e")(lambda s, d, n=stat, w=span, k=key: out(events(s, d, k).stat(n, w)))
+        end = "1 PRECEDING"
+        frame = frame.format(end=end)
+        base = f"WITH {E}, d AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY k ORDER BY t, seq) - t, 0)::double AS dt, v - first_value(v) OVER (PARTITION BY k ORDER BY t, seq) AS x FROM e), m AS (SELECT *, nullif(sum(dt) OVER f, 0) AS w, sum(x * dt) OVER f AS xw, sum(x * x * dt) OVER f AS xxw FROM d WINDOW f AS (PARTITION BY k {frame}))"
+        var = "greatest(coalesce(xxw / w - (xw / w) * (xw / w), 0), 0)"
+        for stat, sql in {"mean": "coalesce(xw / w + v - x, v)", "var": var, "std": f"sqrt({var})"}.items():
+            digits = 4 if stat != "mean" else 6
+            add(f"{span_name}_{stat}_time_weighted", f"{base} SELECT k, t, round({sql}, {digits}) AS v FROM m")(
+                lambda s, d, n=stat, w=span, r=digits: out(events(s, d).stat(n, w, True), rounded("v", r))
+            )
+        keep = {"rolling": "b.rn > a.rn - 10", "cumulative": "true", "time_windowed": f"a.t - b.t <= {6 * HOUR}"}[span_name]
+        median = f"""WITH {UN}, d AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY k ORDER BY rn) - t, 0) AS dt FROM n),
+p AS (SELECT a.k, a.t, a.rn, a.v AS cur, b.v, b.dt, sum(b.dt) OVER (PARTITION BY a.k, a.rn ORDER BY b.v, b.rn) AS c, sum(b.dt) OVER (PARTITION BY a.k, a.rn) AS w
+      FROM d a LEFT JOIN d b ON a.k = b.k AND b.rn < a.rn AND {keep} AND b.dt > 0),
+q AS (SELECT *, lead(v) OVER (PARTITION BY k, rn ORDER BY c) AS nx FROM p)
+SELECT k, t, round(coalesce(arg_min(CASE WHEN 2 * c = w THEN (v + nx) / 2 ELSE v END, c) FILTER (WHERE 2 * c >= w), any_value(cur)), 6) AS v FROM q GROUP BY k, t, rn"""
+        add(f"{span_name}_median_time_weighted", median)(lambda s, d, w=span: out(events(s, d, "user_id").median(w, True)))
+
+
+_register_statistics()
+add("prefix_statistics", f"WITH {E} SELECT k, t, count(*) OVER f AS count, round(sum(v) OVER f, 6) AS sum, round(avg(v) OVER f, 6) AS mean, min(v) OVER f AS min, max(v) OVER f AS max FROM e WINDOW f AS (PARTITION BY k ORDER BY t, seq ROWS UNBOUNDED PRECEDING)")(
+    lambda s, d: stats.prefix_statistics(events(s, d).df, ["k"], ["count", "sum", "mean", "min", "max"], chunk_ns=DAY).select("k", "t", "count", rounded("sum").alias("sum"), rounded("mean").alias("mean"), "min", "max")
+)
+
+# ---- path-dependent, against recursive SQL
+
+
+def _recursive(start: str, step: str, emit: str = "true", cols: str = "v") -> str:
+    """Fold over each key's rows; ``acc`` is the state after row rn."""
+    return f"WITH RECURSIVE {UN}, r AS (SELECT k, rn, t, v, {start} FROM n WHERE rn = 1 UNION ALL SELECT n.k, n.rn, n.t, n.v, {step} FROM r JOIN n ON n.k = r.k AND n.rn = r.rn + 1) SELECT k, t, {cols} FROM r WHERE {emit}"
+
+
+add("ewma_per_tick", _recursive("v AS acc", "r.acc + 0.2 * (n.v - r.acc)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").ewma_per_tick(0.2)))
+add("ewma_half_life", _recursive("v AS acc", f"r.acc + (1 - pow(2.0, -(n.t - r.t)::double / {6 * HOUR})) * (n.v - r.acc)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").ewma_half_life(6 * HOUR)))
+add("ewma", _recursive("v AS acc", "r.acc + 0.5 * (n.v - r.acc)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").ewma_per_tick(0.5)))
+add("throttle", _recursive("t AS last, true AS e", f"CASE WHEN n.t - r.last >= {DAY} THEN n.t ELSE r.last END, n.t - r.last >= {DAY}", "e"))(lambda s, d: out(events(s, d, "user_id").throttle(DAY)))
+add("drop_small_change", _recursive("v AS last, true AS e", "CASE WHEN abs(n.v - r.last) < 15 THEN r.last ELSE n.v END, NOT abs(n.v - r.last) < 15", "e"))(
+    lambda s, d: out(events(s, d, "user_id").drop_small_change(lambda a, b: abs(a - b) < 15))
+)
+add("fold", _recursive("greatest(v, 0) AS acc", "greatest(n.v, r.acc * 0.5)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").fold(0.0, lambda a, v: max(v, a * 0.5), "double")))
+add("scan", _recursive("v AS acc", "r.acc * 0.9 + n.v", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").scan(0.0, lambda a, v: a * 0.9 + v, "double")))
+add("reduce", _recursive("v AS acc", "least(r.acc + 1, n.v)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").reduce(lambda a, v: min(a + 1, v))))
+add("feedback", f"WITH {E}, b AS (SELECT * FROM e WHERE v > 95) SELECT k, t + i AS t, round(v * pow(2, i), 6) AS v FROM b, range(4) r(i)")(
+    lambda s, d: out(events(s, d).filter_value(lambda v: v > 95).feedback(1.0, lambda x: x * 2, 4))
+)
+
+# ---- several streams: purchases (a) beside clicks (b) and views (c) of all users by hour of value
+A = "a AS (SELECT l_returnflag AS k, epoch_us(l_shipdate) * 1000 AS t, sum(l_quantity::decimal(20,2))::double AS v FROM lineitem GROUP BY 1, 2)"
+B = "b AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS k, epoch_us(o_orderdate) * 1000 AS t, sum(o_totalprice::decimal(20,2))::double AS v FROM orders GROUP BY 1, 2)"
+C = f"c AS (SELECT k, t, v FROM a WHERE (t // {DAY}) % 3 = 0)"
+HELD = f"""WITH {A}, {B}, {C},
+ts AS (SELECT k, t FROM a UNION SELECT k, t FROM b),
+h AS (SELECT ts.k, ts.t, a.v AS av, a.t AS a_t, b.v AS bv, b.t AS b_t, c.v AS cv FROM ts
+      ASOF LEFT JOIN a ON ts.k = a.k AND ts.t >= a.t ASOF LEFT JOIN b ON ts.k = b.k AND ts.t >= b.t ASOF LEFT JOIN c ON ts.k = c.k AND ts.t >= c.t)"""
+
+
+def two(spark: SparkSession, sf: str) -> tuple[Stream, Stream]:
+    orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("t", nanos(F.col("o_orderdate")))
+    orders = orders.withColumn("k", F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R"))
+    b = from_table(orders.groupBy("k", "t").agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("v")), "t", "v", ["k"], None, 0.0)
+    return daily(spark, sf, "lineitem", "l_shipdate", "l_quantity", "l_returnflag"), b
+
+
+def third(a: Stream) -> Stream:
+    """Every third day of ``a``."""
+    return Stream(a.df.where(F.floor(F.col("t") / DAY) % 3 == 0), a.keys, 0.0)
+
+
+def _two(f):
+    return lambda s, d: out(f(*two(s, d)))
+
+
+add("join", f"{HELD} SELECT k, t, round(coalesce(av, 0) + coalesce(bv, 0), 6) AS v FROM h")(_two(lambda a, b: a.join(b, lambda x, y: x + y)))
+add("try_join", f"{HELD} SELECT k, t, round(coalesce(av, 0) - coalesce(bv, 0), 6) AS v FROM h")(_two(lambda a, b: a.try_join(b, lambda x, y: x - y, lambda x, y: x < 0)))
+add("join_passive", f"{HELD} SELECT k, t, round(coalesce(av, 0) + coalesce(bv, 0), 6) AS v FROM h WHERE a_t = t")(_two(lambda a, b: a.join_passive(b, lambda x, y: x + y)))
+add("bimap", f"{HELD} SELECT k, t, round(coalesce(av, 0) * 2 + coalesce(bv, 0), 6) AS v FROM h WHERE b_t = t")(_two(lambda a, b: a.bimap(b, lambda x, y: x * 2 + y, (False, True))))
+add("join3", f"{HELD} SELECT k, t, round(coalesce(av, 0) + coalesce(bv, 0) + coalesce(cv, 0), 6) AS v FROM h")(_two(lambda a, b: a.join3(b, third(a), lambda x, y, z: x + y + z)))
+add("trimap", f"{HELD} SELECT k, t, round(coalesce(av, 0) + coalesce(bv, 0) + coalesce(cv, 0), 6) AS v FROM h WHERE b_t = t")(_two(lambda a, b: a.trimap(b, third(a), lambda x, y, z: x + y + z, (False, True, False))))
+add("filter", f"{HELD} SELECT k, t, av AS v FROM h WHERE av IS NOT NULL AND coalesce(bv, 0) > 100000")(_two(lambda a, b: a.filter(b.map(lambda v: v > 100000, False))))
+add("sample", f"{HELD} SELECT k, t, coalesce(av, 0) AS v FROM h WHERE b_t = t")(_two(lambda a, b: a.sample(b)))
+add("merge", f"WITH {A}, {B} SELECT k, t, v FROM a UNION ALL SELECT k, t, v FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k = b.k AND a.t = b.t)")(_two(lambda a, b: a.merge(b)))
+add("merge_n", f"WITH {A}, {B}, {C}, u AS (SELECT k, t, v, 0 AS s FROM c UNION ALL SELECT k, t, v, 1 FROM b UNION ALL SELECT k, t, v, 2 FROM a) SELECT k, t, arg_min(v, s) AS v FROM u GROUP BY k, t")(
+    _two(lambda a, b: Stream.merge_all([third(a), b, a]))
+)
+add("combine", f"WITH {A}, {B}, u AS (SELECT k, t, v, 0 AS s FROM a UNION ALL SELECT k, t, v, 1 FROM b) SELECT k, t, count(*) AS n, arg_min(v, s) AS first, arg_max(v, s) AS last FROM u GROUP BY k, t")(
+    lambda s, d: Stream.combine(list(two(s, d))).df.select("k", "t", F.size("v").cast("long").alias("n"), F.get("v", F.lit(0)).alias("first"), F.element_at("v", -1).alias("last"))
+)
+add("build_dataframe", f"WITH {A}, {B} SELECT coalesce(a.k, b.k) AS k, coalesce(a.t, b.t) AS t, a.v AS quantity, b.v AS price FROM a FULL JOIN b ON a.k = b.k AND a.t = b.t")(
+    lambda s, d: Stream.build_dataframe(dict(zip(("quantity", "price"), two(s, d), strict=True)))
+)
+add("delay", f"WITH {E} SELECT k, t + {HOUR} AS t, v FROM e")(lambda s, d: out(events(s, d).delay(HOUR)))
+add("delay_with_reset", f"""WITH {A}, {B},
+w AS (SELECT k, t + {2 * DAY} AS t, v FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = a.k AND b.t BETWEEN a.t AND a.t + {2 * DAY}))
+SELECT k, t, v FROM w UNION ALL SELECT b.k, b.t, coalesce(a.v, 0) FROM b ASOF LEFT JOIN a ON a.k = b.k AND b.t >= a.t""")(_two(lambda a, b: a.delay_with_reset(2 * DAY, b)))
+
+# ---- bounds of a run, keys, latency
+add("run_cycles", f"WITH {E}, c AS (SELECT max(t) AS t FROM (SELECT DISTINCT t FROM e ORDER BY t LIMIT 500)) SELECT e.k, e.t, e.v FROM e, c WHERE e.t <= c.t")(lambda s, d: out(bounded([events(s, d)], cycles=500)[0]))
+add("run_duration", f"WITH {E}, c AS (SELECT max(t) AS t FROM (SELECT DISTINCT t FROM e WHERE t >= 1704067200000000000 + {DAY} ORDER BY t LIMIT 2)) SELECT e.k, e.t, e.v FROM e, c WHERE e.t <= c.t")(
+    lambda s, d: out(bounded([events(s, d)], start=1704067200000000000, duration=DAY)[0])
+)
+add("demux", f"WITH {E} SELECT k, CASE WHEN v < 60 THEN cast(floor(v / 20) AS int) ELSE 3 END AS child, t, v FROM e")(lambda s, d: out(events(s, d).demux(3, lambda v: F.floor(v / 20))))
+add("dynamic_group", f"WITH {U}, l AS (SELECT k, min(t) + {DAY} AS a, min(t) + {5 * DAY} AS z FROM e GROUP BY k) SELECT e.k, e.t, e.v FROM e JOIN l ON l.k = e.k WHERE e.t >= l.a AND e.t < l.z")(
+    lambda s, d: out(
+        keyed.dynamic_group(
+            events(s, d, "user_id").df,
+            events(s, d, "user_id").df.groupBy("k").agg((F.min("t") + DAY).alias("added"), (F.min("t") + 5 * DAY).alias("removed")),
+            "k",
+        )
+    )
+)
+
+
+@add("demux_map")
+def demux_map(spark: SparkSession, sf: str) -> DataFrame:
+    rows = events(spark, sf, "user_id").df.select("t", "seq", F.col("k").alias("item"), (F.col("v") > 60).alias("close"))
+    return keyed.demux_map(rows, 16)
+
+
+def _stamps(spark: SparkSession, sf: str) -> DataFrame:
+    base = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("k"), nanos(F.col("ts")).alias("produce"), F.col("event_id").alias("i"), F.round(F.col("value") * 100).cast("long").alias("c"))
+    return base.withColumns({"publish": F.col("produce") + F.col("c"), "receive": F.col("produce") + F.when(F.col("i") % 7 == 0, F.col("c")).otherwise(F.col("c") * 2 - 500), "ack": F.when(F.col("i") % 11 == 0, 0).otherwise(F.col("produce") + F.col("c") * 3)})
+
+
+_LATENCY = """WITH s AS (SELECT event_type AS k, epoch_us(ts) * 1000 AS produce, event_id AS i, cast(round(value * 100) AS bigint) AS c FROM events),
+x AS (SELECT k, produce, produce + c AS publish, produce + CASE WHEN i % 7 = 0 THEN c ELSE c * 2 - 500 END AS receive, CASE WHEN i % 11 = 0 THEN 0 ELSE produce + c * 3 END AS ack FROM s),
+h AS (SELECT k, 'produce->publish' AS hop, produce AS a, publish AS b FROM x UNION ALL SELECT k, 'publish->receive', publish, receive FROM x UNION ALL SELECT k, 'receive->ack', receive, ack FROM x),
+m AS (SELECT *, CASE WHEN a <> 0 AND b <> 0 AND b >= a THEN b - a END AS ns FROM h)
+SELECT k, hop, count(ns) AS n, min(ns) AS min_ns, round(avg(ns), 6) AS mean_ns, round(quantile_cont(ns::double, 0.5), 6) AS p50_ns, round(quantile_cont(ns::double, 0.99), 6) AS p99_ns,
+ round(quantile_cont(ns::double, 0.999), 6) AS p999_ns, max(ns) AS max_ns, count(*) FILTER (WHERE a <> 0 AND a = b) AS same_instant, count(*) FILTER (WHERE a <> 0 AND b <> 0 AND b < a) AS backwards,
+ count(*) FILTER (WHERE a = 0 OR b = 0) AS unstamped FROM m GROUP BY k, hop"""
+
+
+@add("latency_report", _LATENCY)
+def latency_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = latency.latency_report(_stamps(spark, sf), ["produce", "publish", "receive", "ack"], ["k"])
+    return rows.withColumns({c: rounded(c) for c in ("mean_ns", "p50_ns", "p99_ns", "p999_ns")})
+
+
+# ---- market data
+
+
+def book_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Updates made of lineitem: parts are instruments, a row a level change, every 64th a snapshot."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    from pyspark.sql import Window as W
+
+    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(38,9)")
+    rows = items.select(
+        F.col("l_returnflag").alias("venue"), F.concat(F.lit("S"), F.col("l_partkey") % 20).alias("symbol"), nanos(F.col("l_shipdate")).alias("t"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_linenumber") % 2 == 0, "bid").otherwise("ask").alias("side"), price.alias("price"),
+        F.when(F.col("l_linenumber") == 5, 0).otherwise(F.col("l_quantity")).cast("decimal(38,9)").alias("qty"),
+    )
+    n = F.row_number().over(W.partitionBy("venue", "symbol").orderBy("t", "seq", "price"))
+    rows = rows.withColumn("n", n.cast("long")).withColumn("kind", F.when(F.col("n") % 64 == 1, "snapshot").otherwise("delta"))
+    level = F.array(F.struct("price", "qty"))
+    none = F.slice(level, 1, 0)
+    snap = F.col("kind") == "snapshot"
+    return rows.select(
+        "venue", "symbol", "t", "seq", "kind", F.col("n").alias("first"), F.col("n").alias("last"),
+        F.when(snap & (F.col("side") == "bid"), level).otherwise(none).alias("bids"), F.when(snap & (F.col("side") == "ask"), level).otherwise(none).alias("asks"),
+        F.when(~snap, F.array(F.struct("side", "price", "qty"))).alias("changes"),
+    )
+
+
+def _touch(book: DataFrame) -> DataFrame:
+    return book.select(
+        "venue", "symbol", "t", "seq", "status", rounded(market.mid()).alias("mid"), market.spread().cast("double").alias("spread"), rounded(market.microprice()).alias("microprice"),
+        F.size(market.depth("bids", 5)).alias("bid_depth"), market.level_count("asks").alias("ask_levels"),
+    )
+
+
+add("order_book")(lambda s, d: _touch(market.order_book(book_updates(s, d))))
+add("order_book_bursts")(lambda s, d: _touch(market.order_book_bursts(book_updates(s, d))))
+
+
+def _market_events(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet").select(nanos(F.col("ts")).alias("t"), F.col("event_id").alias("seq"), "event_type", "value")
+    trade = F.col("event_type").isin("purchase", "signup")
+    return e.select("t", "seq", F.when(trade, "trade").otherwise("book").alias("kind"), F.when(trade, F.struct(F.col("event_type").alias("symbol"), F.col("value").alias("price"))).alias("trade"),
+                    F.when(~trade, F.struct(F.col("event_type").alias("symbol"), F.col("value").alias("level"))).alias("book"))
+
+
+add("market_trades", "SELECT epoch_us(ts) * 1000 AS t, event_id AS seq, event_type AS symbol, value AS price FROM events WHERE event_type IN ('purchase', 'signup')")(lambda s, d: market.trades(_market_events(s, d)))
+add("market_book_updates", "SELECT epoch_us(ts) * 1000 AS t, event_id AS seq, event_type AS symbol, value AS level FROM events WHERE event_type NOT IN ('purchase', 'signup')")(lambda s, d: market.book_updates(_market_events(s, d)))
+
+
+def _bursts(spark: SparkSession, sf: str) -> DataFrame:
+    e = _market_events(spark, sf).withColumn("t", F.floor(F.col("t") / HOUR) * HOUR)
+    return e.groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "kind", "trade", "book"))), lambda x: F.struct(x["kind"].alias("kind"), x["trade"].alias("trade"), x["book"].alias("book"))).alias("v"))
+
+
+def _burst_sql(kind: str, value: str) -> str:
+    return f"SELECT epoch_us(ts) * 1000 // {HOUR} * {HOUR} AS t, count(*) AS n, round(sum(value), 6) AS v, arg_max(value, event_id) AS last FROM events WHERE event_type {kind} IN ('purchase', 'signup') GROUP BY 1"
+
+
+def _burst_query(kind: str, field: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = market.select_bursts(_bursts(spark, sf), kind, kind)
+        return rows.select("t", F.size("v").cast("long").alias("n"), rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x[field])).alias("v"), F.element_at("v", -1)[field].alias("last"))
+
+    return run
+
+
+add("market_trades_bursts", _burst_sql("", "price"))(_burst_query("trade", "price"))
+add("market_book_updates_bursts", _burst_sql("NOT", "level"))(_burst_query("book", "level"))
+add("ws_messages", _burst_sql("", "price"))(_burst_query("trade", "price"))
+add("ws_status", _burst_sql("NOT", "level"))(_burst_query("book", "level"))
+
+# ---- time-series analysis over daily sums; several series are the five event types
+
+
+def _series(spark: SparkSession, sf: str) -> DataFrame:
+    e = events(spark, sf).df.groupBy("k", (F.floor(F.col("t") / (6 * HOUR)) * 6 * HOUR).alias("t")).agg(F.sum("v").alias("v"))
+    return e.withColumn("seq", F.lit(0).cast("long"))
+
+
+def _multi(spark: SparkSession, sf: str) -> DataFrame:
+    wide = _series(spark, sf).groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("v"))
+    return wide.withColumn("seq", F.lit(0).cast("long"))
+
+
+add("forecast")(lambda s, d: analysis.forecast(_series(s, d), ["k"], 32, 4, (4,)))
+add("outlier")(lambda s, d: analysis.outlier(_multi(s, d), [], 16))
+add("changepoint")(lambda s, d: analysis.changepoint(_series(s, d), ["k"], 32))
+add("seasons")(lambda s, d: analysis.seasons(_series(s, d), ["k"], 32))
+add("dtw")(lambda s, d: analysis.dtw(_multi(s, d), [], 12))
+add("cluster")(lambda s, d: analysis.cluster(_multi(s, d), [], 12, 150.0))
+
+# ---- scalar helpers
+add("kdb_epoch", "SELECT event_id, epoch_us(ts) * 1000 - 946684800000000000 AS v FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", helpers.to_kdb(nanos(F.col("ts"))).alias("v")))
+add("pretty_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(cast(epoch_us(ts) % 1000000 * 1000 AS varchar), 9, '0') AS v FROM events")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", helpers.pretty(nanos(F.col("ts"))).alias("v"))
+)
+add("time_window", f"WITH {E} SELECT k, t, v FROM e WHERE t >= 1704067200000000000 AND t < 1704067200000000000 + {3 * DAY}")(
+    lambda s, d: out(Stream(events(s, d).df.where(helpers.within(F.col("t"), 1704067200000000000, 1704067200000000000 + 3 * DAY)), ("k",)))
+)
+add("fix_fields", "SELECT event_id, event_type AS symbol, cast(value AS varchar) AS price, 2 AS parties, 'b' || event_id AS second FROM events")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet")
+    .withColumn("m", F.concat(F.lit("8=FIX.4.4\x0135=D\x0155="), "event_type", F.lit("\x0144="), F.col("value").cast("string"), F.lit("\x01453=2\x01448=a\x01447=D\x01448=b"), F.col("event_id").cast("string"), F.lit("\x01447=D\x01")))
+    .select("event_id", helpers.fix_field(F.col("m"), 55).alias("symbol"), helpers.fix_field(F.col("m"), 44).alias("price"), helpers.fix_group_count(F.col("m"), 453).alias("parties"),
+            helpers.fix_field(F.concat(F.lit(""), F.get(helpers.fix_groups(F.col("m"), 453, 448), F.lit(1))), 448).alias("second"))
+)
+add("envelope", "SELECT event_id, event_type AS topic, value AS v FROM events")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet")
+    .select("event_id", helpers.from_envelope(helpers.envelope(F.col("event_type"), nanos(F.col("ts")), F.col("value")), "double").alias("m"))
+    .select("event_id", F.col("m.topic").alias("topic"), F.col("m.payload").alias("v"))
+)
+add("fixed_point", "SELECT o_orderkey, cast(o_totalprice AS double) AS v FROM orders")(
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", helpers.fixed(F.col("o_totalprice").cast("string")).cast("double").alias("v"))
+)
+
+
+@add("flagship", f"""WITH {E}, s AS (SELECT k, t, seq, avg(v) OVER w AS mean, coalesce(stddev_samp(v) OVER w, 0) AS std, min(v) OVER w AS lo, max(v) OVER w AS hi FROM e
+ WINDOW w AS (PARTITION BY k ORDER BY t, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+ SELECT k, t // {HOUR} * {HOUR} + {HOUR} AS t, round(arg_max(mean, seq), 6) AS mean, round(arg_max(std, seq), 6) AS std, arg_max(lo, seq) AS lo, arg_max(hi, seq) AS hi FROM s GROUP BY 1, 2""")
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling mean, deviation, minimum and maximum of ten ticks, as they stand at the end of each hour with ticks."""
+    rows = stats.statistics(events(spark, sf).df, ["k"], ["mean", "std", "min", "max"], Span.count(10))
+    hour = (F.floor(F.col("t") / HOUR) * HOUR + HOUR).alias("t")
+    last = F.max_by(F.struct("mean", "std", "min", "max"), "seq").alias("s")
+    return rows.groupBy("k", hour).agg(last).select("k", "t", rounded("s.mean").alias("mean"), rounded("s.std").alias("std"), F.col("s.min").alias("lo"), F.col("s.max").alias("hi"))
 
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracle_sql():
-    return {}
+    return ORACLE
