@@ -83,19 +83,25 @@ def bands(num: int, den: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarr
         low = tops[-1] + 1
     top = np.array(tops, np.int64)
     segments = top * (den - num) // num + 1
-    return top, segments, np.minimum(segments, 3 + -(-segments * 3 // 100))
+    # so many that segments left out can be made up for: their share of all, by Poisson, and three deviations
+    mean = num / (den - num)
+    small = np.exp(-mean) * (1 + mean)
+    rich = max(0.05, 1 - np.exp(-mean) * (1 + mean + mean * mean / 2))
+    needed = np.ceil(segments * small / rich + 3 * np.sqrt(segments * small) + 2).astype(np.int64)
+    return top, segments, np.minimum(segments, needed)
 
 
 def _spend(sizes: np.ndarray, deletable: int) -> np.ndarray:
     """Units spent on each segment, len(sizes) in all."""
     units = np.ones(len(sizes), np.int8)
     cheap = np.flatnonzero(sizes <= 1)
-    if len(cheap):
-        rich = np.flatnonzero(sizes[:deletable] >= 3)
-        n = min(len(cheap), len(rich))
-        if n:
-            units[cheap[np.argsort(sizes[cheap], kind="stable")[:n]]] = 0
-            units[rich[np.argsort(-sizes[rich], kind="stable")[:n]]] = 2
+    rich = np.flatnonzero(sizes[:deletable] >= 2)
+    cheap, rich = cheap[np.argsort(sizes[cheap], kind="stable")], rich[np.argsort(-sizes[rich], kind="stable")]
+    for a, b in zip(cheap, rich, strict=False):
+        # two shingles with one left out are hit as easily as one: that pays only for an empty segment
+        if sizes[b] < 3 and sizes[a]:
+            break
+        units[a], units[b] = 0, 2
     return units
 
 
