@@ -338,7 +338,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("least", "node", "id").alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("least", "node", "id")).alias("component_id"),
     )
 
 

@@ -107,7 +107,9 @@ def learn(docs: DataFrame, labels: DataFrame):
     web = least(docs.where(may).select("doc_id").distinct()).withColumn("trusted", F.lit(False))
     drawn = F.broadcast(trusted.unionByName(web))  # 2 * FIT_ROWS rows at most
     rows = docs.where(may).join(drawn, "doc_id").select("trusted", "text").mapInArrow(_feature_rows, "trusted boolean, x array<double>").toArrow()
-    x = np.array(rows["x"].to_pylist(), float).reshape(rows.num_rows, -1)
+    if not rows.num_rows:
+        return None
+    x = np.array(rows["x"].to_pylist(), float)
     is_trusted = np.array(rows["trusted"].to_pylist(), bool)
     if not is_trusted.any() or is_trusted.all():
         return None

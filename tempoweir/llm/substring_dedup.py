@@ -63,8 +63,8 @@ class _Block:
         """(bucket, indices of the first windows in it), in order."""
         of = (self.hashes[self.first] >> np.uint64(64 - bits)).astype(np.uint32)
         order = np.argsort(of, kind="stable")
-        edges = np.flatnonzero(np.diff(of[order], prepend=-1))
-        for lo, hi in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        edges = np.flatnonzero(np.diff(of[order].astype(np.int64), prepend=-1))
+        for lo, hi in zip(edges, [*edges[1:], len(order)], strict=False):
             yield int(of[order[lo]]), self.first[order[lo:hi]]
 
 
