@@ -157,44 +157,55 @@ def canonical(entity: Column, kind: Column) -> Column:
     )
 
 
-def _first_name(name: Column, title: Column, tweak: Column) -> Column:
+def _known_name(name: Column, tweak: Column) -> Column:
+    """Another first name of the same list, null for a name of none."""
+    female, male = (F.array(*[F.lit(x) for x in names.split()]) for names in (FEMALE, MALE))
     low = F.lower(name)
+    own = F.when(F.array_contains(female, low), female).when(F.array_contains(male, low), male)
+    at = F.struct((F.array_position(own, low) - 1).alias("i"), own.alias("of"))
 
-    def known(names: str) -> Column:
-        every = F.array(*[F.lit(x) for x in names.split()])
-        n = len(names.split())
-        at = F.array_position(every, low)
-        moved = F.element_at(permuted(F.array(at - 1), F.array(F.lit(n).cast("long")), F.concat_ws("|", tweak, F.lit(names[:6]))), 1)
-        return F.when(at > 0, F.initcap(F.element_at(every, (moved + 1).cast("int"))))
+    def other(at: Column) -> Column:
+        moved = permuted(F.array(at["i"]), F.array(F.size(at["of"]).cast("long")), F.concat_ws("|", tweak, F.element_at(at["of"], 1)))
+        return F.initcap(F.element_at(at["of"], (F.element_at(moved, 1) + 1).cast("int")))
 
-    return F.coalesce(known(FEMALE), known(MALE), _replaced(name, F.lit("name"), tweak))
+    return F.when(own.isNotNull(), _let(at, other))
 
 
 def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
-    """Surrogate of one mention."""
+    """Surrogate of one mention: its pieces, each kept or permuted in an alphabet under a tweak."""
     tweak = F.concat_ws("|", F.lit(key), kind, tries.cast("string"))
+
+    def piece(s: Column, alphabet: Column | str | None = None, own: Column = tweak) -> Column:
+        a = alphabet if isinstance(alphabet, Column) else F.lit(alphabet).cast("string")
+        return F.struct(s.alias("s"), a.alias("a"), own.alias("t"))
+
     at, dot = F.instr(entity, "@"), F.length(F.regexp_extract(entity, r"\.\p{L}+$", 0))
     domain = entity.substr(at + 1, F.length(entity) - at - dot)
-    email = F.concat(
-        _replaced(entity.substr(F.lit(1), at - 1), F.lit("email"), F.concat_ws("|", tweak, F.lower(domain))), F.lit("@"), _replaced(domain, F.lit("domain"), F.lit(key)), entity.substr(at + 1 + F.length(domain), dot)
-    )
+    email = F.array(
+        piece(entity.substr(F.lit(1), at - 1), "email", F.concat_ws("|", tweak, F.lower(domain))), piece(F.lit("@")),
+        piece(domain, "domain", F.lit(key)), piece(entity.substr(at + 1 + F.length(domain), dot)),
+    )
     code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
-    phone = F.concat(code, _replaced(entity.substr(F.length(code) + 1, F.length(entity)), F.lit("phone"), F.concat_ws("|", tweak, code)))
-    octets = F.transform(F.split(entity, r"\."), lambda x: x.cast("long"))
-    ip = F.array_join(F.transform(permuted(octets, F.array_repeat(F.lit(256).cast("long"), 4), tweak), lambda x: x.cast("string")), ".")
+    phone = F.array(piece(code), piece(entity.substr(F.length(code) + 1, F.length(entity)), "phone", F.concat_ws("|", tweak, code)))
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    issuer, body, last = digits.substr(F.lit(1), F.lit(1)), digits.substr(F.lit(2), F.length(digits) - 2), digits.substr(F.length(digits), F.lit(1)).cast("int")
-    moved = F.concat(issuer, _replaced(body, F.lit("card"), F.concat_ws("|", tweak, issuer)))
-    off = last - _luhn(digits.substr(F.lit(1), F.length(digits) - 1))
-    card = _let(moved, lambda m: _spread(entity, F.concat(m, F.pmod(_luhn(m) + off, F.lit(10)).cast("string"))))
-    ssn = _replaced(entity, F.lit("ssn"), tweak)
-    secret = F.when(entity.rlike("^[0-9a-fA-F]+$"), _replaced(entity, F.lit("hex"), tweak)).otherwise(_replaced(entity, F.lit("secret"), tweak))
+    issuer, last = digits.substr(F.lit(1), F.lit(1)), digits.substr(F.length(digits), F.lit(1)).cast("int")
+    card = F.array(piece(issuer), piece(digits.substr(F.lit(2), F.length(digits) - 2), "card", F.concat_ws("|", tweak, issuer)))
+    whole = F.array(piece(entity, F.when(kind == "ssn", "ssn").when(entity.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("secret")))
     parts = F.split(entity, " ")
-    first, rest = F.element_at(parts, 2), F.array_join(F.slice(parts, 3, F.greatest(F.lit(1), F.size(parts))), " ")
-    name = F.concat_ws(" ", parts[0], _first_name(first, parts[0], tweak), F.when(rest != "", _replaced(rest, F.lit("name"), tweak)))
-    return (
-        F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "secret", secret).otherwise(name)
-    )
+    rest = F.concat(F.lit(" "), F.array_join(F.slice(parts, 3, F.size(parts)), " "))
+    name = F.array(piece(F.concat(parts[0], F.lit(" "))), piece(F.element_at(parts, 2), "first"), piece(F.when(F.size(parts) > 2, rest).otherwise(""), "name"))
+    pieces = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", name).otherwise(whole)
+
+    def put(p: Column) -> Column:
+        other = _replaced(p["s"], F.when(p["a"] == "first", "name").otherwise(p["a"]), p["t"])
+        return F.when(p["a"].isNull(), p["s"]).otherwise(F.coalesce(F.when(p["a"] == "first", _known_name(p["s"], p["t"])), other))
+
+    joined = F.array_join(F.transform(pieces, put), "")
+    off = last - _luhn(digits.substr(F.lit(1), F.length(digits) - 1))
+    luhn = lambda m: _spread(entity, F.concat(m, F.pmod(_luhn(m) + off, F.lit(10)).cast("string")))
+    octets = F.transform(F.split(entity, r"\."), lambda x: x.cast("long"))
+    ip = F.array_join(F.transform(permuted(octets, F.array_repeat(F.lit(256).cast("long"), 4), tweak), lambda x: x.cast("string")), ".")
+    return F.when(kind == "ip", ip).otherwise(_let(joined, lambda m: F.when(kind == "card", luhn(m)).otherwise(m)))
 
 
 def entities(text: Column) -> Column:
