@@ -17,15 +17,19 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _hang(edges: DataFrame, towards_all: bool) -> DataFrame:
-    """Hang neighbours of each node on the least one: larger ones, or (small star) all smaller ones."""
+    """Hang neighbours of each node on the least one: larger ones, or (small star) all smaller ones.
+
+    The least ones are cut, so that both sides of the join are plain exchanges: a
+    hub's links then lie in a skewed partition that Spark splits.
+    """
     if towards_all:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
         moved = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-    return moved.where("a > b").distinct()
+    return cut(moved.where("a > b").distinct())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -41,7 +45,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break
-        edges = cut(_hang(_hang(edges, True), False))
+        edges = _hang(_hang(edges, True), False)
         after = _state(edges)
         if after == state:
             break

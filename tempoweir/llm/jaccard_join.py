@@ -288,13 +288,12 @@ def _tasks(members: DataFrame, num: int, den: int) -> DataFrame:
     """
     size_class = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9).cast("int")
     sized = members.withColumn("s", size_class)
-    counts = sized.groupBy("cluster", "s").agg(F.count("*").alias("m"))
-    whole = counts.groupBy("cluster").agg(F.sum("m").alias("m"))
-    large = whole.where(F.col("m") > CHUNK).select("cluster")
-    small = sized.join(large, "cluster", "left_anti").select(
+    counts = sized.groupBy("cluster", "s").agg(F.count("*").alias("m")).withColumn("all", F.sum("m").over(Window.partitionBy("cluster")))
+    # cut, so that its joins are of plain exchanges and a large cluster's partition can be split
+    chunks = cut(counts.where(F.col("all") > CHUNK).select("cluster", "s", F.ceil(F.col("m") / CHUNK).cast("int").alias("c")))
+    small = sized.join(chunks.select("cluster"), "cluster", "left_anti").select(
         "node", "copies", "cluster", F.lit(-1).alias("s1"), F.lit(0).alias("c1"), F.lit(-1).alias("s2"), F.lit(0).alias("c2"), F.lit(0).alias("side")
     )
-    chunks = counts.join(large, "cluster", "left_semi").select("cluster", "s", F.ceil(F.col("m") / CHUNK).cast("int").alias("c"))
     # sizes a hair apart may fall one class further, by rounding: take two classes up
     dealt = sized.join(chunks, ["cluster", "s"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     other = chunks.select("cluster", F.col("s").alias("so"), F.col("c").alias("co"))
@@ -317,14 +316,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = cut(rows.mapInArrow(_profiler(shingle), "id bigint, n bigint, h1 bigint, h2 bigint"))
     digest = ["n", "h1", "h2"]
-    classes = profile.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies"))
+    classes = cut(profile.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies")))
     of = cut(profile.join(classes, digest, "left").select("id", "n", "node", "copies"))
 
-    signed = rows.where("id is not null").mapInArrow(_signer(shingle, num, den, bits), "bucket int, payload binary")
-    met = cut(signed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint").distinct())
-    place = of.where("node is not null").select("id", "node").distinct()
-    pairs = met.join(place.select(F.col("id").alias("a"), F.col("node").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("node").alias("y")), "b")
-    clusters = components(pairs.where("x <> y").select("x", "y").distinct(), "x", "y").withColumnRenamed("component", "cluster")
+    # one document of each class is signed, so that copies reach no bucket
+    first = classes.select(F.col("node").alias("id")).distinct()
+    signed = rows.join(first, "id", "left_semi").select("id", "text").mapInArrow(_signer(shingle, num, den, bits), "bucket int, payload binary")
+    met = signed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
+    clusters = components(met).withColumnRenamed("component", "cluster")
     members = cut(of.where("id = node").select("node", "n", "copies").distinct().join(clusters, "node"))
 
     task = ["cluster", "s1", "c1", "s2", "c2"]
@@ -333,7 +332,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     checked = cut(dealt.mapInArrow(_verifier(shingle, num, den, task), "a bigint, b bigint, n bigint"))
     found = components(checked.where("b is not null")).withColumnRenamed("component", "least")
     counts = checked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    out = of.join(found, "node", "left").join(counts, "node", "left")
+    out = of.join(cut(found.join(counts, "node", "full")), "node", "left")
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
