@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempoweir.llm.common import cut
@@ -16,20 +16,23 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _hang(edges: DataFrame, towards_all: bool) -> DataFrame:
-    """Hang neighbours of each node on the least one: larger ones, or (small star) all smaller ones.
+def _exploded(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    made = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])
+    return edges.select(F.explode(made).alias("e")).select("e.*")
 
-    The least ones are cut, so that both sides of the join are plain exchanges: a
-    hub's links then lie in a skewed partition that Spark splits.
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step: larger, then smaller neighbours of each node hang on the least one.
+
+    The least neighbours of the large star are cut, so that both sides of its join are
+    plain exchanges: a hub's links lie in a skewed partition that Spark splits.  The
+    small star groups a node's smaller neighbours, of which a hub of larger ones has few.
     """
-    if towards_all:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
-        moved = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-    return cut(moved.where("a > b").distinct())
+    both = _exploded(edges, ("a", "b"), ("b", "a"))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return cut(_exploded(small, ("a", "m"), ("b", "m")).where("a > b").distinct())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -45,7 +48,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break
-        edges = _hang(_hang(edges, True), False)
+        edges = _round(edges)
         after = _state(edges)
         if after == state:
             break
