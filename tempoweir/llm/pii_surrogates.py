@@ -13,7 +13,10 @@ gender and script, other names keep their pattern of vowels and consonants.
 A collision check goes over the distinct entities of the whole corpus first: an
 entity whose surrogate is also an original somewhere, or the surrogate of a
 known name met by an unknown one, is given another permutation until none is
-left.  These few are joined to the documents that hold them.
+left.  After MOST_TRIES permutations in its own format the space of a name, e-mail
+address or secret grows, a listed name leaving its list and then two letters more in
+each try; LAST_TRIES without an end raise.  Entities without a mutable character
+stay as they are.  These few are joined to the documents that hold them.
 
 Null texts stay null; texts without entities stay as they are.  Repeated rows
 are replaced alike; null ids too.  An empty table gives no rows.  Other columns
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from tempoweir.llm.common import cut, table
 
 ROUNDS = 6
-MOST_TRIES = 8
+MOST_TRIES = 8  # within the own format; more letters from then on
+LAST_TRIES = 64
 BROADCAST_TEXTS = 20_000
 DEFAULT_KEY = "tempoweir-demo-key"
 
@@ -174,6 +178,7 @@ def _known_name(name: Column, tweak: Column) -> Column:
 def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
     """Surrogate of one mention: its pieces, each kept or permuted in an alphabet under a tweak."""
     tweak = F.concat_ws("|", F.lit(key), kind, tries.cast("string"))
+    more = F.repeat(F.lit("na"), F.greatest(F.lit(0), tries - MOST_TRIES).cast("int"))
 
     def piece(s: Column, alphabet: Column | str | None = None, own: Column = tweak) -> Column:
         a = alphabet if isinstance(alphabet, Column) else F.lit(alphabet).cast("string")
@@ -182,7 +187,7 @@ def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
     at, dot = F.instr(entity, "@"), F.length(F.regexp_extract(entity, r"\.\p{L}+$", 0))
     domain = entity.substr(at + 1, F.length(entity) - at - dot)
     email = F.array(
-        piece(entity.substr(F.lit(1), at - 1), "email", F.concat_ws("|", tweak, F.lower(domain))), piece(F.lit("@")),
+        piece(F.concat(entity.substr(F.lit(1), at - 1), more), "email", F.concat_ws("|", tweak, F.lower(domain))), piece(F.lit("@")),
         piece(domain, "domain", F.lit(key)), piece(entity.substr(at + 1 + F.length(domain), dot)),
     )
     code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
@@ -190,15 +195,15 @@ def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
     issuer, last = digits.substr(F.lit(1), F.lit(1)), digits.substr(F.length(digits), F.lit(1)).cast("int")
     card = F.array(piece(issuer), piece(digits.substr(F.lit(2), F.length(digits) - 2), "card", F.concat_ws("|", tweak, issuer)))
-    whole = F.array(piece(entity, F.when(kind == "ssn", "ssn").when(entity.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("secret")))
+    whole = F.array(piece(F.when(kind == "secret", F.concat(entity, more)).otherwise(entity), F.when(kind == "ssn", "ssn").when(entity.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("secret")))
     parts = F.split(entity, " ")
     rest = F.concat(F.lit(" "), F.array_join(F.slice(parts, 3, F.size(parts)), " "))
-    name = F.array(piece(F.concat(parts[0], F.lit(" "))), piece(F.element_at(parts, 2), "first"), piece(F.when(F.size(parts) > 2, rest).otherwise(""), "name"))
+    name = F.array(piece(F.concat(parts[0], F.lit(" "))), piece(F.concat(F.element_at(parts, 2), more), "first"), piece(F.when(F.size(parts) > 2, rest).otherwise(""), "name"))
     pieces = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", name).otherwise(whole)
 
     def put(p: Column) -> Column:
         other = _replaced(p["s"], F.when(p["a"] == "first", "name").otherwise(p["a"]), p["t"])
-        return F.when(p["a"].isNull(), p["s"]).otherwise(F.coalesce(F.when(p["a"] == "first", _known_name(p["s"], p["t"])), other))
+        return F.when(p["a"].isNull(), p["s"]).otherwise(F.coalesce(F.when((p["a"] == "first") & (tries < MOST_TRIES), _known_name(p["s"], p["t"])), other))
 
     joined = F.array_join(F.transform(pieces, put), "")
     off = last - _luhn(digits.substr(F.lit(1), F.length(digits) - 1))
@@ -214,13 +219,19 @@ def entities(text: Column) -> Column:
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _fixed(canon: Column, kind: Column) -> Column:
+    """Whether no character of an entity can be replaced."""
+    mutable = F.regexp_replace(canon, r"\.\p{L}+$", "").rlike(f"[{DIGITS}{LATIN}{ACCENTED}{GREEK}{CYRILLIC}]")
+    return kind.isin("name", "email", "secret") & ~mutable
+
+
 def collisions(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
     """(kind, canon, tries): entities of the corpus that need another permutation than the first."""
     found = docs.select(F.explode(entities(F.col(text_col))).alias("e")).distinct()
     kinds = found.withColumn("kind", kind_of(F.col("e")))
-    known = cut(kinds.select("kind", canonical(F.col("e"), F.col("kind")).alias("canon"), "e").groupBy("kind", "canon").agg(F.min("e").alias("e")))
+    known = cut(kinds.select("kind", canonical(F.col("e"), F.col("kind")).alias("canon"), "e").groupBy("kind", "canon").agg(F.min("e").alias("e")).where(~_fixed(F.col("canon"), F.col("kind"))))
     held = known.withColumn("tries", F.lit(0))
-    for _ in range(MOST_TRIES):
+    for _ in range(LAST_TRIES):
         made = held.withColumn("s", canonical(surrogate(F.col("e"), F.col("kind"), key, F.col("tries")), F.col("kind")))
         originals = known.select("kind", F.col("canon").alias("s"))
         taken = made.join(originals, ["kind", "s"], "left_semi").select("kind", "canon")
@@ -228,9 +239,9 @@ def collisions(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text")
         twice = made.join(twice, ["kind", "s"]).where("canon <> least").select("kind", "canon")
         again = cut(taken.unionByName(twice).distinct())
         if again.isEmpty():
-            break
+            return held.where("tries > 0").select("kind", "canon", "tries")
         held = cut(held.join(again.withColumn("more", F.lit(1)), ["kind", "canon"], "left").withColumn("tries", F.col("tries") + F.coalesce("more", F.lit(0))).drop("more"))
-    return held.where("tries > 0").select("kind", "canon", "tries")
+    raise ValueError(f"surrogates still collide after {LAST_TRIES} tries")
 
 
 def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
