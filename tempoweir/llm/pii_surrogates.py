@@ -46,6 +46,8 @@ FEMALE = "anna maria laura julia sofia emma clara elena lucia marta alice sarah
 MALE = "john james peter paul david daniel thomas martin robert george henry frank oliver lucas max felix carlos diego pablo jean"
 TITLES_F, TITLES_M = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra", "Mr|Herr|Monsieur|Señor|Sr|Don"
 
+LABELS = "token|secret|password|api_key"
+
 _EDGE = r"(?<![\p{L}\p{N}])"
 _NAME = rf"{_EDGE}(?:(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?)(?![\p{{L}}\p{{N}}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -55,7 +57,7 @@ KINDS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "card": rf"{_EDGE}(?:\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}|\d{{13,19}})(?![\p{{L}}\p{{N}}])",
     "ssn": rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
-    "secret": rf"{_EDGE}[0-9a-fA-F]{{32,128}}(?![\p{{L}}\p{{N}}])|(?<=(?:token|secret|password|api_key) ?[=:] ?\"?)[A-Za-z0-9_/+=-]{{12,128}}",
+    "secret": rf"{_EDGE}[0-9a-fA-F]{{32,128}}(?![\p{{L}}\p{{N}}])|(?<=(?:{LABELS}) ?[=:] ?\"?)[A-Za-z0-9_/+=-]{{12,128}}",
     "name": _NAME,
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -214,8 +216,8 @@ def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """Mentions in order; texts without a digit, ``@`` or title are not searched."""
-    may = text.rlike(rf"[0-9@]|{_EDGE}(?:{TITLES_F}|{TITLES_M}|Dr|Prof)[. ]")
+    """Mentions in order; texts without a digit, ``@``, title, secret's label or 32 hexadecimal letters are not searched."""
+    may = text.rlike(rf"[0-9@]|(?:{LABELS}) ?[=:]|[a-fA-F]{{32}}|{_EDGE}(?:{TITLES_F}|{TITLES_M}|Dr|Prof)[. ]")
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 

@@ -29,3 +29,9 @@ def test_surrogates_of_a_full_space(spark):
     new = hidden(spark, *texts)
     assert len(set(new)) == len(texts) and not set(new) & set(texts)
     assert hidden(spark, "token: ____________") == ["token: ____________"]
+
+
+def test_secrets_in_texts_without_digits(spark):
+    hexes = "abcdefab" * 4
+    a, b, c = hidden(spark, "password: correcthorsebattery", "at 7, password: correcthorsebattery", f"see {hexes} there")
+    assert "correcthorse" not in a and a.split()[-1] == b.split()[-1] and hexes not in c
