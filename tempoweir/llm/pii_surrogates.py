@@ -49,7 +49,7 @@ TITLES_F, TITLES_M = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra", "Mr|Herr|Monsieu
 LABELS = "token|secret|password|api_key"
 
 _EDGE = r"(?<![\p{L}\p{N}])"
-_NAME = rf"{_EDGE}(?:(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?)(?![\p{{L}}\p{{N}}])"
+_NAME = rf"{_EDGE}(?:(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?)(?![\p{{L}}\p{{N}}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
@@ -57,7 +57,7 @@ KINDS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "card": rf"{_EDGE}(?:\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}|\d{{13,19}})(?![\p{{L}}\p{{N}}])",
     "ssn": rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
-    "secret": rf"{_EDGE}[0-9a-fA-F]{{32,128}}(?![\p{{L}}\p{{N}}])|(?<=(?:{LABELS}) ?[=:] ?\"?)[A-Za-z0-9_/+=-]{{12,128}}",
+    "secret": rf"{_EDGE}[0-9a-fA-F]{{32,}}+(?![\p{{L}}\p{{N}}])|(?<=(?:{LABELS}) ?[=:] ?\"?)[A-Za-z0-9_/+=.-]{{11,}}[A-Za-z0-9_/+=-]",
     "name": _NAME,
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -77,7 +77,8 @@ def _alphabet(kind: Column, c: Column) -> Column:
     return (
         F.when(kind == "hex", F.when(F.instr(F.lit(HEX), c) > 0, HEX))
         .when(kind == "name", F.coalesce(letters, other))
-        .when(kind.isin("email", "domain", "secret"), F.coalesce(plain, F.when(F.instr(F.lit(LATIN), c) > 0, LATIN), other))
+        .when(kind == "secret", F.coalesce(plain, F.when(F.instr(F.lit(LATIN), c) > 0, LATIN), c))
+        .when(kind.isin("email", "domain"), F.coalesce(plain, F.when(F.instr(F.lit(LATIN), c) > 0, LATIN), other))
         .otherwise(plain)
     )
 
@@ -117,12 +118,21 @@ def _replaced(s: Column, kind: Column, tweak: Column) -> Column:
             F.concat_ws("|", tweak, kind),
         )
 
+        def put(m: Column, v: Column) -> Column:
+            char = m["a"].substr((v + 1).cast("int"), F.lit(1))
+            return F.when(m["a"].isNull(), m["c"]).otherwise(F.when(m["c"] != m["l"], F.upper(char)).otherwise(char))
+
         def step(acc: Column, m: Column) -> Column:
-            char = m["a"].substr((F.element_at(acc["v"], acc["n"] + 1) + 1).cast("int"), F.lit(1))
-            put = F.when(m["a"].isNull(), m["c"]).otherwise(F.when(m["c"] != m["l"], F.upper(char)).otherwise(char))
-            return F.struct(F.concat(acc["s"], put).alias("s"), (acc["n"] + F.when(m["a"].isNull(), 0).otherwise(1)).cast("int").alias("n"), acc["v"].alias("v"))
+            n = acc["n"] + F.when(m["a"].isNull(), 0).otherwise(1)
+            return F.struct(F.concat(acc["s"], put(m, F.element_at(acc["v"], acc["n"] + 1))).alias("s"), n.cast("int").alias("n"), acc["v"].alias("v"))
+
+        def joined(new: Column) -> Column:
+            # secrets may be long: all their characters have a value, so none needs a count of those before it
+            even = F.array_join(F.transform(marked, lambda m, i: put(m, F.element_at(new, i + 1))), "")
+            uneven = F.aggregate(marked, F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), new.alias("v")), step, lambda acc: acc["s"])
+            return F.when(kind.isin("secret", "hex"), even).otherwise(uneven)
 
-        return F.aggregate(marked, F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), new.alias("v")), step, lambda acc: acc["s"])
+        return _let(new, joined)
 
     return _let(marked, rebuilt)
 
@@ -150,7 +160,10 @@ def kind_of(entity: Column) -> Column:
     out = F.lit("name")
     for kind in reversed([k for k in KINDS if k not in ("name", "secret")]):
         out = F.when(entity.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
-    return F.when(entity.rlike("^[0-9]{13,19}$"), "card").otherwise(F.when(entity.rlike("^(?:[0-9a-fA-F]{32,128}|[A-Za-z0-9_/+=-]{12,128})$") & ~entity.contains("@"), F.when(entity.rlike(f"^(?:{KINDS['phone']}|{KINDS['ssn']}|{KINDS['card']})$"), out).otherwise("secret")).otherwise(out))
+    shaped = "|".join(KINDS[k] for k in ("phone", "ip", "ssn", "card"))
+    secret = entity.rlike("^(?:[0-9a-fA-F]{32,}|[A-Za-z0-9_/+=.-]{12,})$") & ~entity.contains("@")
+    out = F.when(secret & ~entity.rlike(f"^(?:{shaped})$"), "secret").otherwise(out)
+    return F.when(entity.rlike("^[0-9]{13,19}$"), "card").otherwise(out)
 
 
 def canonical(entity: Column, kind: Column) -> Column:
@@ -223,7 +236,7 @@ def entities(text: Column) -> Column:
 
 def _fixed(canon: Column, kind: Column) -> Column:
     """Whether no character of an entity can be replaced."""
-    mutable = F.regexp_replace(canon, r"\.\p{L}+$", "").rlike(f"[{DIGITS}{LATIN}{ACCENTED}{GREEK}{CYRILLIC}]")
+    mutable = F.when(kind == "email", F.regexp_replace(canon, r"\.\p{L}+$", "")).otherwise(canon).rlike(f"[{DIGITS}{LATIN}{ACCENTED}{GREEK}{CYRILLIC}]")
     return kind.isin("name", "email", "secret") & ~mutable
 
 

@@ -35,3 +35,12 @@ def test_secrets_in_texts_without_digits(spark):
     hexes = "abcdefab" * 4
     a, b, c = hidden(spark, "password: correcthorsebattery", "at 7, password: correcthorsebattery", f"see {hexes} there")
     assert "correcthorse" not in a and a.split()[-1] == b.split()[-1] and hexes not in c
+
+
+def test_long_secrets_leave_no_tail(spark):
+    jwt, key, hexes, name = "eyJhbGci.eyJzdWIiOiIx.c2lnbmF0dXJl", "q7Rz" * 6_000, "0a1b" * 50, "Wolf" + "eschlegelstein" * 3
+    a, b, c, d, e = hidden(spark, f"token={jwt}. Done", f"api_key: {key} end", f"see {hexes} end", f"Mr. {name} came", "192.168.100.200")
+    parts = a.removeprefix("token=").removesuffix(". Done").split(".")
+    assert [len(x) for x in parts] == [len(x) for x in jwt.split(".")] and not set(parts) & set(jwt.split("."))
+    assert len(b) == len(key) + 13 and key[-20:] not in b and hexes[-20:] not in c and c.endswith(" end")
+    assert name[-14:] not in d and d.startswith("Mr. ") and re.fullmatch(r"\d+(\.\d+){3}", e)
