@@ -1,13 +1,13 @@
 r"""PII surrogates: keyed, type-consistent, distinct and coreferent replacements.
 
 Everything is DataFrame and SQL functions.  One pattern finds e-mail addresses,
-phone numbers, IPv4 addresses, payment cards, social security numbers, secrets
+phone numbers, IPv4 and IPv6 addresses, payment cards, social security numbers, secrets
 and titled names.  The mutable characters of an entity (digits, letters by case
 and script, hexadecimal digits, octets) are replaced by a keyed Feistel network
 over their mixed radices.  For one key, type and format it is a permutation: two
 entities never get one surrogate, and one entity gets the same everywhere.
 Format stays: case, separators, country code, card issuer and Luhn validity,
-top-level domain, lengths.  A known first name becomes another of the same
+trunk 0, top-level domain, lengths.  A known first name becomes another of the same
 gender and script, other names keep their pattern of vowels and consonants.
 
 A collision check goes over the distinct entities of the whole corpus first: an
@@ -50,12 +50,26 @@ LABELS = "token|secret|password|api_key"
 
 _EDGE = r"(?<![\p{L}\p{N}])"
 _NAME = rf"{_EDGE}(?:(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?)(?![\p{{L}}\p{{N}}])"
+_HEXTET = "[0-9a-fA-F]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_CODE = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
+_CLEAR, _CLOSED = r"(?<![\p{L}\p{N}.,:/+-])", r"(?!\p{N}|\p{L}|[.,:/-]\d)"
+PHONES = (
+    # country code and groups of one to eight digits, 7 to 15 in all
+    rf"{_EDGE}\+(?=(?:[ ./()-]{{0,3}}\d){{7,15}}+(?![ ./()-]{{0,2}}\d))\d{{1,3}}(?:[ ./-]?\(\d{{1,4}}\))?(?:[ ./-]?\d{{1,15}}){{1,7}}(?!\d)",
+    # area code in brackets; three, three and four digits; trunk 0 and 8 to 13 digits in groups or pairs
+    rf"(?<![\p{{L}}\p{{N}}])\(\d{{2,5}}\) ?(?:\d{{3,4}}[ .-]?\d{{3,4}}|\d{{5,8}}|\d{{2}}(?:[ .-]\d{{2}}){{2,3}}){_CLOSED}",
+    rf"{_CLEAR}(?:1[ .-])?[2-9]\d{{2}}([ .-])[2-9]\d{{2}}\1\d{{4}}{_CLOSED}",
+    rf"{_CLEAR}(?=(?:[ ./-]?\d){{8,13}}+(?![ ./-]?\d))0\d(?:(?:[ .-]\d{{2}}){{4}}|\d{{0,3}}[ /-]\d{{3,8}}(?:[ -]\d{{2,4}}){{0,3}}){_CLOSED}",
+    # any grouping behind a label
+    r"(?<=(?<![\p{L}\p{N}])(?i:tel|phone|telephone|mobile|cell|fax|call)[.:]{0,2} ?)(?=(?:[ ./()-]{0,3}\d){7,15}+(?![ ./()-]{0,2}\d))\(?\d[\d ./()-]{5,24}\d(?!\d)",
+)
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
-    "phone": rf"{_EDGE}\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}(?!\d)",
+    "phone": "|".join(PHONES),
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
-    "card": rf"{_EDGE}(?:\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}|\d{{13,19}})(?![\p{{L}}\p{{N}}])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEXTET}:){{7}}{_HEXTET}|(?=[a-fA-F:]{{0,31}}\d){_HEXTET}(?::{_HEXTET}){{0,5}}::{_HEXTET}(?::{_HEXTET}){{0,5}})(?![\p{{L}}\p{{N}}:]|\.\d)",
+    "card": rf"{_EDGE}(?:\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}|\d{{13,19}})(?![\p{{L}}\p{{N}}])",
     "ssn": rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
     "secret": rf"{_EDGE}[0-9a-fA-F]{{32,}}+(?![\p{{L}}\p{{N}}])|(?<=(?:{LABELS}) ?[=:] ?\"?)[A-Za-z0-9_/+=.-]{{11,}}[A-Za-z0-9_/+=-]",
     "name": _NAME,
@@ -75,7 +89,7 @@ def _alphabet(kind: Column, c: Column) -> Column:
         F.when(F.instr(F.lit(ACCENTED), c) > 0, ACCENTED).when(F.instr(F.lit(GREEK), c) > 0, GREEK).when(F.instr(F.lit(CYRILLIC), c) > 0, CYRILLIC)
     )
     return (
-        F.when(kind == "hex", F.when(F.instr(F.lit(HEX), c) > 0, HEX))
+        F.when(kind == "hex", F.when(F.instr(F.lit(HEX), c) > 0, HEX).otherwise(c))
         .when(kind == "name", F.coalesce(letters, other))
         .when(kind == "secret", F.coalesce(plain, F.when(F.instr(F.lit(LATIN), c) > 0, LATIN), c))
         .when(kind.isin("email", "domain"), F.coalesce(plain, F.when(F.instr(F.lit(LATIN), c) > 0, LATIN), other))
@@ -158,10 +172,11 @@ def _spread(s: Column, digits: Column) -> Column:
 
 def kind_of(entity: Column) -> Column:
     out = F.lit("name")
-    for kind in reversed([k for k in KINDS if k not in ("name", "secret")]):
+    out = F.when(entity.rlike("^[(0-9][0-9 ./()-]+$"), "phone").otherwise(out)  # found by its label
+    for kind in reversed([k for k in ("email", "ssn", "card", "phone", "ip", "ip6")]):
         out = F.when(entity.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
-    shaped = "|".join(KINDS[k] for k in ("phone", "ip", "ssn", "card"))
-    secret = entity.rlike("^(?:[0-9a-fA-F]{32,}|[A-Za-z0-9_/+=.-]{12,})$") & ~entity.contains("@")
+    shaped = "|".join(KINDS[k] for k in ("ssn", "card", "phone", "ip"))
+    secret = entity.rlike("^(?:[0-9a-fA-F]{32,}|(?![0-9.-]{0,24}$)[A-Za-z0-9_/+=.-]{12,})$") & ~entity.contains("@")
     out = F.when(secret & ~entity.rlike(f"^(?:{shaped})$"), "secret").otherwise(out)
     return F.when(entity.rlike("^[0-9]{13,19}$"), "card").otherwise(out)
 
@@ -169,7 +184,8 @@ def kind_of(entity: Column) -> Column:
 def canonical(entity: Column, kind: Column) -> Column:
     """What mentions of one entity share: case, title and separators do not count."""
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
+        F.when(kind == "phone", F.regexp_replace(entity, "[^0-9+]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
         .when(kind == "name", F.lower(F.regexp_replace(entity, r"^\S+ ", "")))
         .when(kind == "ip", entity)
         .otherwise(F.lower(entity))
@@ -205,12 +221,15 @@ def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
         piece(F.concat(entity.substr(F.lit(1), at - 1), more), "email", F.concat_ws("|", tweak, F.lower(domain))), piece(F.lit("@")),
         piece(domain, "domain", F.lit(key)), piece(entity.substr(at + 1 + F.length(domain), dot)),
     )
-    code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
-    phone = F.array(piece(code), piece(entity.substr(F.length(code) + 1, F.length(entity)), "phone", F.concat_ws("|", tweak, code)))
+    code = F.regexp_extract(entity, rf"^(?:{_CODE}|\(?0)", 0)  # country code or trunk 0
+    phone = F.array(piece(code), piece(entity.substr(F.length(code) + 1, F.length(entity)), "phone", F.concat_ws("|", tweak, F.regexp_replace(code, r"\(", ""))))
     digits = F.regexp_replace(entity, "[^0-9]", "")
     issuer, last = digits.substr(F.lit(1), F.lit(1)), digits.substr(F.length(digits), F.lit(1)).cast("int")
     card = F.array(piece(issuer), piece(digits.substr(F.lit(2), F.length(digits) - 2), "card", F.concat_ws("|", tweak, issuer)))
-    whole = F.array(piece(F.when(kind == "secret", F.concat(entity, more)).otherwise(entity), F.when(kind == "ssn", "ssn").when(entity.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("secret")))
+    # after MOST_TRIES, groups of an IPv6 address get all four digits
+    groups = F.array_join(F.transform(F.split(entity, ":"), lambda g: F.when(g != "", F.lpad(g, 4, "0")).otherwise(g)), ":")
+    wide = F.when(kind == "secret", F.concat(entity, more)).when((kind == "ip6") & (tries >= MOST_TRIES), groups).otherwise(entity)
+    whole = F.array(piece(wide, F.when(kind == "ssn", "ssn").when((kind == "ip6") | entity.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("secret")))
     parts = F.split(entity, " ")
     rest = F.concat(F.lit(" "), F.array_join(F.slice(parts, 3, F.size(parts)), " "))
     name = F.array(piece(F.concat(parts[0], F.lit(" "))), piece(F.concat(F.element_at(parts, 2), more), "first"), piece(F.when(F.size(parts) > 2, rest).otherwise(""), "name"))
@@ -230,7 +249,7 @@ def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Mentions in order; texts without a digit, ``@``, title, secret's label or 32 hexadecimal letters are not searched."""
-    may = text.rlike(rf"[0-9@]|(?:{LABELS}) ?[=:]|[a-fA-F]{{32}}|{_EDGE}(?:{TITLES_F}|{TITLES_M}|Dr|Prof)[. ]")
+    may = text.rlike(rf"[0-9@]|:[a-fA-F]{{1,4}}:|(?:{LABELS}) ?[=:]|[a-fA-F]{{32}}|{_EDGE}(?:{TITLES_F}|{TITLES_M}|Dr|Prof)[. ]")
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
