@@ -2,7 +2,9 @@
 
 Texts become template words: runs of numbers, capitalised names inside a
 sentence (not words all in capitals) and units after a number turn into typed placeholders, other words are
-lower-cased.  Hashes of windows of template words of the benchmark are hash-joined
+lower-cased.  Each text also has a second form, in which capitalised words other than
+COMMON ones are placeholders wherever they stand, so that it does not matter what a
+sentence opens with; forms are matched with their like.  Hashes of windows of template words of the benchmark are hash-joined
 with those of the corpus.  Matches of one document and one item on one diagonal
 (place in the text minus place in the item) stand for one passage: it counts when
 it matches MIN_WINDOWS windows, or all of a shorter item, and when its slots are
@@ -40,6 +42,16 @@ UNITS = (
     "percent dollar dollars euro euros cent cents usd eur gbp mph kmh kph degrees celsius fahrenheit watt watts kw kwh volt volts"
 )
 _UNIT_HASHES = np.sort(np.concatenate([w.hashes for w in tokens.words(pa.array([UNITS]), tokens.ALNUM, tokens.lower_latin)]))
+# Words that open sentences and are no names.
+COMMON = (
+    "a an the this that these those there here it its he she they we you i his her their our my your one each every all both some many most no not "
+    "what which who whom whose when where why how is are was were am be been do does did has have had can could will would shall should may might must "
+    "and or but so if then else than as at by for from in into of off on onto out over to under up with without after before during while until since because although though "
+    "find calculate compute determine evaluate solve simplify give name list write explain describe choose select consider suppose assume let show prove state use given "
+    "also again once only just now next first second third last another other more less total yes see question answer"
+)
+_COMMON_HASHES = np.sort(np.concatenate([w.hashes for w in tokens.words(pa.array([COMMON]), tokens.ALNUM, tokens.lower_latin)]))
+FORMS = (False, True)
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 _PLACEHOLDER = tokens.mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _DIGIT = np.zeros(256, bool)
@@ -48,8 +60,15 @@ _ENDER = np.zeros(256, bool)
 _ENDER[list(b".!?\n:;|\"")] = True
 
 
-def template(w: tokens.Words):
-    """(hash, kind, slot, text) of template words; runs of one placeholder are one word."""
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def template(w: tokens.Words, anywhere: bool = False):
+    """(hash, kind, slot, text) of template words; runs of one placeholder are one word.
+
+    ``anywhere``: capitalised words are names at the start of a sentence too, COMMON ones nowhere.
+    """
     n = len(w.starts)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.data])])
     enders = np.concatenate([[0], np.cumsum(_ENDER[w.data])])
@@ -62,11 +81,10 @@ def template(w: tokens.Words):
     opens = np.ones(n, bool)
     opens[1:] = (enders[w.starts[1:]] > enders[w.ends[:-1]]) | (w.doc[1:] != w.doc[:-1])
     kind = np.zeros(n, np.int8)
-    kind[capital & ~opens] = _NAME
+    kind[capital & (~_among(w.hashes, _COMMON_HASHES) if anywhere else ~opens)] = _NAME
     kind[number] = _NUMBER
     if n:
-        at = np.searchsorted(_UNIT_HASHES, w.hashes)
-        unit = _UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == w.hashes
+        unit = _among(w.hashes, _UNIT_HASHES)
         after = np.zeros(n, bool)
         after[1:] = number[:-1] & (w.doc[1:] == w.doc[:-1])
         kind[unit & after & ~number] = _UNIT
@@ -85,9 +103,10 @@ def _window_rows(lengths, known, whole: bool):
     def rows(batches):
         for batch in batches:
             ids = batch.column("id")
-            out: list[list] = [[], [], [], [], [], []]
-            for w in tokens.words(batch.column("text"), tokens.ALNUM, tokens.lower_latin):
-                h, kind, value, doc = template(w)
+            out: list[list] = [[], [], [], [], [], [], []]
+            formed = ((w, form) for w in tokens.words(batch.column("text"), tokens.ALNUM, tokens.lower_latin) for form in FORMS)
+            for w, form in formed:
+                h, kind, value, doc = template(w, form)
                 counts = np.bincount(doc, minlength=w.hi - w.lo)
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 for k in lengths:
@@ -100,8 +119,7 @@ def _window_rows(lengths, known, whole: bool):
                     if whole:
                         ok &= (counts[doc[: len(rolled)]] == k) | (k == WINDOW)
                     if known is not None:
-                        at = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
-                        ok &= known[at] == rolled
+                        ok &= _among(rolled, known)
                     for i in np.flatnonzero(ok):
                         d = int(doc[i])
                         slots = np.flatnonzero(kind[i : i + k]) + i
@@ -111,6 +129,7 @@ def _window_rows(lengths, known, whole: bool):
                         out[3].append(value[slots].tolist())
                         out[4].append(int(counts[d]))
                         out[5].append(k)
+                        out[6].append(form)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(out[0], pa.int64())),
@@ -119,8 +138,9 @@ def _window_rows(lengths, known, whole: bool):
                     pa.array(out[3], pa.list_(pa.int64())),
                     pa.array(out[4], pa.int64()),
                     pa.array(out[5], pa.int32()),
+                    pa.array(out[6], pa.bool_()),
                 ],
-                ["id", "at", "hash", "slots", "words", "k"],
+                ["id", "at", "hash", "slots", "words", "k", "form"],
             )
 
     return rows
@@ -128,7 +148,7 @@ def _window_rows(lengths, known, whole: bool):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_item_windows, n_slots): passages of the benchmark in the documents."""
-    shape = "id {}, at bigint, hash bigint, slots array<bigint>, words bigint, k int"
+    shape = "id {}, at bigint, hash bigint, slots array<bigint>, words bigint, k int, form boolean"
     lengths = list(range(MIN_WORDS, WINDOW + 1))
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id is not null")
     items = cut(items.mapInArrow(_window_rows(lengths, None, True), shape.format(dict(items.dtypes)["id"])).distinct())
@@ -140,9 +160,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         # searched as unsigned values, in their order
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     found = texts.mapInArrow(_window_rows(used, known, False), shape.format(dict(texts.dtypes)["id"]))
-    sides = items.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_item_windows")
-    met = found.select("hash", F.col("id").alias("doc_id"), "at", "slots").join(F.broadcast(sides) if known is not None else sides, "hash")
-    passage = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
+    sides = items.select("hash", "form", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_item_windows")
+    met = found.select("hash", "form", F.col("id").alias("doc_id"), "at", "slots").join(F.broadcast(sides) if known is not None else sides, ["hash", "form"])
+    passage = met.groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.countDistinct("item_at").alias("n_windows"),
         F.max("n_item_windows").alias("n_item_windows"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tempoweir.llm import pii_surrogates
+from tempoweir.llm import pii_surrogates, template_decontam
 from tests.llm.test_operators import docs
 
 
@@ -14,6 +14,23 @@ def hidden(spark, *texts):
     return [got[i] for i in range(len(texts))]
 
 
+def leaks(spark, texts, items):
+    got = template_decontam.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    return sorted((r.doc_id, r.item_id) for r in got.collect())
+
+
+# ---- 4
+
+CLIPS = "Natalia sold 48 clips in April and 24 in May total"
+SHORT = "Tom has 3 red pens. Tom buys 4 more pens. Ann takes 2 old pens. Ann gives 5 new pens. Tom sells 6 blue pens. How many pens are left?"
+
+
+def test_items_with_names_at_sentence_starts(spark):
+    renamed = SHORT.replace("Tom", "Peter").replace("Ann", "Maria")
+    texts = [(1, f"see {CLIPS}"), (2, "So. " + CLIPS.replace("Natalia", "Maria")), (3, CLIPS), (4, renamed), (5, "The sum is here"), (6, "Paris is the capital of France")]
+    assert leaks(spark, texts, [(1, CLIPS), (2, SHORT), (3, "What is the capital of France?")]) == [(1, 1), (2, 1), (3, 1), (4, 2)]
+
+
 # ---- 5
 
 
