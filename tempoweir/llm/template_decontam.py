@@ -8,9 +8,13 @@ sentence opens with; forms are matched with their like.  Hashes of windows of te
 with those of the corpus.  Matches of one document and one item on one diagonal
 (place in the text minus place in the item) stand for one passage: it counts when
 it matches MIN_WINDOWS windows, or all of a shorter item, and when its slots are
-consistent, each value of the item standing for one value of the text and the
-other way round, so that a question with new numbers and names is caught and an
-accidental alignment is not.
+consistent, so that a question with new numbers and names is caught and an accidental
+alignment is not.  Slots at the passage's first and last word do not count, as their
+runs may take in a neighbour.  Where at least half of the passage's words are matched
+as wording, new values are free, two of the item's may become one and one may become
+two; only a value of the item that stands for itself must not stand for another too.
+Elsewhere each value of the item stands for one value of the text and the other way
+round.  Rows are told apart by their text, so equal ids do not mix.
 
 Texts of fewer template words than a window are held as one window of their own
 length; items of fewer than MIN_WORDS are too short to be told apart and match
@@ -102,8 +106,8 @@ def _window_rows(lengths, known, whole: bool):
 
     def rows(batches):
         for batch in batches:
-            ids = batch.column("id")
-            out: list[list] = [[], [], [], [], [], [], []]
+            ids, rows_of = batch.column("id"), batch.column("row")
+            out: list[list] = [[], [], [], [], [], [], [], []]
             formed = ((w, form) for w in tokens.words(batch.column("text"), tokens.ALNUM, tokens.lower_latin) for form in FORMS)
             for w, form in formed:
                 h, kind, value, doc = template(w, form)
@@ -130,6 +134,7 @@ def _window_rows(lengths, known, whole: bool):
                         out[4].append(int(counts[d]))
                         out[5].append(k)
                         out[6].append(form)
+                        out[7].append((slots - starts[d]).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(out[0], pa.int64())),
@@ -139,8 +144,10 @@ def _window_rows(lengths, known, whole: bool):
                     pa.array(out[4], pa.int64()),
                     pa.array(out[5], pa.int32()),
                     pa.array(out[6], pa.bool_()),
+                    pa.array(out[7], pa.list_(pa.int64())),
+                    rows_of.take(pa.array(out[0], pa.int64())),
                 ],
-                ["id", "at", "hash", "slots", "words", "k", "form"],
+                ["id", "at", "hash", "slots", "words", "k", "form", "places", "row"],
             )
 
     return rows
@@ -148,9 +155,9 @@ def _window_rows(lengths, known, whole: bool):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_item_windows, n_slots): passages of the benchmark in the documents."""
-    shape = "id {}, at bigint, hash bigint, slots array<bigint>, words bigint, k int, form boolean"
+    shape = "id {}, at bigint, hash bigint, slots array<bigint>, words bigint, k int, form boolean, places array<bigint>, row bigint"
     lengths = list(range(MIN_WORDS, WINDOW + 1))
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id is not null")
+    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"), F.xxhash64(item_text).alias("row")).where("id is not null")
     items = cut(items.mapInArrow(_window_rows(lengths, None, True), shape.format(dict(items.dtypes)["id"])).distinct())
     items = items.withColumn("n_item_windows", F.col("words") - F.col("k") + 1).where(F.col("words") >= MIN_WORDS)
     used = sorted(r["k"] for r in items.select("k").distinct().collect())
@@ -158,20 +165,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if items.select("hash").distinct().count() <= PREFILTER_WINDOWS:
         known = np.sort(np.array([r["hash"] for r in items.select("hash").distinct().collect()] or [0], np.int64).view(np.uint64))
         # searched as unsigned values, in their order
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).where("id is not null")
     found = texts.mapInArrow(_window_rows(used, known, False), shape.format(dict(texts.dtypes)["id"]))
-    sides = items.select("hash", "form", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_item_windows")
-    met = found.select("hash", "form", F.col("id").alias("doc_id"), "at", "slots").join(F.broadcast(sides) if known is not None else sides, ["hash", "form"])
-    passage = met.groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
-        F.countDistinct("item_at").alias("n_windows"),
+    sides = items.select(
+        "hash", "form", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "places", "k", "n_item_windows"
+    )
+    met = found.select("hash", "form", F.col("id").alias("doc_id"), "row", "at", "slots").join(F.broadcast(sides) if known is not None else sides, ["hash", "form"])
+    passage = met.groupBy("doc_id", "row", "item_id", "item_row", "form", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
+        F.collect_set("item_at").alias("windows"),
+        F.max("k").alias("k"),
         F.max("n_item_windows").alias("n_item_windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots", "places")))).alias("placed"),
     )
+    passage = passage.withColumn("n_windows", F.size("windows").cast("long")).where(F.col("n_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("n_item_windows")))
+    pairs_of = lambda placed: F.array_distinct(F.transform(placed, lambda p: F.struct(p["item_slots"].alias("item"), p["slots"].alias("text"))))
+    first, last = F.array_min("windows"), F.array_max("windows") + F.col("k") - 1
+    words = F.size(F.array_distinct(F.flatten(F.transform("windows", lambda a: F.sequence(a, a + F.col("k") - 1)))))
+    passage = passage.select(
+        "doc_id", "item_id", "n_windows", "n_item_windows",
+        (F.size("placed") * 2 <= words).alias("worded"),
+        F.size(pairs_of(F.col("placed"))).cast("long").alias("n_slots"),
+        pairs_of(F.filter("placed", lambda p: (p["places"] > first) & (p["places"] < last))).alias("pairs"),
+    )
     sided = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    passage = passage.where(F.col("n_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("n_item_windows")))
-    passage = passage.where((F.size("pairs") == sided("item_slots")) & (F.size("pairs") == sided("slots")))
+    kept = F.transform(F.filter("pairs", lambda p: p["item"] == p["text"]), lambda p: p["item"])
+    blurred = F.exists("pairs", lambda p: (p["item"] != p["text"]) & F.array_contains(kept, p["text"]))
+    strict = (F.size("pairs") == sided("item")) & (F.size("pairs") == sided("text"))
+    passage = passage.where(strict | (F.col("worded") & ~blurred))
     return passage.groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots")
+        F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.max("n_slots").alias("n_slots")
     )
 
 

@@ -31,6 +31,20 @@ def test_items_with_names_at_sentence_starts(spark):
     assert leaks(spark, texts, [(1, CLIPS), (2, SHORT), (3, "What is the capital of France?")]) == [(1, 1), (2, 1), (3, 1), (4, 2)]
 
 
+def test_new_values_may_merge_split_and_run_into_neighbours(spark):
+    item = "Ann had 5 apples at noon and then bought 7 pears before she gave 2 figs and 2 plums to the old man by the river"
+    merged, split = item.replace("5", "6").replace("7", "6"), item.replace("2 figs", "3 figs").replace("2 plums", "4 plums")
+    edge = "12 boxes hold 12 lamps each and stand in the long hall by the river"
+    texts = [(1, merged), (2, split), (3, "3. " + edge), (4, item.replace("5", "8")), (4, item.replace("5", "9")), (5, item.replace("5", "7"))]
+    assert leaks(spark, texts, [(1, item), (2, edge)]) == [(1, 1), (2, 1), (3, 2), (4, 1)]
+
+
+def test_rows_of_one_id_do_not_mix(spark):
+    row = "12 Bo 7 Al 9 Cy 5 Di 3 Ed 8 Flo 6 Gus 4 Hal 2 Ira"
+    other = row.replace("12", "31").replace("7", "44").replace("9", "52")
+    assert leaks(spark, [(4, "see " + row), (4, "see " + other)], [(1, "see " + row)]) == [(4, 1)]
+
+
 # ---- 5
 
 
