@@ -32,6 +32,30 @@ BASE = (
     ("reserved", "all rights reserved"),
 )
 _VERSION = '<<var;name="version";match="[0-9]+";words="1..2">>'
+_HOLDERS = '<<var;name="holders";match=".+";words="1..12">>'
+_BULLET = '<<beginOptional>><<var;name="bullet";match="[0-9]|[a-z]|[ivx]+">> <<endOptional>>'
+_BSD_OPENS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    f"{_BULLET}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    f"{_BULLET}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_ADVERTS = (
+    f"{_BULLET}All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+    'This product includes software developed by <<var;name="maker";match=".+";words="1..20">> '
+)
+_BSD_NAMES = (
+    f"{_BULLET}<<beginOptional>>Neither <<endOptional>>the name of {_HOLDERS} "
+    '<<beginOptional>>nor the names of <<var;name="its";match="[a-z]+">> contributors <<endOptional>>may <<beginOptional>>not <<endOptional>>be used to '
+    "endorse or promote products derived from this software without specific prior written permission. "
+)
+_BSD_ENDS = (
+    f'THIS SOFTWARE IS PROVIDED BY {_HOLDERS} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+    f"MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {_HOLDERS} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
 TEMPLATES = (
     ("apache", f'Licensed under the Apache License<<beginOptional>>, (the "License")<<endOptional>>, Version {_VERSION}'),
     ("cc-by-nc", f"Licensed under <<beginOptional>>a<<endOptional>> CC BY-NC {_VERSION}"),
@@ -45,13 +69,18 @@ TEMPLATES = (
     (
         "mit-text",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-        'files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without restriction',
-    ),
-    (
-        "bsd-text",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted"
-        "<<beginOptional>> (subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met",
+        'files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights '
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+        "is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+        "<<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        'MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND <<beginOptional>>NON <<endOptional>><<var;name="non";match="(non)?infringement">>. '
+        f"IN NO EVENT SHALL {_HOLDERS} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
     ),
+    ("bsd-2-text", _BSD_OPENS + _BSD_ENDS),
+    ("bsd-3-text", _BSD_OPENS + _BSD_NAMES + _BSD_ENDS),
+    ("bsd-4-text", _BSD_OPENS + _BSD_ADVERTS + _BSD_NAMES + _BSD_ENDS),
     (
         "copyright-line",
         'Copyright <<beginOptional>>(c) <<endOptional>><<var;name="years";match="[0-9]{4}";words="1..4">> '

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tempoweir.llm import pii_surrogates, template_decontam
+from tempoweir.llm import license_scan, pii_surrogates, template_decontam
 from tests.llm.test_operators import docs
 
 
@@ -89,3 +89,37 @@ def test_formats_of_phones_cards_and_addresses(spark):
     assert new[3][4] == new[5][5] == "0" and re.sub(r"\D", "", new[3]) == re.sub(r"\D", "", new[5])
     plain = ["from 2019-2021 in 12.5 and 1,234,567", "01-02-2024 at 10:20:30", "10 20 30 40 50", "std::vector a::b", "0.12345678"]
     assert hidden(spark, *plain) == plain
+
+
+# ---- 7
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+{}
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
+other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES = "{}. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+ADVERTS = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by Some Body.\n"
+
+
+def test_license_texts_count_by_their_full_wording(spark):
+    texts = [
+        (1, MIT.format("")), (2, MIT.format("The Software shall be used for Good, not Evil.")), (3, MIT[:300]), (4, BSD.format("")), (5, BSD.format(NAMES.format(3))),
+        (6, BSD.format(ADVERTS + NAMES.format(4))), (7, BSD[:170]), (8, MIT.format("").replace("NONINFRINGEMENT", "NON-INFRINGEMENT")),
+    ]
+    got = {r.doc_id: sorted({m.label for m in r.matches}) for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {1: ["mit-text"], 2: [], 3: [], 4: ["bsd-2-text"], 5: ["bsd-3-text"], 6: ["bsd-4-text"], 7: [], 8: ["mit-text"]}
