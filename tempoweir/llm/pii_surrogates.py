@@ -53,16 +53,17 @@ _NAME = rf"{_EDGE}(?:(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}++(?:
 _HEXTET = "[0-9a-fA-F]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CODE = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
-_CLEAR, _CLOSED = r"(?<![\p{L}\p{N}.,:/+-])", r"(?!\p{N}|\p{L}|[.,:/-]\d)"
+_CLEAR, _CLOSED = r"(?<![\p{L}\p{N}.,:/+-])", r"(?!\p{N}|\p{L}|[.:]\d)"
 PHONES = (
-    # country code and groups of one to eight digits, 7 to 15 in all
-    rf"{_EDGE}\+(?=(?:[ ./()-]{{0,3}}\d){{7,15}}+(?![ ./()-]{{0,2}}\d))\d{{1,3}}(?:[ ./-]?\(\d{{1,4}}\))?(?:[ ./-]?\d{{1,15}}){{1,7}}(?!\d)",
-    # area code in brackets; three, three and four digits; trunk 0 and 8 to 13 digits in groups or pairs
+    # country code 1 and ten digits; any country code and 7 to 15 digits in any grouping
+    rf"{_EDGE}\+1[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\d)",
+    rf"{_EDGE}\+\d(?:[ ./-]?\(?\d\)?){{6,14}}(?!\d)",
+    # area code in brackets; three, three and four digits; trunk 0 and 8 digits or more in groups or pairs
     rf"(?<![\p{{L}}\p{{N}}])\(\d{{2,5}}\) ?(?:\d{{3,4}}[ .-]?\d{{3,4}}|\d{{5,8}}|\d{{2}}(?:[ .-]\d{{2}}){{2,3}}){_CLOSED}",
     rf"{_CLEAR}(?:1[ .-])?[2-9]\d{{2}}([ .-])[2-9]\d{{2}}\1\d{{4}}{_CLOSED}",
-    rf"{_CLEAR}(?=(?:[ ./-]?\d){{8,13}}+(?![ ./-]?\d))0\d(?:(?:[ .-]\d{{2}}){{4}}|\d{{0,3}}[ /-]\d{{3,8}}(?:[ -]\d{{2,4}}){{0,3}}){_CLOSED}",
+    rf"{_CLEAR}(?=(?:[ ./-]?\d){{8}})0\d(?:(?:[ .-]\d{{2}}){{4}}|\d{{0,3}}[ /-]\d{{3,8}}(?:[ -]\d{{2,8}}){{0,3}}+){_CLOSED}",
     # any grouping behind a label
-    r"(?<=(?<![\p{L}\p{N}])(?i:tel|phone|telephone|mobile|cell|fax|call)[.:]{0,2} ?)(?=(?:[ ./()-]{0,3}\d){7,15}+(?![ ./()-]{0,2}\d))\(?\d[\d ./()-]{5,24}\d(?!\d)",
+    r"(?<=(?<![\p{L}\p{N}])(?i:tel|phone|telephone|mobile|cell|fax|call)[.:]{0,2} ?)\(?\d(?:[ ./-]?\(?\d\)?){6,14}(?!\d)",
 )
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",

@@ -80,13 +80,17 @@ def test_long_secrets_leave_no_tail(spark):
 def test_formats_of_phones_cards_and_addresses(spark):
     values = [
         "(743) 555-3824", "743-555-3824", "743 555 3824", "030 1234567", "0171/1234567", "(030) 1234567", "+33 6 12 34 56 78", "+45 12 34 56 78", "06 12 34 56 78", "020 7946 0958",
-        "3782 822463 10005", "3782-822463-10005", "2001:db8::ff00:42:8329", "fe80::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ab:cd:ef:ab:cd:ef:ab:cd",
+        "0049 171 1234567", "3782 822463 10005", "3782-822463-10005", "2001:db8::ff00:42:8329", "fe80::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ab:cd:ef:ab:cd:ef:ab:cd",
     ]
     new = hidden(spark, *[f"see {v}, ok" for v in values], "tel. 12 34 56 78", "+12125551234 is +1 (212) 555-1234")
     for v, n in zip(values, new, strict=False):
         assert v not in n and re.sub(r"[0-9a-f]", "x", n[4:-4]) == re.sub(r"[0-9a-f]", "x", v), n
     assert "12 34 56 78" not in new[-2] and len({re.sub(r"\D", "", p) for p in new[-1].split(" is ")}) == 1
     assert new[3][4] == new[5][5] == "0" and re.sub(r"\D", "", new[3]) == re.sub(r"\D", "", new[5])
+    beside = hidden(spark, "+1 (337) 555-7349 4111 1111 1111 1111", "+1 (337) 555-7349 2 left", "030 1234567 2024", "+44 20 7946 0958 4111 1111 1111 1111")
+    for n, old in zip(beside, ("555-7349", "555-7349", "1234567", "7946 0958"), strict=True):
+        assert old not in n and "1111 1111" not in n
+    assert beside[1].endswith(" 2 left") and beside[0][:17] == beside[1][:17]
     plain = ["from 2019-2021 in 12.5 and 1,234,567", "01-02-2024 at 10:20:30", "10 20 30 40 50", "std::vector a::b", "0.12345678"]
     assert hidden(spark, *plain) == plain
 
