@@ -39,3 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, the measure that block counts follow."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

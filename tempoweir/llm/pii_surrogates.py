@@ -1,39 +1,47 @@
 r"""PII surrogates: keyed, type-consistent, distinct and coreferent replacements.
 
 Everything is DataFrame and SQL functions.  One pattern finds e-mail addresses,
-phone numbers, IPv4 and IPv6 addresses, payment cards, social security numbers, secrets
-and titled names.  The mutable characters of an entity (digits, letters by case
-and script, hexadecimal digits, octets) are replaced by a keyed Feistel network
-over their mixed radices.  For one key, type and format it is a permutation: two
-entities never get one surrogate, and one entity gets the same everywhere.
-Format stays: case, separators, country code, card issuer and Luhn validity,
-trunk 0, top-level domain, lengths.  A known first name becomes another of the same
-gender and script, other names keep their pattern of vowels and consonants.
-
-A collision check goes over the distinct entities of the whole corpus first: an
-entity whose surrogate is also an original somewhere, or the surrogate of a
-known name met by an unknown one, is given another permutation until none is
+phone numbers, IPv4 and IPv6 addresses, payment cards, IBANs, social security numbers,
+secrets and names behind a title or a phrase such as "my name is".  The mutable characters of an
+entity (digits, letters by case and script, hexadecimal digits, octets) are replaced by a
+keyed Feistel network over their mixed radices.  For one key, type and format it is a
+permutation: two entities never get one surrogate, and one entity gets the same everywhere.
+Format stays: case, separators, country code, card issuer, Luhn and IBAN checks,
+trunk 0, top-level domain, lengths.
+
+Names are replaced word by word.  A word's gender is that of its title, else that of the
+list it is in; words that stand last in a name of two words have none.  A listed
+first name becomes another of its list, other words keep their pattern of vowels and
+consonants (or their script), those of a gender end like one.  A word that a
+document introduces as a name is replaced wherever it recurs there, in capitals too.
+
+The distinct entities of all texts get their surrogates once, in a table.  A collision check
+goes over it: an entity whose surrogate is also an original somewhere, or is
+met by another entity, is given another permutation until none is
 left.  After MOST_TRIES permutations in its own format the space of a name, e-mail
 address or secret grows, a listed name leaving its list and then two letters more in
 each try; LAST_TRIES without an end raise.  Entities without a mutable character
-stay as they are.  These few are joined to the documents that hold them.
+stay as they are.  Each text with entities then gets a map of its mentions, by a
+128-bit hash of the text; a small table of maps is broadcast, a larger one is joined.
 
 Null texts stay null; texts without entities stay as they are.  Repeated rows
 are replaced alike; null ids too.  An empty table gives no rows.  Other columns
-stay, named as they were.
+stay, named as they were, but for one named n_entities_, which the count replaces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempoweir.llm.common import cut, table
+from tempoweir.llm.common import cut, fresh, table
 
 ROUNDS = 6
 MOST_TRIES = 8  # within the own format; more letters from then on
 LAST_TRIES = 64
-BROADCAST_TEXTS = 20_000
+BROADCAST_BYTES = 4 << 20
 DEFAULT_KEY = "tempoweir-demo-key"
 
 # Alphabets of mutable characters, first names by gender, titles.
@@ -41,15 +49,20 @@ DIGITS, LATIN, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcd
 ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+#: First code point and size of alphabets that are ranges: Hangul, Han, kana, Arabic, Hebrew, Devanagari, Thai.
+RANGES = ((0xAC00, 11172), (0x4E00, 20902), (0x3041, 86), (0x30A1, 90), (0x0621, 26), (0x0641, 10), (0x05D0, 27), (0x0915, 37), (0x0E01, 46))
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 FEMALE = "anna maria laura julia sofia emma clara elena lucia marta alice sarah emily grace helen karen susan linda nora ida"
 MALE = "john james peter paul david daniel thomas martin robert george henry frank oliver lucas max felix carlos diego pablo jean"
-TITLES_F, TITLES_M = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra", "Mr|Herr|Monsieur|Señor|Sr|Don"
+TITLES_F, TITLES_M = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία", "Mr|Herr|Monsieur|Señor|Sr|Don|Господин|Κύριος"
+CUES = "my name is|name ?:|mein Name ist|ich heiße|je m'appelle|me llamo|mi nombre es"
 
 LABELS = "token|secret|password|api_key"
 
 _EDGE = r"(?<![\p{L}\p{N}])"
-_NAME = rf"{_EDGE}(?:(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?)(?![\p{{L}}\p{{N}}])"
+_TITLE = rf"(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\.? "
+_WORD = r"(?:\p{Lu}\p{Ll}++|\p{Lo}[\p{Lo}\p{M}ー]{1,15}+)"
+_NAME = rf"{_EDGE}(?:{_TITLE}|(?<={_EDGE}(?i:{CUES}) ?)){_WORD}(?: {_WORD})?(?![\p{{L}}\p{{N}}])"
 _HEXTET = "[0-9a-fA-F]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CODE = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
@@ -60,7 +73,7 @@ PHONES = (
     rf"{_EDGE}\+\d(?:[ ./-]?\(?\d\)?){{6,14}}(?!\d)",
     # area code in brackets; three, three and four digits; trunk 0 and 8 digits or more in groups or pairs
     rf"(?<![\p{{L}}\p{{N}}])\(\d{{2,5}}\) ?(?:\d{{3,4}}[ .-]?\d{{3,4}}|\d{{5,8}}|\d{{2}}(?:[ .-]\d{{2}}){{2,3}}){_CLOSED}",
-    rf"{_CLEAR}(?:1[ .-])?[2-9]\d{{2}}([ .-])[2-9]\d{{2}}\1\d{{4}}{_CLOSED}",
+    rf"{_CLEAR}(?:1[ .-])?[2-9]\d{{2}}([ .-])\d{{3}}\1\d{{4}}{_CLOSED}",
     rf"{_CLEAR}(?=(?:[ ./-]?\d){{8}})0\d(?:(?:[ .-]\d{{2}}){{4}}|\d{{0,3}}[ /-]\d{{3,8}}(?:[ -]\d{{2,8}}){{0,3}}+){_CLOSED}",
     # any grouping behind a label
     r"(?<=(?<![\p{L}\p{N}])(?i:tel|phone|telephone|mobile|cell|fax|call)[.:]{0,2} ?)\(?\d(?:[ ./-]?\(?\d\)?){6,14}(?!\d)",
@@ -70,6 +83,7 @@ KINDS = {
     "phone": "|".join(PHONES),
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEXTET}:){{7}}{_HEXTET}|(?=[a-fA-F:]{{0,31}}\d){_HEXTET}(?::{_HEXTET}){{0,5}}::{_HEXTET}(?::{_HEXTET}){{0,5}})(?![\p{{L}}\p{{N}}:]|\.\d)",
+    "iban": rf"{_EDGE}(?=(?: ?[A-Z0-9]){{15}})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
     "card": rf"{_EDGE}(?:\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}|\d{{13,19}})(?![\p{{L}}\p{{N}}])",
     "ssn": rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
     "secret": rf"{_EDGE}[0-9a-fA-F]{{32,}}+(?![\p{{L}}\p{{N}}])|(?<=(?:{LABELS}) ?[=:] ?\"?)[A-Za-z0-9_/+=.-]{{11,}}[A-Za-z0-9_/+=-]",
@@ -83,18 +97,19 @@ def _chars(s: Column) -> Column:
 
 
 def _alphabet(kind: Column, c: Column) -> Column:
-    """Alphabet of a lower-cased character, null if it stays."""
-    plain = F.when(F.instr(F.lit(DIGITS), c) > 0, DIGITS)
-    letters = F.when(F.instr(F.lit(VOWELS), c) > 0, VOWELS).when(F.instr(F.lit(CONSONANTS), c) > 0, CONSONANTS)
-    other = (
-        F.when(F.instr(F.lit(ACCENTED), c) > 0, ACCENTED).when(F.instr(F.lit(GREEK), c) > 0, GREEK).when(F.instr(F.lit(CYRILLIC), c) > 0, CYRILLIC)
+    """(letters, first code point, size) of a lower-cased character's alphabet, null if it stays."""
+    of = lambda letters: F.struct(F.lit(letters).alias("a"), F.lit(0).alias("lo"), F.lit(len(letters)).alias("n"))
+    among = lambda *sets: reduce(lambda w, x: w.when(F.instr(F.lit(x), c) > 0, of(x)), sets[1:], F.when(F.instr(F.lit(sets[0]), c) > 0, of(sets[0])))
+    itself = F.struct(c.alias("a"), F.lit(0).alias("lo"), F.lit(1).alias("n"))
+    ranged = reduce(
+        lambda w, r: w.when(F.ascii(c).between(r[0], r[0] + r[1] - 1), F.struct(F.lit("").alias("a"), F.lit(r[0]).alias("lo"), F.lit(r[1]).alias("n"))), RANGES, F.when(F.lit(False), None)
     )
     return (
-        F.when(kind == "hex", F.when(F.instr(F.lit(HEX), c) > 0, HEX).otherwise(c))
-        .when(kind == "name", F.coalesce(letters, other))
-        .when(kind == "secret", F.coalesce(plain, F.when(F.instr(F.lit(LATIN), c) > 0, LATIN), c))
-        .when(kind.isin("email", "domain"), F.coalesce(plain, F.when(F.instr(F.lit(LATIN), c) > 0, LATIN), other))
-        .otherwise(plain)
+        F.when(kind == "hex", F.coalesce(among(HEX), itself))
+        .when(kind == "name", F.coalesce(among(VOWELS, CONSONANTS, ACCENTED, GREEK, CYRILLIC), ranged))
+        .when(kind == "secret", F.coalesce(among(DIGITS, LATIN), itself))
+        .when(kind.isin("email", "domain", "iban"), among(DIGITS, LATIN, ACCENTED, GREEK, CYRILLIC))
+        .otherwise(among(DIGITS))
     )
 
 
@@ -128,13 +143,14 @@ def _replaced(s: Column, kind: Column, tweak: Column) -> Column:
     def rebuilt(marked: Column) -> Column:
         mutable = F.filter(marked, lambda m: m["a"].isNotNull())
         new = permuted(
-            F.transform(mutable, lambda m: (F.instr(m["a"], m["l"]) - 1).cast("long")),
-            F.transform(mutable, lambda m: F.length(m["a"]).cast("long")),
+            F.transform(mutable, lambda m: F.when(m["a"]["lo"] > 0, F.ascii(m["l"]) - m["a"]["lo"]).otherwise(F.instr(m["a"]["a"], m["l"]) - 1).cast("long")),
+            F.transform(mutable, lambda m: m["a"]["n"].cast("long")),
             F.concat_ws("|", tweak, kind),
         )
 
         def put(m: Column, v: Column) -> Column:
-            char = m["a"].substr((v + 1).cast("int"), F.lit(1))
+            drawn = F.decode(F.unhex(F.lpad(F.hex(m["a"]["lo"] + v), 4, "0")), "UTF-16BE")
+            char = F.when(m["a"]["lo"] > 0, drawn).otherwise(m["a"]["a"].substr((v + 1).cast("int"), F.lit(1)))
             return F.when(m["a"].isNull(), m["c"]).otherwise(F.when(m["c"] != m["l"], F.upper(char)).otherwise(char))
 
         def step(acc: Column, m: Column) -> Column:
@@ -174,9 +190,9 @@ def _spread(s: Column, digits: Column) -> Column:
 def kind_of(entity: Column) -> Column:
     out = F.lit("name")
     out = F.when(entity.rlike("^[(0-9][0-9 ./()-]+$"), "phone").otherwise(out)  # found by its label
-    for kind in reversed([k for k in ("email", "ssn", "card", "phone", "ip", "ip6")]):
+    for kind in reversed([k for k in ("email", "ssn", "card", "phone", "ip", "ip6", "iban")]):
         out = F.when(entity.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
-    shaped = "|".join(KINDS[k] for k in ("ssn", "card", "phone", "ip"))
+    shaped = "|".join(KINDS[k] for k in ("ssn", "card", "phone", "ip", "iban"))
     secret = entity.rlike("^(?:[0-9a-fA-F]{32,}|(?![0-9.-]{0,24}$)[A-Za-z0-9_/+=.-]{12,})$") & ~entity.contains("@")
     out = F.when(secret & ~entity.rlike(f"^(?:{shaped})$"), "secret").otherwise(out)
     return F.when(entity.rlike("^[0-9]{13,19}$"), "card").otherwise(out)
@@ -187,28 +203,42 @@ def canonical(entity: Column, kind: Column) -> Column:
     return (
         F.when(kind == "phone", F.regexp_replace(entity, "[^0-9+]", ""))
         .when(kind.isin("card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
-        .when(kind == "name", F.lower(F.regexp_replace(entity, r"^\S+ ", "")))
+        .when(kind == "iban", F.lower(F.regexp_replace(entity, " ", "")))
         .when(kind == "ip", entity)
         .otherwise(F.lower(entity))
     )
 
 
-def _known_name(name: Column, tweak: Column) -> Column:
-    """Another first name of the same list, null for a name of none."""
+def _listed(word: Column) -> Column:
+    """Gender of a listed first name, null for others."""
+    female, male = (F.array(*[F.lit(x) for x in names.split()]) for names in (FEMALE, MALE))
+    return F.when(F.array_contains(female, F.lower(word)), "F").when(F.array_contains(male, F.lower(word)), "M")
+
+
+def _known_name(word: Column, gender: Column, tweak: Column) -> Column:
+    """Another first name of the gender's list, null for a word that is not in it; in capitals if the word is."""
     female, male = (F.array(*[F.lit(x) for x in names.split()]) for names in (FEMALE, MALE))
-    low = F.lower(name)
-    own = F.when(F.array_contains(female, low), female).when(F.array_contains(male, low), male)
-    at = F.struct((F.array_position(own, low) - 1).alias("i"), own.alias("of"))
+    own = F.when(gender == "F", female).when(gender == "M", male)
+
+    def other(of: Column) -> Column:
+        at = F.array_position(of, F.lower(word)) - 1
+        moved = F.element_at(permuted(F.array(at), F.array(F.size(of).cast("long")), F.concat_ws("|", tweak, gender)), 1)
+        name = F.element_at(of, (moved + 1).cast("int"))
+        return F.when(at >= 0, F.when(F.upper(word) == word, F.upper(name)).otherwise(F.initcap(name)))
+
+    return F.when(_listed(word) == gender, _let(own, other))
 
-    def other(at: Column) -> Column:
-        moved = permuted(F.array(at["i"]), F.array(F.size(at["of"]).cast("long")), F.concat_ws("|", tweak, F.element_at(at["of"], 1)))
-        return F.initcap(F.element_at(at["of"], (F.element_at(moved, 1) + 1).cast("int")))
 
-    return F.when(own.isNotNull(), _let(at, other))
+def _iban_check(digits: Column) -> Column:
+    """Two check digits of an IBAN (lower-cased, without spaces), those it has not counting."""
+    moved = F.concat(digits.substr(F.lit(5), F.length(digits)), digits.substr(F.lit(1), F.lit(2)), F.lit("00"))
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 87)
+    rest = F.aggregate(_chars(moved), F.lit(0), lambda a, c: _let(value(c), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
 
 
-def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
-    """Surrogate of one mention: its pieces, each kept or permuted in an alphabet under a tweak."""
+def surrogate(entity: Column, kind: Column, gender: Column, key: str, tries: Column) -> Column:
+    """Surrogate of one mention (of one word of a name): its pieces, each kept or permuted in an alphabet under a tweak."""
     tweak = F.concat_ws("|", F.lit(key), kind, tries.cast("string"))
     more = F.repeat(F.lit("na"), F.greatest(F.lit(0), tries - MOST_TRIES).cast("int"))
 
@@ -227,78 +257,122 @@ def surrogate(entity: Column, kind: Column, key: str, tries: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
     issuer, last = digits.substr(F.lit(1), F.lit(1)), digits.substr(F.length(digits), F.lit(1)).cast("int")
     card = F.array(piece(issuer), piece(digits.substr(F.lit(2), F.length(digits) - 2), "card", F.concat_ws("|", tweak, issuer)))
+    iban = F.array(piece(entity.substr(F.lit(1), F.lit(4))), piece(entity.substr(F.lit(5), F.length(entity)), "iban", F.concat_ws("|", tweak, entity.substr(F.lit(1), F.lit(2)))))
     # after MOST_TRIES, groups of an IPv6 address get all four digits
     groups = F.array_join(F.transform(F.split(entity, ":"), lambda g: F.when(g != "", F.lpad(g, 4, "0")).otherwise(g)), ":")
     wide = F.when(kind == "secret", F.concat(entity, more)).when((kind == "ip6") & (tries >= MOST_TRIES), groups).otherwise(entity)
     whole = F.array(piece(wide, F.when(kind == "ssn", "ssn").when((kind == "ip6") | entity.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("secret")))
-    parts = F.split(entity, " ")
-    rest = F.concat(F.lit(" "), F.array_join(F.slice(parts, 3, F.size(parts)), " "))
-    name = F.array(piece(F.concat(parts[0], F.lit(" "))), piece(F.concat(F.element_at(parts, 2), more), "first"), piece(F.when(F.size(parts) > 2, rest).otherwise(""), "name"))
-    pieces = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "name", name).otherwise(whole)
+    capitals = F.length(entity) > 1
+    longer = F.concat(entity, F.when(capitals & (F.upper(entity) == entity), F.upper(more)).otherwise(more))
+    word = F.array(piece(longer, "name", F.concat_ws("|", tweak, gender)))
+    pieces = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", word).otherwise(whole)
+    joined = F.array_join(F.transform(pieces, lambda p: F.when(p["a"].isNull(), p["s"]).otherwise(_replaced(p["s"], p["a"], p["t"]))), "")
+
+    def gendered(name: Column) -> Column:
+        # Latin words of four letters or more end in a, or else in no vowel but o
+        end = F.when(gender == "F", F.regexp_replace(name, "(?<=[A-Za-z]{3})[a-z]$", "a")).otherwise(F.regexp_replace(name, "(?<=[A-Za-z]{3})[aeiu]$", "o"))
+        end = F.when(name.rlike("[a-z]$"), end).when(gender == "F", F.regexp_replace(name, "(?<=[A-Z]{3})[A-Z]$", "A")).otherwise(F.regexp_replace(name, "(?<=[A-Z]{3})[AEIU]$", "O"))
+        return F.when(gender == "N", name).otherwise(end)
 
-    def put(p: Column) -> Column:
-        other = _replaced(p["s"], F.when(p["a"] == "first", "name").otherwise(p["a"]), p["t"])
-        return F.when(p["a"].isNull(), p["s"]).otherwise(F.coalesce(F.when((p["a"] == "first") & (tries < MOST_TRIES), _known_name(p["s"], p["t"])), other))
-
-    joined = F.array_join(F.transform(pieces, put), "")
     off = last - _luhn(digits.substr(F.lit(1), F.length(digits) - 1))
     luhn = lambda m: _spread(entity, F.concat(m, F.pmod(_luhn(m) + off, F.lit(10)).cast("string")))
+    checked = lambda m: F.concat(m.substr(F.lit(1), F.lit(2)), _iban_check(F.lower(F.regexp_replace(m, " ", ""))), m.substr(F.lit(5), F.length(m)))
     octets = F.transform(F.split(entity, r"\."), lambda x: x.cast("long"))
     ip = F.array_join(F.transform(permuted(octets, F.array_repeat(F.lit(256).cast("long"), 4), tweak), lambda x: x.cast("string")), ".")
-    return F.when(kind == "ip", ip).otherwise(_let(joined, lambda m: F.when(kind == "card", luhn(m)).otherwise(m)))
+    named = lambda m: F.coalesce(F.when(tries < MOST_TRIES, _known_name(entity, gender, tweak)), gendered(m))
+    return F.when(kind == "ip", ip).otherwise(_let(joined, lambda m: F.when(kind == "card", luhn(m)).when(kind == "iban", checked(m)).when(kind == "name", named(m)).otherwise(m)))
 
 
 def entities(text: Column) -> Column:
-    """Mentions in order; texts without a digit, ``@``, title, secret's label or 32 hexadecimal letters are not searched."""
-    may = text.rlike(rf"[0-9@]|:[a-fA-F]{{1,4}}:|(?:{LABELS}) ?[=:]|[a-fA-F]{{32}}|{_EDGE}(?:{TITLES_F}|{TITLES_M}|Dr|Prof)[. ]")
+    """Mentions in order; texts without a digit, ``@``, title, cue, secret's label or 32 hexadecimal letters are not searched."""
+    may = text.rlike(rf"[0-9@]|:[a-fA-F]{{1,4}}:|(?:{LABELS}) ?[=:]|[a-fA-F]{{32}}|{_EDGE}(?:{_TITLE}|(?i:{CUES}))")
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _fixed(canon: Column, kind: Column) -> Column:
     """Whether no character of an entity can be replaced."""
-    mutable = F.when(kind == "email", F.regexp_replace(canon, r"\.\p{L}+$", "")).otherwise(canon).rlike(f"[{DIGITS}{LATIN}{ACCENTED}{GREEK}{CYRILLIC}]")
+    ranges = "".join(f"{chr(lo)}-{chr(lo + n - 1)}" for lo, n in RANGES)
+    mutable = F.when(kind == "email", F.regexp_replace(canon, r"\.\p{L}+$", "")).otherwise(canon).rlike(f"[{DIGITS}{LATIN}{ACCENTED}{GREEK}{CYRILLIC}{ranges}]")
     return kind.isin("name", "email", "secret") & ~mutable
 
 
-def collisions(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
-    """(kind, canon, tries): entities of the corpus that need another permutation than the first."""
-    found = docs.select(F.explode(entities(F.col(text_col))).alias("e")).distinct()
-    kinds = found.withColumn("kind", kind_of(F.col("e")))
-    known = cut(kinds.select("kind", canonical(F.col("e"), F.col("kind")).alias("canon"), "e").groupBy("kind", "canon").agg(F.min("e").alias("e")).where(~_fixed(F.col("canon"), F.col("kind"))))
-    held = known.withColumn("tries", F.lit(0))
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
+def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b, e, i, lead, p, kind, gender, bare): the pieces p of each text's distinct mentions e, after a lead that stays.
+
+    a and b are hashes of the text.  A name's words are pieces of their own; ``bare`` mentions are
+    the words that a text introduces as names, to be found wherever they recur.
+    """
+    a, b = _text_key(F.col(text_col))
+    found = docs.select(a.alias("a"), b.alias("b"), F.explode(entities(F.col(text_col))).alias("e")).distinct()
+    found = cut(found.withColumn("kind", kind_of(F.col("e"))))
+    other = found.where("kind <> 'name'").select("a", "b", "e", F.lit(0).alias("i"), F.lit("").alias("lead"), F.col("e").alias("p"), "kind", F.lit("N").alias("gender"), F.lit(False).alias("bare"))
+    title = F.regexp_extract("e", f"^{_TITLE}", 0)
+    names = found.where("kind = 'name'").withColumn("title", title).withColumn("words", F.split(F.expr("substring(e, length(title) + 1)"), " "))
+    words = names.select("a", "b", "e", "title", F.size("words").alias("n"), F.posexplode("words").alias("i", "p"))
+    role = F.max("i").over(Window.partitionBy("a", "b", F.lower("p")))
+    of_title = F.when(F.col("title").rlike(f"^(?:{TITLES_F})[. ]"), "F").when(F.col("title").rlike(f"^(?:{TITLES_M})[. ]"), "M")
+    words = words.withColumn("gender", F.when(role == 1, "N").otherwise(F.coalesce(of_title, _listed(F.col("p")), F.lit("N"))))
+    own = words.where("title <> '' OR n > 1").select(
+        "a", "b", "e", "i", F.when(F.col("i") == 0, F.col("title")).otherwise(" ").alias("lead"), "p", F.lit("name").alias("kind"), "gender", F.lit(False).alias("bare")
+    )
+    again = words.groupBy("a", "b", "p").agg(F.min("gender").alias("gender")).withColumn("e", F.explode(F.array_distinct(F.array("p", F.upper("p")))))
+    again = again.groupBy("a", "b", "e").agg(F.min("gender").alias("gender"))
+    again = again.select("a", "b", "e", F.lit(0).alias("i"), F.lit("").alias("lead"), F.col("e").alias("p"), F.lit("name").alias("kind"), "gender", F.lit(True).alias("bare"))
+    return cut(other.unionByName(own).unionByName(again))
+
+
+def surrogates(pieces: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+    """(kind, gender, p, s): the surrogate of each distinct piece; no two entities share one and none is an original."""
+    entity = ["kind", "gender", "canon"]
+
+    def made(rows: DataFrame) -> DataFrame:
+        s = surrogate(F.col("p"), F.col("kind"), F.col("gender"), key, F.col("tries"))
+        rows = rows.select(*entity, "p", "tries", F.when(_fixed(F.col("canon"), F.col("kind")), F.col("p")).otherwise(s).alias("s"))
+        return cut(rows.withColumn("to", canonical(F.col("s"), F.col("kind"))))
+
+    held = made(pieces.select("kind", "gender", "p").distinct().select("*", canonical(F.col("p"), F.col("kind")).alias("canon"), F.lit(0).alias("tries")))
+    originals = held.select("kind", F.col("canon").alias("to")).distinct()
     for _ in range(LAST_TRIES):
-        made = held.withColumn("s", canonical(surrogate(F.col("e"), F.col("kind"), key, F.col("tries")), F.col("kind")))
-        originals = known.select("kind", F.col("canon").alias("s"))
-        taken = made.join(originals, ["kind", "s"], "left_semi").select("kind", "canon")
-        twice = made.groupBy("kind", "s").agg(F.count("*").alias("n"), F.min("canon").alias("least")).where("n > 1")
-        twice = made.join(twice, ["kind", "s"]).where("canon <> least").select("kind", "canon")
+        live = held.where(~_fixed(F.col("canon"), F.col("kind"))).select(*entity, "to")
+        taken = live.join(originals, ["kind", "to"], "left_semi").select(*entity)
+        # grouped with partial sums: all of a group but its least entity try again
+        who = F.struct("gender", "canon")
+        twice = live.groupBy("kind", "to").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least <> most").select("kind", "to", "least")
+        twice = live.join(twice, ["kind", "to"]).where(who != F.col("least")).select(*entity)
         again = cut(taken.unionByName(twice).distinct())
         if again.isEmpty():
-            return held.where("tries > 0").select("kind", "canon", "tries")
-        held = cut(held.join(again.withColumn("more", F.lit(1)), ["kind", "canon"], "left").withColumn("tries", F.col("tries") + F.coalesce("more", F.lit(0))).drop("more"))
+            return held.select("kind", "gender", "p", "s")
+        more = made(held.join(again, entity).withColumn("tries", F.col("tries") + 1))
+        held = cut(held.join(again, entity, "left_anti").unionByName(more))
     raise ValueError(f"surrogates still collide after {LAST_TRIES} tries")
 
 
 def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with surrogates in the text, and n_entities_."""
-    again = cut(collisions(docs, key, text_col))
-    found = F.transform(F.col("_found"), lambda e: F.struct(e.alias("e"), kind_of(e).alias("k")))
-    if again.isEmpty():
-        named = docs.withColumn("_found", entities(F.col(text_col)))
-        new = F.transform(found, lambda m: surrogate(m["e"], m["k"], key, F.lit(0)))
-    else:
-        # documents with such an entity, met by the hash of their text
-        mention = docs.where(F.size(entities(F.col(text_col))) > 0).select(F.xxhash64(text_col).alias("_of"), F.explode(entities(F.col(text_col))).alias("e")).distinct()
-        mention = mention.withColumn("kind", kind_of(F.col("e"))).withColumn("canon", canonical(F.col("e"), F.col("kind")))
-        few = cut(mention.join(again, ["kind", "canon"]).groupBy("_of").agg(F.map_from_entries(F.collect_set(F.struct("e", "tries"))).alias("_tries")))
-        if few.count() <= BROADCAST_TEXTS:
-            few = F.broadcast(few)
-        named = docs.withColumn("_of", F.xxhash64(text_col)).join(few, "_of", "left").withColumn("_found", entities(F.col(text_col)))
-        new = F.transform(found, lambda m: surrogate(m["e"], m["k"], key, F.coalesce(F.element_at(F.col("_tries"), m["e"]), F.lit(0))))
-    between = F.split(F.col(text_col), PATTERN, -1)
-    whole = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_found")), new, lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
-    changed = F.when(F.size("_found") > 0, whole).otherwise(F.col(text_col))
-    return named.withColumn("n_entities_", F.size("_found").cast("long")).withColumn(text_col, changed).select(*docs.columns, "n_entities_")
+    pieces = mentions(docs, text_col)
+    new = pieces.join(surrogates(pieces, key), ["kind", "gender", "p"])
+    new = new.groupBy("a", "b", "e").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", F.concat("lead", "s").alias("s")))), lambda x: x["s"]), "").alias("s"), F.max("bare").alias("bare"))
+    a, b, of, pattern, found, between = fresh(docs, "a_", "b_", "of_", "pattern_", "found_", "between_")
+    cased, plain = (F.array_join(F.collect_list(F.when(F.col("bare") & (F.col("e").rlike(r"^\p{Lu}") == F.lit(is_cased)), F.col("e"))), "|") for is_cased in (True, False))
+    maps = new.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("e", "s"))).alias(of), cased.alias("cased"), plain.alias("plain"))
+    bare = F.concat(F.when(F.col("cased") != "", F.concat(F.lit(f"|{_EDGE}(?:"), "cased", F.lit(r")(?![\p{L}\p{N}])"))).otherwise(""), F.when(F.col("plain") != "", F.concat(F.lit("|"), "plain")).otherwise(""))
+    maps = cut(maps.select(F.col("a").alias(a), F.col("b").alias(b), of, F.concat(F.lit(PATTERN), bare).alias(pattern)))
+    width = F.sum(F.octet_length(pattern) + F.length(F.array_join(F.map_keys(of), "")) + F.length(F.array_join(F.map_values(of), "")))
+    if (maps.agg(width.alias("n")).first()["n"] or 0) <= BROADCAST_BYTES:
+        maps = F.broadcast(maps)
+    text = F.col(text_col)
+    keyed = docs.withColumns(dict(zip((a, b), _text_key(text), strict=True))).join(maps, [a, b], "left")
+    keyed = keyed.withColumn(found, F.when(F.col(pattern).isNotNull(), F.regexp_extract_all(text, F.col(pattern), F.lit(0))))
+    keyed = keyed.withColumn(between, F.when(F.col(pattern).isNotNull(), F.split(text, F.col(pattern), -1)))
+    # a mention without a surrogate cannot be; were it so, it would be blotted out
+    put = F.transform(found, lambda e: F.coalesce(F.try_element_at(F.col(of), e), F.repeat(F.lit("*"), F.length(e))))
+    whole = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), put, lambda x, y: F.concat(x, y)), ""), F.element_at(between, -1))
+    changed = keyed.withColumn(text_col, F.when(F.size(found) > 0, whole).otherwise(text))
+    return changed.select(*[c for c in docs.columns if c.lower() != "n_entities_"], F.greatest(F.lit(0), F.coalesce(F.size(found), F.lit(0))).cast("long").alias("n_entities_"))
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

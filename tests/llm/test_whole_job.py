@@ -1,5 +1,6 @@
 """Cases in which the training-data operators once did less than the whole job."""
 
+import hashlib
 import re
 
 import pytest
@@ -95,6 +96,75 @@ def test_formats_of_phones_cards_and_addresses(spark):
     assert hidden(spark, *plain) == plain
 
 
+def test_names_stay_one_person_in_a_document(spark):
+    texts = ["Mr. John Smith called. John Smith then left. Smith was late, JOHN SMITH too. Johnson not.", "Mrs Xenia and Mr Xenia", "My name is Karen Miller. Miller!", "Mr. 山田太郎 came, 山田太郎は来た", "Johnson and Smith"]
+    a, b, c, d, e = hidden(spark, *texts)
+    first, last = re.match(r"Mr\. (\w+) (\w+) called", a).groups()
+    assert a == f"Mr. {first} {last} called. {first} {last} then left. {last} was late, {first.upper()} {last.upper()} too. Johnson not." and first.lower() in pii_surrogates.MALE.split()
+    she, he = re.match(r"Mrs (\w+) and Mr (\w+)", b).groups()
+    assert she != he and she.endswith("a") and he[-1] not in "aeiu" and "Xenia" not in b
+    assert "Karen" not in c and "Miller" not in c and re.fullmatch(r"My name is (\w+) (\w+)\. \2!", c)
+    assert "山田" not in d and re.fullmatch(r"Mr\. ([\u4e00-\u9fa5]{4}) came, \1は来た", d)
+    assert e == texts[4]
+
+
+def test_ibans_keep_country_length_and_check(spark):
+    values = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"]
+    for old, new in zip(values, hidden(spark, *[f"to {v}." for v in values]), strict=True):
+        new = new[3:-1]
+        plain = new.replace(" ", "")
+        assert new[:2] == old[:2] and new[5:] != old[5:] and re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", new)) == re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", old))
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def permuted(values, radices, tweak):
+    """The keyed permutation, written down a second time."""
+    tweak = f"{tweak}|{','.join(map(str, radices))}"
+    for r in range(pii_surrogates.ROUNDS):
+        rest = ",".join(str(v) for i, v in enumerate(values) if i % 2 != r % 2)
+        seed = hashlib.sha256(f"{tweak}|{r}|{rest}".encode()).hexdigest()
+        values = [(v + int(seed[i * 4 % 56 : i * 4 % 56 + 6], 16)) % radices[i] if i % 2 == r % 2 else v for i, v in enumerate(values)]
+    return values
+
+
+def test_surrogates_against_a_second_permutation(spark):
+    """Social security numbers, letter by letter of names and secrets, and collisions, by plain Python over all texts."""
+    ssns = [f"{i:03d}-45-{1000 + 7 * i}" for i in range(300)]
+    names = [a + b + c for a in "BCDF" for b in "aeiou" for c in ("rtel", "na", "k")]
+    secrets = [f"{i}abcdefxyz{i}Q" for i in range(100, 150)]
+    texts = [f"{s}, Dr. {n}, token={k}; copy" for s, n, k in zip(ssns, names * 5, secrets * 6, strict=True)] + ["nothing", None]
+    made = {}
+    for kind, values in (("ssn", ssns), ("name", names), ("secret", secrets)):
+        tries = dict.fromkeys(values, 0)
+        while True:
+            new = {}
+            for v, n in tries.items():
+                tweak = "|".join([pii_surrogates.DEFAULT_KEY, kind, str(n)] + ["N"] * (kind == "name") + ["ssn" if kind == "ssn" else "name" if kind == "name" else "secret"])
+                sets = {"ssn": ["0123456789"], "name": ["aeiou", "bcdfghjklmnpqrstvwxyz"], "secret": ["0123456789", "abcdefghijklmnopqrstuvwxyz"]}[kind]
+                own = [next((s for s in sets if c.lower() in s), None) for c in v]
+                moved = iter(permuted([s.index(c.lower()) for c, s in zip(v, own, strict=True) if s], [len(s) for s in own if s], tweak))
+                letters = [s[next(moved)] if s else c for c, s in zip(v, own, strict=True)]
+                new[v] = "".join(x.upper() if c.isupper() else x for c, x in zip(v, letters, strict=True))
+            taken, least = {v.lower() for v in values}, {}
+            for v in sorted(values):
+                least.setdefault(new[v].lower(), v)
+            again = [v for v in values if new[v].lower() in taken or least[new[v].lower()] != v]
+            if not again:
+                break
+            for v in again:
+                tries[v] += 1
+        made |= new
+    want = [f"{made[s]}, Dr. {made[n]}, token={made[k]}; copy" for s, n, k in zip(ssns, names * 5, secrets * 6, strict=True)] + ["nothing", None]
+    assert hidden(spark, *texts) == want
+
+
+def test_columns_with_names_of_helpers(spark):
+    d = docs(spark, [(1, "to ab.1@mail3.example.com")], a_="x", of_=1, found_="f", n_entities_=9, pattern_="p", between_="q", B_=2)
+    got = pii_surrogates.replace_pii(d)
+    row = got.first()
+    assert (row["a_"], row["of_"], row["found_"], row["n_entities_"], row["pattern_"], row["between_"], row["B_"]) == ("x", 1, "f", 1, "p", "q", 2) and "ab.1@" not in row["text"]
+
+
 # ---- 7
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
