@@ -62,7 +62,7 @@ LABELS = "token|secret|password|api_key"
 _EDGE = r"(?<![\p{L}\p{N}])"
 _TITLE = rf"(?:{TITLES_F}|{TITLES_M}|Dr|Prof)\.? "
 _WORD = r"(?:\p{Lu}\p{Ll}++|\p{Lo}[\p{Lo}\p{M}ー]{1,15}+)"
-_NAME = rf"{_EDGE}(?:{_TITLE}|(?<={_EDGE}(?i:{CUES}) ?)){_WORD}(?: {_WORD})?(?![\p{{L}}\p{{N}}])"
+_NAME = rf"{_EDGE}(?:{_TITLE}|(?=\p{{Lu}}|\p{{Lo}})(?<={_EDGE}(?i:{CUES}) ?)){_WORD}(?: {_WORD})?(?![\p{{L}}\p{{N}}])"
 _HEXTET = "[0-9a-fA-F]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CODE = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
@@ -76,7 +76,7 @@ PHONES = (
     rf"{_CLEAR}(?:1[ .-])?[2-9]\d{{2}}([ .-])\d{{3}}\1\d{{4}}{_CLOSED}",
     rf"{_CLEAR}(?=(?:[ ./-]?\d){{8}})0\d(?:(?:[ .-]\d{{2}}){{4}}|\d{{0,3}}[ /-]\d{{3,8}}(?:[ -]\d{{2,8}}){{0,3}}+){_CLOSED}",
     # any grouping behind a label
-    r"(?<=(?<![\p{L}\p{N}])(?i:tel|phone|telephone|mobile|cell|fax|call)[.:]{0,2} ?)\(?\d(?:[ ./-]?\(?\d\)?){6,14}(?!\d)",
+    r"(?=\(?\d)(?<=[\p{L}.: ])(?<=(?<![\p{L}\p{N}])(?i:tel|phone|telephone|mobile|cell|fax|call)[.:]{0,2} ?)\(?\d(?:[ ./-]?\(?\d\)?){6,14}(?!\d)",
 )
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
@@ -86,10 +86,12 @@ KINDS = {
     "iban": rf"{_EDGE}(?=(?: ?[A-Z0-9]){{15}})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
     "card": rf"{_EDGE}(?:\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}|\d{{13,19}})(?![\p{{L}}\p{{N}}])",
     "ssn": rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
-    "secret": rf"{_EDGE}[0-9a-fA-F]{{32,}}+(?![\p{{L}}\p{{N}}])|(?<=(?:{LABELS}) ?[=:] ?\"?)[A-Za-z0-9_/+=.-]{{11,}}[A-Za-z0-9_/+=-]",
+    "secret": rf"{_EDGE}[0-9a-fA-F]{{32,}}+(?![\p{{L}}\p{{N}}])|(?<=[=: \"])(?<=[=:] ?\"?)(?<=(?:{LABELS}) ?[=:] ?\"?)[A-Za-z0-9_/+=.-]{{11,}}[A-Za-z0-9_/+=-]",
     "name": _NAME,
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Places inside a word are passed over; only IPv4 addresses may begin there.
+_START = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(._%/=-])"
+PATTERN = f"{_START}(?:{'|'.join(f'(?:{p})' for p in KINDS.values())})|(?:{KINDS['ip']})"
 
 
 def _chars(s: Column) -> Column:
@@ -285,7 +287,8 @@ def surrogate(entity: Column, kind: Column, gender: Column, key: str, tries: Col
 
 def entities(text: Column) -> Column:
     """Mentions in order; texts without a digit, ``@``, title, cue, secret's label or 32 hexadecimal letters are not searched."""
-    may = text.rlike(rf"[0-9@]|:[a-fA-F]{{1,4}}:|(?:{LABELS}) ?[=:]|[a-fA-F]{{32}}|{_EDGE}(?:{_TITLE}|(?i:{CUES}))")
+    cheap = "[0-9@]", ":[a-fA-F]{1,4}:", "[a-fA-F]{32}", rf"(?:{LABELS}) ?[=:]", rf"(?<![\p{{L}}\p{{N}}])(?=[MFSDPHГΚ]){_TITLE}", rf"(?<![\p{{L}}\p{{N}}])(?=[MmNnIiJj])(?i:{CUES})"
+    may = reduce(lambda x, y: x | y, [text.rlike(p) for p in cheap])
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
