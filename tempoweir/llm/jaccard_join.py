@@ -4,7 +4,8 @@ A text is its set of distinct word shingles.  Sets fall into size bands; sets of
 a band (and larger partners, which lie in the same band or the next) differ in at
 most H shingles, so hashing shingles into H + 1 segments leaves one segment equal
 in both.  Segments are indexed by a signature of their shingles, a subset of them
-also by signatures with one shingle left out.  A probe spends H + 1 units on its
+also by signatures with one shingle left out.  The signature of an empty segment holds the set's size
+too, lest all sets with an empty segment meet; a probe asks for each size that a partner can have.  A probe spends H + 1 units on its
 segments: none on those whose signature is cheap to hit by chance (at most one
 shingle), two (equal, or one shingle apart) on as many others that are indexed
 with deletions.  Signatures travel packed by bucket; the texts that meet in one
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempoweir.llm import tokens
-from tempoweir.llm.common import cut, table, text_bytes
+from tempoweir.llm.common import cut, fresh, table, text_bytes
 from tempoweir.llm.graph import components, forest
 
 CHUNK = 256
@@ -69,7 +70,7 @@ def _profiler(k: int):
                         one.append(int(tokens.mix(s ^ _M1).sum(dtype=np.uint64)))
                         two.append(int(tokens.mix(s + _M2).sum(dtype=np.uint64)))
             as_long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), as_long(one), as_long(two)], ["id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), as_long(one), as_long(two)], ["id", "t", "n", "h1", "h2"])
 
     return profile
 
@@ -105,11 +106,13 @@ def _spend(sizes: np.ndarray, deletable: int) -> np.ndarray:
     return units
 
 
-def _signed(elements, of, sizes, band: int, segments: int, deletable: int, index: bool):
+def _signed(elements, of, n: np.ndarray, band: int, segments: int, deletable: int, index: bool, reach: tuple[np.ndarray, np.ndarray]):
     """Signatures (key, text, probes, is_index) of texts under one band.
 
-    elements, of: shingles of these texts and the text of each; sizes: how many texts.
+    elements, of: shingles of these texts and the text of each; n: sizes of the texts;
+    reach: least and largest size of an indexed partner.
     """
+    sizes = len(n)
     with np.errstate(over="ignore"):
         spot = ((tokens.mix(elements ^ _M3) >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
         seg = of * segments + spot.astype(np.int64)
@@ -122,14 +125,26 @@ def _signed(elements, of, sizes, band: int, segments: int, deletable: int, index
         units = np.ones(sizes * segments, np.int8)
         for d in np.flatnonzero((count.reshape(sizes, segments) <= 1).any(1)):
             units[d * segments : (d + 1) * segments] = _spend(count[d * segments : (d + 1) * segments], deletable)
-        full = tokens.mix(total + np.tile(mark, sizes))
-        take = np.flatnonzero(units > 0) if not index else np.arange(len(full))
-        left = np.flatnonzero(spot < np.uint64(deletable)) if index else np.flatnonzero(units[seg] == 2)
+        base = total + np.tile(mark, sizes)
+        text = np.arange(len(base)) // segments
+        empty = count == 0
+        full = tokens.mix(np.where(empty, base + tokens.mix(n.astype(np.uint64))[text], base))
+        take = np.flatnonzero((units > 0) & ~empty) if not index else np.arange(len(full))
+        # probes of empty segments, for each size but the own one, which the index rows stand for
+        asked = np.flatnonzero(empty & (units > 0))
+        many = (reach[1] - reach[0] + 1)[text[asked]]
+        asked = np.repeat(asked, many)
+        other = reach[0][text[asked]] + np.arange(len(asked)) - np.repeat(np.cumsum(many) - many, many)
+        asked, other = (x[(other != n[text[asked]]) | (not index)] for x in (asked, other))
+        alike = tokens.mix(base[asked] + tokens.mix(other.astype(np.uint64)))
+        # what a segment of one shingle is without it no probe asks for
+        left = np.flatnonzero((spot < np.uint64(deletable)) & (count[seg] > 1)) if index else np.flatnonzero(units[seg] == 2)
         less = tokens.mix(total[seg[left]] - value[left] + mark[spot[left].astype(np.int64)])
     return (
-        np.concatenate([full[take], less]),
-        np.concatenate([take // segments, of[left]]),
-        np.concatenate([units[take] > 0, units[seg[left]] == 2]),
+        np.concatenate([full[take], alike, less]),
+        np.concatenate([text[take], text[asked], of[left]]),
+        np.concatenate([units[take] > 0, np.ones(len(asked), bool), units[seg[left]] == 2]),
+        np.concatenate([np.full(len(take), index), np.zeros(len(asked), bool), np.full(len(left), index)]),
     )
 
 
@@ -155,11 +170,14 @@ def _signer(k: int, num: int, den: int, bits: int):
                         these = np.flatnonzero(may & (band == b))
                         flat = np.concatenate([sets[i] for i in these])
                         of = np.repeat(np.arange(len(these)), n[these])
-                        key, at, probe = _signed(flat, of, len(these), int(b), int(segments[b]), int(deletable[b]), not shift)
+                        low = max(int(top[b - 1]) + 1 if b else 1, 1)
+                        # an indexed partner is of this band; of equal sizes either asks
+                        reach = np.maximum(-(-n[these] * num // den), low), np.minimum(n[these] * den // num, int(top[b]))
+                        key, at, probe, is_index = _signed(flat, of, n[these], int(b), int(segments[b]), int(deletable[b]), not shift, reach)
                         keys.append(key)
                         docs.append(rank[these[at] + lo])
                         probes.append(probe)
-                        indexed.append(np.full(len(key), not shift))
+                        indexed.append(is_index)
                 lo += len(sets)
             if not keys:
                 continue
@@ -313,31 +331,46 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     num, den = similarity
     size = text_bytes(docs, text_col)
     bits = max(LEAST_BITS, (-(-size // BUCKET_BYTES) - 1).bit_length())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = cut(rows.mapInArrow(_profiler(shingle), "id bigint, n bigint, h1 bigint, h2 bigint"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    profile = cut(rows.mapInArrow(_profiler(shingle), "id bigint, t bigint, n bigint, h1 bigint, h2 bigint"))
     digest = ["n", "h1", "h2"]
-    classes = cut(profile.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies")))
-    of = cut(profile.join(classes, digest, "left").select("id", "n", "node", "copies"))
-
-    # one document of each class is signed, so that copies reach no bucket
-    first = classes.select(F.col("node").alias("id")).distinct()
-    signed = rows.join(first, "id", "left_semi").select("id", "text").mapInArrow(_signer(shingle, num, den, bits), "bucket int, payload binary")
+    classes = profile.where("n > 0 and id is not null").groupBy(*digest).agg(F.min(F.struct("id", "t")).alias("first"), F.countDistinct("id").alias("copies"))
+    classes = classes.select(*digest, "copies", F.col("first.id").alias("least_id"), F.col("first.t").alias("t"))
+    # an id that is the least of several classes names one of them; the others get numbers below all ids
+    turn = F.row_number().over(Window.partitionBy("least_id").orderBy(*digest))
+    named = F.when(turn == 1, F.col("least_id")).otherwise(-F.abs(F.xxhash64(*digest)) - (1 << 62))
+    classes = cut(classes.select("*", named.alias("node")))
+    # bad rows have no class and no key: they stay out of the join
+    of = profile.where("n > 0 and id is not null").join(classes.select(*digest, "node", "least_id", "copies"), digest).select("id", "n", "node", "least_id", "copies")
+    none = F.lit(None).cast("long")
+    of = cut(of.unionByName(profile.where("n = 0 or id is null").select("id", "n", none.alias("node"), none.alias("least_id"), none.alias("copies"))))
+
+    # one text of each class is signed, so that copies reach no bucket
+    first = classes.select("node", F.col("least_id").alias("id"), "t")
+    texts = rows.where("id is not null").join(first, ["id", "t"]).select("node", "text")
+    signed = texts.select(F.col("node").alias("id"), "text").mapInArrow(_signer(shingle, num, den, bits), "bucket int, payload binary")
     met = signed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
     clusters = components(met).withColumnRenamed("component", "cluster")
-    members = cut(of.where("id = node").select("node", "n", "copies").distinct().join(clusters, "node"))
+    members = cut(classes.select("node", "n", "copies").join(clusters, "node"))
 
     task = ["cluster", "s1", "c1", "s2", "c2"]
-    texts = rows.select(F.col("id").alias("node"), "text")
     dealt = texts.join(_tasks(members, num, den), "node").repartition(*task).sortWithinPartitions(*task, "node")
     checked = cut(dealt.mapInArrow(_verifier(shingle, num, den, task), "a bigint, b bigint, n bigint"))
-    found = components(checked.where("b is not null")).withColumnRenamed("component", "least")
+    found = components(checked.where("b is not null"))
+    # a component is called by the least id of its classes
+    found = found.join(classes.select("node", "least_id"), "node")
+    least = found.groupBy("component").agg(F.min("least_id").alias("least"))
+    found = found.select("node", "component").join(least, "component").select("node", "least")
     counts = checked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    out = of.join(cut(found.join(counts, "node", "full")), "node", "left")
+    linked = cut(found.join(counts, "node", "full"))
+    classed = of.where("node is not null").join(linked, "node", "left")
+    alone = of.where("node is null").withColumns({"least": none, "links": none})
+    out = classed.select("id", "n", "copies", "least_id", "least", "links").unionByName(alone.select("id", "n", "copies", "least_id", "least", "links"))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
-        F.when(F.col("id").isNotNull(), F.coalesce("least", "node", "id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("least", "least_id", "id")).alias("component_id"),
     )
 
 
@@ -352,8 +385,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     links = jaccard_links(docs)
     stay = links.where("doc_id = component_id").select("doc_id").distinct()
-    turn = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.where("doc_id is not null").join(stay, "doc_id").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1")
+    (turn,) = fresh(docs, "turn_")
+    named = docs.where("doc_id is not null").join(stay, "doc_id").withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(turn) == 1)
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -242,11 +242,11 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES, id_col: str =
     return rows.mapInArrow(_scanner(base, templates), f"doc_id {kind}, n_words bigint, matches {MATCHES}, score double")
 
 
-def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan_licenses(table(spark, sf_dir, "documents"))
+def digest(scanned: DataFrame) -> DataFrame:
+    """The matches of ``scan_licenses`` as counts, places and label lists."""
     own = F.filter("matches", lambda m: m["base"])
     names = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
-    return out.select(
+    return scanned.select(
         "doc_id",
         "n_words",
         F.size(own).cast("long").alias("n_base"),
@@ -258,6 +258,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {"op7_license_scan": op7_license_scan}
 #: The method's labels and score need automata; tests hold the query against brute force.
 ORACLE: dict[str, str] = {}

@@ -10,26 +10,31 @@ its slots empty and the others close up, so no document is lost or repeated.
 
 Everything is DataFrame and SQL functions.  A document's rank in its stream is
 that of the MD5 of its id; ranks come from counts by MD5 prefix and from a window
-inside one prefix, so that no stream is sorted by one task, and positions follow
-in closed form from the table of streams.
+inside one prefix, so that no stream is sorted by one task.  Counts of prefixes are summed in
+two levels, prefixes of one head and then heads, so that no task sees all prefixes of a stream.
+Positions follow in closed form from the table of streams.
 
 Null sources belong to the stream of others, null ids rank last.  Repeated rows
 are documents of their own.  Sources without rows take no slots.  An empty table
-gives no rows; other columns stay, named as they were.
+gives no rows; other columns stay, named as they were, and a new column whose name
+is taken gets an underscore more.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import gcd
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempoweir.llm.common import table
+from tempoweir.llm.common import fresh, table
 
 #: Target weights of the registered query and the pipeline; sources not named share OTHERS.
 WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 1, "src6": 1}
 OTHERS = 14
 BLOCK = 8  # documents
-PREFIX_ROWS = 4_096
+PREFIX_ROWS = 512
 MOST_PERIOD = 2_000
 
 
@@ -55,44 +60,52 @@ def period(spark: SparkSession, weights: list[int]) -> DataFrame:
     """)
 
 
-def mix(docs: DataFrame, weights: dict[str, int], others: int, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` with stream_, rank_, slot_ and position_ (from 0) of the interleaved order."""
+def mix(docs: DataFrame, weights: dict[str, int], others: int, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", into: tuple[str, str, str, str] = ("stream_", "rank_", "slot_", "position_")) -> DataFrame:
+    """The rows of ``docs`` with the columns ``into``: stream, rank in it, slot and position (from 0) of the interleaved order."""
     spark = docs.sparkSession
     names = list(weights)
+    into = fresh(docs, *into)
+    s, rank, slot, position = into
+    md5, head, prefix, here, before, earlier_heads, turn, plan, cycle, inner = fresh(docs, *into, "md5_", "head_", "prefix_", "here_", "before_", "heads_", "turn_", "plan_", "cycle_", "in_")[4:]
     stream = F.lit(len(names))
     for i, name in enumerate(names):
         stream = F.when(F.col(source_col) == name, i).otherwise(stream)
-    keyed = docs.withColumn("stream_", stream.cast("int")).withColumn("md5_", F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("g")))
-    counts = {r["stream_"]: r["n"] for r in keyed.groupBy("stream_").agg(F.count("*").alias("n")).collect()}  # a row for each named stream at most
+    keyed = docs.withColumn(s, stream.cast("int")).withColumn(md5, F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("g")))
+    counts = {r[s]: r["n"] for r in keyed.groupBy(s).agg(F.count("*").alias("n")).collect()}  # a row for each named stream at most
     w = [*weights.values(), others]
+    common = reduce(gcd, w)
+    w = [x // common for x in w]
     total, held = sum(w), [counts.get(i, 0) for i in range(len(w))]
     digits = 1
     while max(held, default=0) / 16**digits > PREFIX_ROWS:
         digits += 1
-    # rank in the stream: rows of smaller prefixes, then the place in the own prefix
-    keyed = keyed.withColumn("prefix_", F.substring("md5_", 1, digits))
-    sums = keyed.groupBy("stream_", "prefix_").agg(F.count("*").alias("here_"))
-    before = Window.partitionBy("stream_").orderBy("prefix_").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before_", F.coalesce(F.sum("here_").over(before), F.lit(0))).drop("here_")
-    inside = Window.partitionBy("stream_", "prefix_").orderBy("md5_", F.col(id_col))
-    ranked = keyed.withColumn("turn_", F.row_number().over(inside)).join(sums, ["stream_", "prefix_"])
-    ranked = ranked.withColumn("rank_", F.col("before_") + F.col("turn_") - 1)
+    # rank in the stream: rows of smaller heads, of smaller prefixes of the same head, then the place in the own prefix
+    keyed = keyed.withColumn(prefix, F.substring(md5, 1, digits))
+    up_to = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy(s, prefix).agg(F.count("*").alias(here)).withColumn(head, F.substring(prefix, 1, (digits + 1) // 2))
+    heads = sums.groupBy(s, head).agg(F.sum(here).alias(earlier_heads))
+    heads = heads.withColumn(earlier_heads, F.coalesce(F.sum(earlier_heads).over(up_to(s, head)), F.lit(0)))
+    sums = sums.withColumn(before, F.coalesce(F.sum(here).over(up_to(s, head, prefix)), F.lit(0))).join(heads, [s, head])
+    sums = sums.select(s, prefix, (F.col(before) + F.col(earlier_heads)).alias(before))
+    inside = Window.partitionBy(s, prefix).orderBy(md5, F.col(id_col))
+    ranked = keyed.withColumn(turn, F.row_number().over(inside)).join(sums, [s, prefix])
+    ranked = ranked.withColumn(rank, F.col(before) + F.col(turn) - 1)
 
     slots = period(spark, w)
     places: list[list[int]] = [[] for _ in w]
     for row in slots.orderBy("stream", "j").collect():  # MOST_PERIOD rows at most
         places[row["stream"]].append(row["slot"])
-    out = ranked.withColumn("plan_", F.array(*[F.array(*[F.lit(x) for x in p]) for p in places]))
-    k = F.floor(F.col("rank_") / block)
-    own = F.element_at(F.array(*[F.lit(x) for x in w]), F.col("stream_") + 1)
-    out = out.withColumn("cycle_", F.floor(k / own)).withColumn("in_", F.element_at(F.element_at("plan_", F.col("stream_") + 1), (k - F.col("cycle_") * own + 1).cast("int")))
+    out = ranked.withColumn(plan, F.array(*[F.array(*[F.lit(x) for x in p]) for p in places]))
+    k = F.floor(F.col(rank) / block)
+    own = F.element_at(F.array(*[F.lit(x) for x in w]), F.col(s) + 1)
+    out = out.withColumn(cycle, F.floor(k / own)).withColumn(inner, F.element_at(F.element_at(plan, F.col(s) + 1), (k - F.col(cycle) * own + 1).cast("int")))
     # documents of each stream in slots before this one
-    ahead = F.col("rank_") % block
+    ahead = F.col(rank) % block
     for i, (weight, n) in enumerate(zip(w, held, strict=True)):
-        earlier = F.size(F.filter(F.element_at("plan_", i + 1), lambda s: s < F.col("in_")))
-        ahead = ahead + F.least(F.lit(n), (F.col("cycle_") * weight + earlier) * block)
-    out = out.withColumn("position_", ahead.cast("long")).withColumn("slot_", (F.col("cycle_") * total + F.col("in_")).cast("long"))
-    return out.drop("md5_", "prefix_", "turn_", "before_", "plan_", "cycle_", "in_")
+        earlier = F.size(F.filter(F.element_at(plan, i + 1), lambda x: x < F.col(inner)))
+        ahead = ahead + F.least(F.lit(n), (F.col(cycle) * weight + earlier) * block)
+    out = out.withColumn(position, ahead.cast("long")).withColumn(slot, (F.col(cycle) * total + F.col(inner)).cast("long"))
+    return out.select(*docs.columns, *into)
 
 
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +114,11 @@ def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with their position in the mix."""
-    out = mix(docs, WEIGHTS, OTHERS)
-    return out.select(*docs.columns, F.col("slot_").alias("slot"), F.col("position_").alias("position"))
+    """Pipeline stage: documents with their slot and position in the mix."""
+    into = "slot", "position"
+    stream, rank, *_ = fresh(docs, "stream_", "rank_")
+    out = mix(docs, WEIGHTS, OTHERS, into=(stream, rank, *into))
+    return out.drop(stream, rank)
 
 
 def _oracle() -> str:

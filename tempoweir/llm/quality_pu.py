@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempoweir.llm import tokens
-from tempoweir.llm.common import table
+from tempoweir.llm.common import fresh, table
 
 FIT_ROWS = 20_000
 STEPS = 1_500
@@ -109,8 +109,9 @@ def learn(docs: DataFrame, labels: DataFrame):
     rows = docs.where(may).join(drawn, "doc_id").select("trusted", "text").mapInArrow(_feature_rows, "trusted boolean, x array<double>").toArrow()
     if not rows.num_rows:
         return None
-    x = np.array(rows["x"].to_pylist(), float)
-    is_trusted = np.array(rows["trusted"].to_pylist(), bool)
+    flat = rows["x"].combine_chunks().flatten().to_numpy()
+    x = flat.reshape(rows.num_rows, -1)
+    is_trusted = rows["trusted"].combine_chunks().to_numpy(zero_copy_only=False)
     if not is_trusted.any() or is_trusted.all():
         return None
     # rows come in no fixed order: sums over a sorted matrix are the same in every run
@@ -118,29 +119,27 @@ def learn(docs: DataFrame, labels: DataFrame):
     return fit(order(x[is_trusted]), order(x[~is_trusted]), min(0.98, max(0.05, share)))
 
 
-def _scorer(model):
+def _scorer(model, into: str, text: str):
     def score(batches):
         for batch in batches:
-            x = features(batch.column("text"))
+            x = features(batch.column(text))
             if model is None:
                 s = np.full(len(x), 0.5)
             else:
                 mean, scale, w, b = model
                 s = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w + b, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, into])
 
     return score
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a column ``_score``, the chance of quality 1."""
+    """The rows of ``docs`` with the chance of quality 1 as a last column, ``score_`` or, where that is taken, with an underscore more."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = learn(plain, labels.select(F.col("doc_id"), F.col("quality")))
+    (into,) = fresh(docs, "score_")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    named = docs.withColumn("text", F.col(text_col)) if text_col != "text" else docs
-    if named is not docs:
-        shape += ", `text` string"
-    return named.mapInArrow(_scorer(model), f"{shape}, `_score` double")
+    return docs.mapInArrow(_scorer(model, into, text_col), f"{shape}, `{into}` double")
 
 
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,14 +148,15 @@ def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        F.col("score_").alias("score"),
+        (F.col("score_") >= 0.5).cast("int").alias("predicted"),
     )
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted to be of quality 1, with their columns."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("_score >= 0.5").select(*docs.columns)
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.where(F.col(scored.columns[-1]) >= 0.5).select(*docs.columns)
 
 
 QUERIES = {"op3_quality_pu": op3_quality_pu}

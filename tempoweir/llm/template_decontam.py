@@ -14,7 +14,8 @@ runs may take in a neighbour.  Where at least half of the passage's words are ma
 as wording, new values are free, two of the item's may become one and one may become
 two; only a value of the item that stands for itself must not stand for another too.
 Elsewhere each value of the item stands for one value of the text and the other way
-round.  Rows are told apart by their text, so equal ids do not mix.
+round.  Rows are told apart by their text, so equal ids do not mix, and rows without
+an id are judged like all others.
 
 Texts of fewer template words than a window are held as one window of their own
 length; items of fewer than MIN_WORDS are too short to be told apart and match
@@ -37,6 +38,7 @@ MIN_WINDOWS = 6
 MIN_WORDS = 4
 PREFILTER_WINDOWS = 1_000_000  # 8 MB of hashes sent to the executors at most
 BROADCAST_HITS = 200_000
+BROADCAST_ITEM_ROWS = 100_000
 
 # Unit words that a number may carry.
 UNITS = (
@@ -153,24 +155,32 @@ def _window_rows(lengths, known, whole: bool):
     return rows
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """(doc_id, item_id, n_windows, n_item_windows, n_slots): passages of the benchmark in the documents."""
+    return passages(docs, benchmark, **columns).groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.max("n_slots").alias("n_slots")
+    )
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, row, item_id, n_windows, n_item_windows, n_slots) of each passage; ``row`` is the hash of the document's text."""
     shape = "id {}, at bigint, hash bigint, slots array<bigint>, words bigint, k int, form boolean, places array<bigint>, row bigint"
     lengths = list(range(MIN_WORDS, WINDOW + 1))
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"), F.xxhash64(item_text).alias("row")).where("id is not null")
+    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"), F.xxhash64(item_text).alias("row"))
     items = cut(items.mapInArrow(_window_rows(lengths, None, True), shape.format(dict(items.dtypes)["id"])).distinct())
     items = items.withColumn("n_item_windows", F.col("words") - F.col("k") + 1).where(F.col("words") >= MIN_WORDS)
-    used = sorted(r["k"] for r in items.select("k").distinct().collect())
+    seen = items.agg(F.count("*").alias("rows"), F.countDistinct("hash").alias("n"), F.collect_set("k").alias("ks")).first()
+    used = sorted(seen["ks"])
     known = None
-    if items.select("hash").distinct().count() <= PREFILTER_WINDOWS:
-        known = np.sort(np.array([r["hash"] for r in items.select("hash").distinct().collect()] or [0], np.int64).view(np.uint64))
+    if seen["n"] <= PREFILTER_WINDOWS:
         # searched as unsigned values, in their order
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).where("id is not null")
+        known = np.sort(items.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64)) if seen["n"] else np.zeros(1, np.uint64)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     found = texts.mapInArrow(_window_rows(used, known, False), shape.format(dict(texts.dtypes)["id"]))
     sides = items.select(
         "hash", "form", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "places", "k", "n_item_windows"
     )
-    met = found.select("hash", "form", F.col("id").alias("doc_id"), "row", "at", "slots").join(F.broadcast(sides) if known is not None else sides, ["hash", "form"])
+    met = found.select("hash", "form", F.col("id").alias("doc_id"), "row", "at", "slots").join(F.broadcast(sides) if seen["rows"] <= BROADCAST_ITEM_ROWS else sides, ["hash", "form"])
     passage = met.groupBy("doc_id", "row", "item_id", "item_row", "form", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.collect_set("item_at").alias("windows"),
         F.max("k").alias("k"),
@@ -182,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     first, last = F.array_min("windows"), F.array_max("windows") + F.col("k") - 1
     words = F.size(F.array_distinct(F.flatten(F.transform("windows", lambda a: F.sequence(a, a + F.col("k") - 1)))))
     passage = passage.select(
-        "doc_id", "item_id", "n_windows", "n_item_windows",
+        "doc_id", "row", "item_id", "n_windows", "n_item_windows",
         (F.size("placed") * 2 <= words).alias("worded"),
         F.size(pairs_of(F.col("placed"))).cast("long").alias("n_slots"),
         pairs_of(F.filter("placed", lambda p: (p["places"] > first) & (p["places"] < last))).alias("pairs"),
@@ -191,10 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kept = F.transform(F.filter("pairs", lambda p: p["item"] == p["text"]), lambda p: p["item"])
     blurred = F.exists("pairs", lambda p: (p["item"] != p["text"]) & F.array_contains(kept, p["text"]))
     strict = (F.size("pairs") == sided("item")) & (F.size("pairs") == sided("text"))
-    passage = passage.where(strict | (F.col("worded") & ~blurred))
-    return passage.groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"), F.max("n_slots").alias("n_slots")
-    )
+    return passage.where(strict | (F.col("worded") & ~blurred)).select("doc_id", "row", "item_id", "n_windows", "n_item_windows", "n_slots")
 
 
 def op4_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,11 +209,11 @@ def op4_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a passage of the benchmark."""
-    hits = cut(contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    """Pipeline stage: documents without a passage of the benchmark, told by the hash of their text."""
+    hits = cut(passages(docs, table(spark, sf_dir, "benchmark")).select("row").distinct())
     if hits.count() <= BROADCAST_HITS:
         hits = F.broadcast(hits)
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hits, F.xxhash64(docs["text"]) == hits["row"], "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op4_template_decontam": op4_template_decontam}

@@ -1,24 +1,24 @@
 """URL filter: a blocked Bloom filter in front of an exact hash join.
 
-Listed entries are rules (a host with its subdomains, and a path prefix) and
-canonical URLs.  Every page yields the keys under which it could be listed; the
-Bloom filter passes possible hits and an exact join on the key string removes
-false positives.  Among the rules that fit, the longest one decides; a page
-without a rule is blocked if its canonical URL is listed and allowed otherwise.
+Rules (a host with its subdomains, and a path prefix) are a short list held in the
+plan; the longest one that fits decides.  Listed canonical URLs are a table of any
+size.  A page without a rule has its canonical URL looked up in the Bloom filter,
+which passes possible hits; an exact join on the URL removes false positives.  A
+listed page is blocked, another allowed.
 
 Null, empty and scheme-less urls have empty host and path, fit no rule and are
-allowed.  Repeated rows each get their own verdict.  An empty listing allows
+allowed.  Repeated rows each get their own verdict; null and repeated listed URLs do not count.  An empty listing allows
 everything; an empty page table gives no rows.  Other page columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempoweir.llm.common import table
+from tempoweir.llm.common import cut, table
 
 RULES = (
     ("allow", "org/"),
@@ -28,16 +28,8 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: Blocklist of canonical URLs used by the registered query.
-LISTED_URLS = (
-    "m.ththth.example.net/en/25",
-    "ththan.example.net/fr/32898",
-    "tionsh.example.net/de/32895",
-    "tionsh.example.net/en/24654",
-    "tionsh.example.net/en/5086",
-    "tionsh.example.net/fr/12639",
-    "ththre.example.com/fr/825",
-)
+#: The registered query lists every canonical URL of ``pages`` whose MD5 begins so: a 256th of them.
+LISTED_PREFIX = "00"
 
 BITS_PER_KEY = 16
 BROADCAST_BLOCKS = 1 << 20  # 40 bytes a block: 40 MB at most
@@ -58,11 +50,11 @@ def canonical_url(host: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(\.html)?/*$", ""))
 
 
-def listing(spark: SparkSession, rules: Iterable[tuple[str, str]], urls: Iterable[str]) -> DataFrame:
-    """Entries (key, rule, verdict, size); a rule's key is ``r:host/path``, a url's ``u:`` + url."""
-    rows = [(f"r:{rule}", rule, verdict, len(rule)) for verdict, rule in rules]
-    rows += [(f"u:{url}", None, "block", 0) for url in urls]
-    return spark.createDataFrame(rows, "key string, rule string, verdict string, size int")
+def listed_urls(pages: DataFrame, prefix: str = LISTED_PREFIX, url: str = "url") -> DataFrame:
+    """(key): distinct canonical URLs of ``pages`` whose MD5 begins with ``prefix``."""
+    host, path = url_parts(F.col(url))
+    key = canonical_url(host, path)
+    return pages.where(host != "").select(key.alias("key")).where(F.md5(F.col("key").cast("binary")).startswith(prefix)).distinct()
 
 
 def _masks(key: Column) -> list[Column]:
@@ -89,56 +81,54 @@ def bloom_filter(entries: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def filter_urls(pages: DataFrame, entries: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Rows of ``pages`` with host, path, the longest fitting rule and a verdict."""
-    shape = entries.agg(
-        F.count("*").alias("n"),
-        F.sort_array(
-            F.collect_set(F.when(F.col("rule").isNotNull(), F.length("rule") - F.instr("rule", "/") + 1))
-        ).alias("lengths"),
-    ).first()
-    n, lengths = shape["n"], shape["lengths"]
+def _by_rules(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """(size, rule, verdict) of the longest rule that fits, null if none does."""
+    if not rules:
+        return F.lit(None).cast("struct<size: int, rule: string, verdict: string>")
+    fits = []
+    for verdict, rule in rules:
+        of, under = rule.split("/", 1)
+        fit = ((host == of) | host.endswith(f".{of}")) & path.startswith(f"/{under}")
+        fits.append(F.when(fit, F.struct(F.lit(len(rule)).alias("size"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
+    return F.array_max(F.filter(F.array(*fits), lambda x: x.isNotNull()))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Rows of ``pages`` with host, path, the longest fitting rule and a verdict; ``listed`` has a column key of canonical URLs.
+
+    Only rows that pass the Bloom filter and that no rule fits reach the exact join: others
+    are neither shuffled nor joined, unless the filter itself is too large to broadcast.
+    """
+    listed = listed.select("key").where("key is not null").distinct()
+    n = listed.count()
     blocks = max(1, -(-n * BITS_PER_KEY // 256))
-    bloom, exact = bloom_filter(entries, blocks), entries
+    bloom, exact = bloom_filter(listed, blocks), listed.withColumn("listed", F.lit(True))
     if blocks <= BROADCAST_BLOCKS:
         bloom = F.broadcast(bloom)
     if n <= BROADCAST_KEYS:
         exact = F.broadcast(exact)
 
     host, path = url_parts(F.col(url))
-    rows = pages.select(*keep, F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    prefixes = F.filter(
-        F.transform(F.array(*[F.lit(x) for x in lengths]), lambda k: F.when(F.length("path") >= k, F.expr("path").substr(F.lit(1), k)))
-        if lengths
-        else F.array().cast("array<string>"),
-        lambda p: p.isNotNull(),
-    )
-    rule_keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("r:"), s, p))))
-    own_key = F.array(F.concat(F.lit("u:"), canonical_url(F.col("host"), F.col("path"))))
-    probes = rows.where(F.col("host") != "").select("_url", F.explode(F.concat(rule_keys, own_key)).alias("key"))
-    possible = probes.withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block")
+    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("hit", _by_rules(F.col("host"), F.col("path"), rules)).withColumn("key", canonical_url(F.col("host"), F.col("path")))
+    rows = rows.withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block", "left")
+    passed = F.col("w0").isNotNull() & F.col("hit").isNull() & (F.col("host") != "")
     for i, mask in enumerate(_masks(F.col("key"))):
-        possible = possible.where(F.col(f"w{i}").bitwiseAND(mask) == mask)
-    # the verdict depends on the url alone, so hits meet once a distinct url
-    best = F.max(F.struct("size", "rule", "verdict"))
-    hits = possible.select("_url", "key").join(exact, "key").groupBy("_url").agg(best.alias("hit"))
-    out = rows.join(hits, "_url", "left")
-    return out.select(
-        *keep, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit("allow")).alias("verdict")
-    )
+        passed &= F.col(f"w{i}").bitwiseAND(mask) == mask
+    rows = rows.withColumn("passed", F.coalesce(passed, F.lit(False))).select(*keep, "host", "path", "hit", "key", "passed")
+    sure = rows.where("not passed").withColumn("listed", F.lit(None).cast("boolean"))
+    maybe = rows.where("passed").join(exact, "key", "left").select(*sure.columns)
+    verdict = F.coalesce("hit.verdict", F.when(F.col("listed"), "block"), F.lit("allow"))
+    return sure.unionByName(maybe).select(*keep, "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), listing(spark, RULES, LISTED_URLS))
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, cut(listed_urls(pages)))
 
 
 def _oracle() -> str:
     rules = ", ".join(f"('{verdict}', '{rule.split('/', 1)[0]}', '/{rule.split('/', 1)[1]}', '{rule}')" for verdict, rule in RULES)
-    urls = ", ".join(f"'{u}'" for u in LISTED_URLS)
     return rf"""
 WITH rules(verdict, rhost, rpath, rule) AS (VALUES {rules}),
 rest AS (
@@ -156,8 +146,8 @@ fit AS (
     ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath)
   GROUP BY rid)
 SELECT p.page_id, p.host, p.path, f.rule,
-       coalesce(f.verdict, CASE WHEN regexp_replace(p.host, '^www\.', '') || regexp_replace(p.path, '(\.html)?/*$', '')
-                                     IN ({urls}) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.verdict, CASE WHEN p.host <> '' AND starts_with(md5(regexp_replace(p.host, '^www\.', '') || regexp_replace(p.path, '(\.html)?/*$', '')), '{LISTED_PREFIX}')
+                                THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN fit f ON f.rid = p.rid
 """
 

@@ -2,11 +2,13 @@
 
 A package holds stored (uncompressed) members ``archive/data.warc.gz`` (each
 record a gzip member of its own) and ``indexes/index.cdxj`` (a line for each
-record: id, offset, length).  A reader opens a package by its end record, goes on
+record: its key, its time and JSON with file name, offset and length).  A reader opens a
+package by its end record (the last signature whose comment reaches the end of the file), goes on
 through the ZIP64 end record where there is one, parses the central directory
-with ZIP64 extra fields, finds the data of the stored members behind their local
-headers, reads the index member and then single records by their byte ranges;
-nothing is extracted.
+with ZIP64 extra fields and finds the data of all stored members ``archive/*.warc.gz`` behind their local
+headers.  It reads every index ``indexes/*.cdxj`` or ``*.cdx``, gzipped or deflated too, and then single
+records of the members they name by their byte ranges; nothing is extracted.  A record that
+several indexes name is read once; members of other names are left alone.
 
 Of records with equal payloads of at least ``least`` bytes, the one of the
 smallest id is the response and the others are revisits of it; smaller ones are
@@ -23,7 +25,9 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -37,7 +41,10 @@ from pyspark.sql import functions as F
 from tempoweir.llm.common import cut, shared_dir, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+TIME = "20240101000000"  # pages carry none
 PACKAGE_BYTES = 32 << 20
+PACKAGES_A_TASK = 8
+DEFLATED = 8
 
 # Signatures and sizes of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -79,9 +86,13 @@ def members(read, size: int) -> dict[str, tuple[int, int, int]]:
     """Name to (data offset, length, method) of a ZIP; ``read(offset, length)`` is a range read."""
     tail_at = max(0, size - 22 - MAX16)
     tail = read(tail_at, size - tail_at)
-    end = tail.rfind(struct.pack("<I", END))
-    if end < 0:
-        raise ValueError("no end of central directory")
+    sign, end = struct.pack("<I", END), len(tail)
+    while True:
+        end = tail.rfind(sign, 0, end + 3) if end else -1
+        if end < 0:
+            raise ValueError("no end of central directory")
+        if end + 22 <= len(tail) and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] == len(tail):
+            break
     count, length, start = struct.unpack_from("<HII", tail, end + 10)
     locator = tail_at + end - 20
     if (count == MAX16 or length == MAX32 or start == MAX32) and locator >= 0:
@@ -137,6 +148,14 @@ def _record(row: dict) -> bytes:
     return squeeze.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
+def _surt(url: str) -> str:
+    """Key of an index line: the host's labels from the last to the first, and the rest."""
+    rest = url.partition("://")[2]
+    host, slash, path = rest.partition("/")
+    key = ",".join(reversed(host.lower().split("."))) + ")/" + path if host else "-"
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in key)
+
+
 def _writer(root: str):
     def write(batches):
         fs, base = _open(root)
@@ -158,7 +177,8 @@ def _writer(root: str):
         for batch in batches:
             for row in batch.to_pylist():
                 raw = _record(row)
-                lines.append(f"{'' if row['page_id'] is None else row['page_id']} {size} {len(raw)}\n")
+                place = {"url": row["url"] or "", "filename": DATA.rsplit("/", 1)[-1], "offset": str(size), "length": str(len(raw))}
+                lines.append(f"{_surt(row['url'] or '')} {TIME} {json.dumps(place)}\n")
                 records.append(raw)
                 size += len(raw)
                 if size >= PACKAGE_BYTES:
@@ -169,28 +189,63 @@ def _writer(root: str):
     return write
 
 
+def index_places(text: str) -> list[tuple[str, int, int]]:
+    """(file, offset, length) of the lines of a CDXJ, or of a CDX whose head names its fields."""
+    found, fields = [], None
+    for line in text.splitlines():
+        head, _, rest = line.partition("{")
+        if line.lstrip().startswith("CDX"):
+            fields = line.split()[1:]
+        elif rest:
+            said = json.loads("{" + rest)
+            found.append((said["filename"], int(said["offset"]), int(said["length"])))
+        elif fields and line.strip():
+            said = dict(zip(fields, line.split(), strict=False))
+            found.append((said["g"], int(said["V"]), int(said["S"])))
+    return found
+
+
+def _places(read, size: int) -> list[tuple[int, int]]:
+    """(offset in the package, length) of every record that an index names."""
+    held = members(read, size)
+    archives = {name.rsplit("/", 1)[-1]: v for name, v in held.items() if name.startswith("archive/") and name.endswith((".warc", ".warc.gz"))}
+    found = set()
+    for name, (at, n, method) in held.items():
+        if not name.startswith("indexes/") or not name.removesuffix(".gz").endswith((".cdx", ".cdxj")):
+            continue
+        raw = read(at, n)
+        if method == DEFLATED:
+            raw = zlib.decompress(raw, -15)
+        elif method:
+            raise ValueError(f"{name}: unknown method {method}")
+        if raw[:2] == b"\x1f\x8b":
+            raw = gzip.decompress(raw)
+        for file, offset, length in index_places(raw.decode()):
+            start, whole, method = archives[file.rsplit("/", 1)[-1]]
+            if method or offset + length > whole:
+                raise ValueError(f"{file}: archives must be stored and hold the ranges that an index names")
+            found.add((start + offset, length))
+    return sorted(found)
+
+
 def _indexer(batches):
     for batch in batches:
         for uri in batch.column("package").to_pylist():
             fs, path = _open(uri)
             with fs.open_input_file(path) as f:
-                held = members(lambda at, n, f=f: f.read_at(n, at), f.size())
-                data, (at, n, method) = held[DATA], held[INDEX]
-                if method or data[2]:
-                    raise ValueError("members must be stored")
-                spots = [line.split(" ") for line in f.read_at(n, at).decode().splitlines()]
+                spots = _places(lambda at, n, f=f: f.read_at(n, at), f.size())
             yield pa.RecordBatch.from_pydict(
                 {
                     "package": pa.array([uri] * len(spots), pa.string()),
-                    "at": pa.array([data[0] + int(s[1]) for s in spots], pa.int64()),
-                    "length": pa.array([int(s[2]) for s in spots], pa.int64()),
+                    "at": pa.array([s[0] for s in spots], pa.int64()),
+                    "length": pa.array([s[1] for s in spots], pa.int64()),
                 }
             )
 
 
 def parse_record(raw: bytes) -> dict:
     """Headers, HTTP headers and payload of one gzip member."""
-    text = zlib.decompress(raw, 31)
+    text = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = text.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
     block = rest[: int(fields["Content-Length"])]
@@ -252,7 +307,9 @@ def read_packages(packages: DataFrame) -> DataFrame:
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     written = write_packages(table(spark, sf_dir, "pages"), root)
-    return read_packages(written.repartition(max(1, written.count()))).drop("payload", "url")
+    n = written.count()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-n // PACKAGES_A_TASK))
+    return read_packages(written.repartition(tasks)).drop("payload", "url")
 
 
 QUERIES = {"op6_warc_zip": op6_warc_zip}

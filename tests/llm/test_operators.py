@@ -90,7 +90,8 @@ def test_url_filter(spark):
         (13, "http://x.com/de/" + "a" * 50_000, "block", "com/de/"), (13, "http://x.com/de/" + "a" * 50_000, "block", "com/de/"),
     ]
     pages = spark.createDataFrame([(i, u, "v", "r", "k") for i, u, *_ in urls], "page_id long, url string, verdict string, rule string, key string")
-    listed = url_filter.listing(spark, url_filter.RULES, url_filter.LISTED_URLS)
+    many = [f"h{i}.example.net/en/{i}" for i in range(5_000)]
+    listed = spark.createDataFrame([(u,) for u in ["m.ththth.example.net/en/25", "m.ththth.example.net/en/25", None, *many]], "key string")
     got = sorted((r.page_id, r.verdict, r.rule or "") for r in url_filter.filter_urls(pages, listed).collect())
     assert got == sorted((i, v, r or "") for i, _, v, r in urls)
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
@@ -142,9 +143,9 @@ def test_quality(spark):
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(12)] + [(4, None), (None, 1)], "doc_id long, quality int")
     got = quality_pu.score_quality(docs(spark, ODD, quality=0, trusted=True), labels).collect()
-    assert len(got) == len(ODD) and all(0 <= r._score <= 1 for r in got)
+    assert len(got) == len(ODD) and all(0 <= r.score_ <= 1 for r in got)
     none = quality_pu.score_quality(docs(spark, ODD), labels.where("quality = 0")).collect()
-    assert {r._score for r in none} == {0.5}
+    assert {r.score_ for r in none} == {0.5}
 
 
 # ---- 4
@@ -253,6 +254,30 @@ def test_zip_directories(tmp_path, zip64):
         assert z.testzip() is None and z.read("dir/é") == b"x" * 1000
     with pytest.raises(ValueError):
         warc_zip.members(lambda at, n: b"nothing"[at : at + n], 7)
+    if not zip64:
+        said = data[:-2] + (40).to_bytes(2, "little") + b"a PK\x05\x06 comment".ljust(40, b".")
+        assert warc_zip.members(lambda at, n: said[at : at + n], len(said)) == found
+
+
+def test_packages_of_others(spark, tmp_path):
+    """Several archives, a gzipped CDX and a deflated CDXJ that both name a record, members that no index names."""
+    import gzip
+    import json
+    import zipfile
+
+    raw = [warc_zip._record({"page_id": i, "url": f"http://a/{i}", "html": f"<p>{i}</p>", "first": None}) for i in range(5)]
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"a)/ 2024 http://a/{i} text/html 200 X - - {len(raw[i])} {sum(map(len, raw[:i]))} a.warc.gz\n" for i in range(3))
+    places = [("b.warc.gz", 0, len(raw[3])), ("archive/b.warc.gz", len(raw[3]), len(raw[4])), ("a.warc.gz", 0, len(raw[0]))]
+    cdxj = "".join("a)/ 2024 " + json.dumps({"filename": f, "offset": str(o), "length": n}) + "\n" for f, o, n in places)
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(raw[:3]))
+        z.writestr("archive/b.warc.gz", b"".join(raw[3:]))
+        z.writestr("indexes/index.cdx.gz", gzip.compress(cdx.encode()))
+        z.writestr("indexes/b.cdxj", cdxj, zipfile.ZIP_DEFLATED)
+        z.writestr("pages/pages.jsonl", "{}", zipfile.ZIP_DEFLATED)
+        z.comment = b"made elsewhere"
+    got = warc_zip.read_packages(spark.createDataFrame([(f"file://{tmp_path}/x.zip",)], "package string")).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(i, f"<p>{i}</p>".encode()) for i in range(5)]
 
 
 # ---- 7
@@ -269,6 +294,30 @@ def test_license_scan(spark):
     assert labels == {50: ["apache", "reserved"], 51: ["apache"], 52: ["cc-by", "gpl"], 53: [], 54: ["mit"]}
     assert sum(m.base for m in got[52].matches) == 4 and got[0].n_words == 0 and got[1].score == 0.0
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
+
+
+@small
+def test_license_places_against_words(spark):
+    """All base columns of the query, by phrases looked up word by word; other columns of the rows follow from them."""
+    phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+    lower = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+    odd = "cc by cc by, all rights reserved. All rights reserved general public license"
+    for rows, got in (
+        (spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect(), license_scan.op7_license_scan(spark, DATA).collect()),
+        ([(i, t) for i, t in [*ODD[:8], (99, odd)]], license_scan.digest(license_scan.scan_licenses(docs(spark, [*ODD[:8], (99, odd)]))).collect()),
+    ):
+        got = {r.doc_id: r for r in got}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            w = [x.decode() for x in re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().translate(lower))]
+            places = [(k, name) for name, p in phrases.items() for k in range(len(w)) if w[k : k + len(p)] == p]
+            r = got[i]
+            assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=[None])[0], max(places, default=[None])[0])
+            assert r.base_labels == ",".join(sorted({n for _, n in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+            assert r.labels == ",".join(sorted(set(r.labels.split(",")))) and 0 <= r.score <= 1 and (r.score > 0) == (r.labels != "")
+
+
+def test_license_templates(spark):
     with pytest.raises(ValueError):
         license_scan.compile_template("x", "<<beginOptional>>all<<endOptional>>")
 
