@@ -27,10 +27,12 @@ def latest(frames: Sequence[DataFrame], keys: list[str], active: Sequence[bool]
     """One row for each (key, t) at which an active input ticks, with held values v0..vn.
 
     Values are structs (null before the first tick) that hold same-instant ticks too;
-    tick0..tickn say which inputs tick at t.  Inputs have one row for each (key, t).
+    tick0..tickn say which inputs tick at t.  Of several ticks of one input at one
+    instant the last by seq is held, and the instant still gives one row.
     """
     active = [True] * len(frames) if active is None else active
-    held = W.partitionBy(*keys).orderBy("t").rangeBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*keys).orderBy("t", "seq", "src")
+    held = order.rowsBetween(W.unboundedPreceding, 0)
     instant = W.partitionBy(*keys, "t")
     rows = united(frames, keys)
     n = len(frames)
@@ -38,10 +40,10 @@ def latest(frames: Sequence[DataFrame], keys: list[str], active: Sequence[bool]
         *keys, "t", "seq", "src",
         *[F.last(f"v{i}", ignorenulls=True).over(held).alias(f"v{i}") for i in range(n)],
         *[F.max(F.col("src") == i).over(instant).alias(f"tick{i}") for i in range(n)],
-        F.row_number().over(instant.orderBy("src")).alias("_rn"),
+        F.lead("t").over(order).alias("_next"),
     )
     ticks = reduce(lambda a, b: a | b, [F.col(f"tick{i}") for i in range(n) if active[i]])
-    return rows.where((F.col("_rn") == 1) & ticks).drop("_rn", "src")
+    return rows.where((F.col("_next").isNull() | (F.col("_next") > F.col("t"))) & ticks).drop("_next", "src")
 
 
 def merged(frames: Sequence[DataFrame], keys: list[str]) -> DataFrame:

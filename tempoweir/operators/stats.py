@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempoweir.operators import kernels
-from tempoweir.operators.scan import ordered_scan
+from tempoweir.operators.scan import column_scan
 
 #: Rows of one key that a cumulative prefix takes in one task.
 CHUNK_NS = 3_600 * 10**9
@@ -17,7 +17,11 @@ CHUNK_NS = 3_600 * 10**9
 
 @dataclass(frozen=True)
 class Span:
-    """Which samples a statistic takes: all so far, the last ``rows``, or those of age up to ``ns``."""
+    """Which samples a statistic takes: all so far, the last ``rows``, or those of age up to ``ns``.
+
+    A time span holds all ticks of the instant, those that come later in it too; a count
+    span ends with the tick itself.
+    """
 
     rows: int | None = None
     ns: int | None = None
@@ -72,8 +76,7 @@ def time_weighted(df: DataFrame, keys: list[str], names: list[str], span: Span =
     form) and ``std`` are 0.  Values are centred on the key's first value before they are squared.
     """
     if "median" in names:
-        kept = [f"`{k}` {dict(df.dtypes)[k]}" for k in keys]
-        medians = ordered_scan(df.select(*keys, "t", "seq", F.col(value).alias("v")), keys, kernels.weighted_median(span.rows, span.ns), ", ".join([*kept, "t bigint", "seq bigint", "v double"]))
+        medians = column_scan(df.select(*keys, "t", "seq", F.col(value).alias("v")), keys, kernels.weighted_median(span.rows, span.ns), "double")
         rest = [n for n in names if n != "median"]
         if not rest:
             return medians.withColumnRenamed("v", "median")

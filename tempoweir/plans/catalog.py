@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from tempoweir.functions import helpers
 from tempoweir.operators import analysis, keyed, latency, market, stats
 from tempoweir.operators.stats import Span
+from tempoweir.session import shared_dir
+from tempoweir.sources import files, ticks
 from tempoweir.sources.ticks import from_table, nanos
-from tempoweir.stream import Stream, bounded
+from tempoweir.stream import Decay, Stream, bounded
 
 HOUR, DAY = 3_600 * 10**9, 86_400 * 10**9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +23,7 @@ ORACLE: dict[str, str] = {}
 #: Events as a stream keyed by type (k) or by user; values have two decimals.
 E = "e AS (SELECT event_type AS k, epoch_us(ts) * 1000 AS t, event_id AS seq, value AS v FROM events)"
 U = "e AS (SELECT user_id AS k, epoch_us(ts) * 1000 AS t, event_id AS seq, value AS v FROM events)"
+EN = E + ", n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, seq) AS rn FROM e)"
 UN = U + ", n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, seq) AS rn FROM e)"
 
 
@@ -97,6 +101,9 @@ add("count", f"WITH {E} SELECT k, t, row_number() {O} AS v FROM e")(lambda s, d:
 add("accumulate", f"WITH {UN} SELECT k, t, rn AS n, round(sum(v) OVER (PARTITION BY k ORDER BY rn), 6) AS v FROM n")(
     lambda s, d: events(s, d, "user_id").accumulate().df.select("k", "t", F.size("v").cast("long").alias("n"), rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("v"))
 )
+add("collapse_accumulate", f"WITH {UN} SELECT k, t, 2 * rn AS n, round(sum(2 * v + 1) OVER (PARTITION BY k ORDER BY rn), 6) AS v FROM n")(
+    lambda s, d: events(s, d, "user_id").map(lambda v: F.array(v, v + 1)).collapse_accumulate().df.select("k", "t", F.size("v").cast("long").alias("n"), rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("v"))
+)
 add("window", f"""WITH {E}, g AS (SELECT k, t // {DAY} AS w, list(v ORDER BY t, seq) AS l, min(t) AS a FROM e GROUP BY 1, 2),
 x AS (SELECT *, lead(a) OVER (PARTITION BY k ORDER BY w) AS t FROM g) SELECT k, t, len(l) AS n, round(list_sum(l), 6) AS v, l[1] AS first FROM x WHERE t IS NOT NULL""")(
     lambda s, d: events(s, d).window(DAY).df.select("k", "t", F.size("v").cast("long").alias("n"), rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("v"), F.get("v", F.lit(0)).alias("first"))
@@ -119,8 +126,7 @@ def _register_statistics() -> None:
         for stat, agg in AGGREGATE.items():
             over = f"{agg} OVER (PARTITION BY k {frame.format(end='CURRENT ROW')})"
             over = f"coalesce({over}, 0)" if stat in ("var", "std") else over
-            source, key = (U, "user_id") if stat == "median" and span_name == "cumulative" else (E, "event_type")
-            add(f"{span_name}_{stat}", f"WITH {source} SELECT k, t, round({over}, 6) AS v FROM e")(lambda s, d, n=stat, w=span, k=key: out(events(s, d, k).stat(n, w)))
+            add(f"{span_name}_{stat}", f"WITH {E} SELECT k, t, round({over}, 6) AS v FROM e")(lambda s, d, n=stat, w=span: out(events(s, d).stat(n, w)))
         end = "1 PRECEDING"
         frame = frame.format(end=end)
         base = f"WITH {E}, d AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY k ORDER BY t, seq) - t, 0)::double AS dt, v - first_value(v) OVER (PARTITION BY k ORDER BY t, seq) AS x FROM e), m AS (SELECT *, nullif(sum(dt) OVER f, 0) AS w, sum(x * dt) OVER f AS xw, sum(x * x * dt) OVER f AS xxw FROM d WINDOW f AS (PARTITION BY k {frame}))"
@@ -131,12 +137,12 @@ def _register_statistics() -> None:
                 lambda s, d, n=stat, w=span, r=digits: out(events(s, d).stat(n, w, True), rounded("v", r))
             )
         keep = {"rolling": "b.rn > a.rn - 10", "cumulative": "true", "time_windowed": f"a.t - b.t <= {6 * HOUR}"}[span_name]
-        median = f"""WITH {UN}, d AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY k ORDER BY rn) - t, 0) AS dt FROM n),
+        median = f"""WITH {EN}, d AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY k ORDER BY rn) - t, 0) AS dt FROM n),
 p AS (SELECT a.k, a.t, a.rn, a.v AS cur, b.v, b.dt, sum(b.dt) OVER (PARTITION BY a.k, a.rn ORDER BY b.v, b.rn) AS c, sum(b.dt) OVER (PARTITION BY a.k, a.rn) AS w
       FROM d a LEFT JOIN d b ON a.k = b.k AND b.rn < a.rn AND {keep} AND b.dt > 0),
 q AS (SELECT *, lead(v) OVER (PARTITION BY k, rn ORDER BY c) AS nx FROM p)
 SELECT k, t, round(coalesce(arg_min(CASE WHEN 2 * c = w THEN (v + nx) / 2 ELSE v END, c) FILTER (WHERE 2 * c >= w), any_value(cur)), 6) AS v FROM q GROUP BY k, t, rn"""
-        add(f"{span_name}_median_time_weighted", median)(lambda s, d, w=span: out(events(s, d, "user_id").median(w, True)))
+        add(f"{span_name}_median_time_weighted", median)(lambda s, d, w=span: out(events(s, d).median(w, True)))
 
 
 _register_statistics()
@@ -147,14 +153,14 @@ add("prefix_statistics", f"WITH {E} SELECT k, t, count(*) OVER f AS count, round
 # ---- path-dependent, against recursive SQL
 
 
-def _recursive(start: str, step: str, emit: str = "true", cols: str = "v") -> str:
+def _recursive(start: str, step: str, emit: str = "true", cols: str = "v", of: str = UN) -> str:
     """Fold over each key's rows; ``acc`` is the state after row rn."""
-    return f"WITH RECURSIVE {UN}, r AS (SELECT k, rn, t, v, {start} FROM n WHERE rn = 1 UNION ALL SELECT n.k, n.rn, n.t, n.v, {step} FROM r JOIN n ON n.k = r.k AND n.rn = r.rn + 1) SELECT k, t, {cols} FROM r WHERE {emit}"
+    return f"WITH RECURSIVE {of}, r AS (SELECT k, rn, t, v, {start} FROM n WHERE rn = 1 UNION ALL SELECT n.k, n.rn, n.t, n.v, {step} FROM r JOIN n ON n.k = r.k AND n.rn = r.rn + 1) SELECT k, t, {cols} FROM r WHERE {emit}"
 
 
-add("ewma_per_tick", _recursive("v AS acc", "r.acc + 0.2 * (n.v - r.acc)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").ewma_per_tick(0.2)))
-add("ewma_half_life", _recursive("v AS acc", f"r.acc + (1 - pow(2.0, -(n.t - r.t)::double / {6 * HOUR})) * (n.v - r.acc)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").ewma_half_life(6 * HOUR)))
-add("ewma", _recursive("v AS acc", "r.acc + 0.5 * (n.v - r.acc)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").ewma_per_tick(0.5)))
+add("ewma_per_tick", _recursive("v AS acc", "r.acc + 0.2 * (n.v - r.acc)", cols="round(acc, 6) AS v", of=EN))(lambda s, d: out(events(s, d).ewma_per_tick(0.2)))
+add("ewma_half_life", _recursive("v AS acc", f"r.acc + (1 - pow(2.0, -(n.t - r.t)::double / {6 * HOUR})) * (n.v - r.acc)", cols="round(acc, 6) AS v", of=EN))(lambda s, d: out(events(s, d).ewma_half_life(6 * HOUR)))
+add("ewma", _recursive("v AS acc", f"r.acc + (1 - pow(2.0, -(n.t - r.t)::double / {DAY})) * (n.v - r.acc)", cols="round(acc, 6) AS v"))(lambda s, d: out(events(s, d, "user_id").ewma(Decay.half_life(DAY))))
 add("throttle", _recursive("t AS last, true AS e", f"CASE WHEN n.t - r.last >= {DAY} THEN n.t ELSE r.last END, n.t - r.last >= {DAY}", "e"))(lambda s, d: out(events(s, d, "user_id").throttle(DAY)))
 add("drop_small_change", _recursive("v AS last, true AS e", "CASE WHEN abs(n.v - r.last) < 15 THEN r.last ELSE n.v END, NOT abs(n.v - r.last) < 15", "e"))(
     lambda s, d: out(events(s, d, "user_id").drop_small_change(lambda a, b: abs(a - b) < 15))
@@ -198,6 +204,29 @@ add("join_passive", f"{HELD} SELECT k, t, round(coalesce(av, 0) + coalesce(bv, 0
 add("bimap", f"{HELD} SELECT k, t, round(coalesce(av, 0) * 2 + coalesce(bv, 0), 6) AS v FROM h WHERE b_t = t")(_two(lambda a, b: a.bimap(b, lambda x, y: x * 2 + y, (False, True))))
 add("join3", f"{HELD} SELECT k, t, round(coalesce(av, 0) + coalesce(bv, 0) + coalesce(cv, 0), 6) AS v FROM h")(_two(lambda a, b: a.join3(b, third(a), lambda x, y, z: x + y + z)))
 add("trimap", f"{HELD} SELECT k, t, round(coalesce(av, 0) + coalesce(bv, 0) + coalesce(cv, 0), 6) AS v FROM h WHERE b_t = t")(_two(lambda a, b: a.trimap(b, third(a), lambda x, y, z: x + y + z, (False, True, False))))
+add("try_bimap", f"{HELD} SELECT k, t, round(coalesce(av, 0) - 2 * coalesce(bv, 0), 6) AS v FROM h WHERE b_t = t")(_two(lambda a, b: a.try_bimap(b, lambda x, y: x - 2 * y, lambda x, y: y < 0, active=(False, True))))
+add("try_join_passive", f"{HELD} SELECT k, t, round(coalesce(av, 0) + 3 * coalesce(bv, 0), 6) AS v FROM h WHERE a_t = t")(_two(lambda a, b: a.try_join_passive(b, lambda x, y: x + 3 * y, lambda x, y: x < 0)))
+add("try_join3", f"{HELD} SELECT k, t, round(coalesce(av, 0) + coalesce(bv, 0) - coalesce(cv, 0), 6) AS v FROM h")(_two(lambda a, b: a.try_join3(b, third(a), lambda x, y, z: x + y - z, lambda x, y, z: z < 0)))
+add("try_trimap", f"{HELD} SELECT k, t, round(coalesce(av, 0) - coalesce(bv, 0) + coalesce(cv, 0), 6) AS v FROM h WHERE a_t = t")(
+    _two(lambda a, b: a.try_trimap(b, third(a), lambda x, y, z: x - y + z, lambda x, y, z: z < 0, active=(True, False, False)))
+)
+
+
+class _Widest:
+    """Largest difference of two held values so far."""
+
+    most = None
+
+    def run(self, times, values):
+        made = []
+        for x in values:
+            d = x["v0"] - x["v1"]
+            self.most = d if self.most is None else max(self.most, d)
+            made.append(self.most)
+        return None, made
+
+
+add("custom_node", f"{HELD} SELECT k, t, round(max(coalesce(av, 0) - coalesce(bv, 0)) OVER (PARTITION BY k ORDER BY t), 6) AS v FROM h WHERE a_t = t")(_two(lambda a, b: a.custom_node([b], (True, False), _Widest, "double")))
 add("filter", f"{HELD} SELECT k, t, av AS v FROM h WHERE av IS NOT NULL AND coalesce(bv, 0) > 100000")(_two(lambda a, b: a.filter(b.map(lambda v: v > 100000, False))))
 add("sample", f"{HELD} SELECT k, t, coalesce(av, 0) AS v FROM h WHERE b_t = t")(_two(lambda a, b: a.sample(b)))
 add("merge", f"WITH {A}, {B} SELECT k, t, v FROM a UNION ALL SELECT k, t, v FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k = b.k AND a.t = b.t)")(_two(lambda a, b: a.merge(b)))
@@ -223,19 +252,52 @@ add("run_duration", f"WITH {E}, c AS (SELECT max(t) AS t FROM (SELECT DISTINCT t
 add("demux", f"WITH {E} SELECT k, CASE WHEN v < 60 THEN cast(floor(v / 20) AS int) ELSE 3 END AS child, t, v FROM e")(lambda s, d: out(events(s, d).demux(3, lambda v: F.floor(v / 20))))
 add("dynamic_group", f"WITH {U}, l AS (SELECT k, min(t) + {DAY} AS a, min(t) + {5 * DAY} AS z FROM e GROUP BY k) SELECT e.k, e.t, e.v FROM e JOIN l ON l.k = e.k WHERE e.t >= l.a AND e.t < l.z")(
     lambda s, d: out(
-        keyed.dynamic_group(
-            events(s, d, "user_id").df,
-            events(s, d, "user_id").df.groupBy("k").agg((F.min("t") + DAY).alias("added"), (F.min("t") + 5 * DAY).alias("removed")),
-            "k",
-        )
+        keyed.dynamic_group(events(s, d, "user_id").df, _lifetimes(s, d), "k")
     )
 )
 
 
-@add("demux_map")
+_FREE = ", ".join("-1" for _ in range(16))
+_SLOTS = f"""WITH RECURSIVE n AS (SELECT epoch_us(ts) * 1000 AS t, event_id AS seq, user_id::bigint AS item, value > 60 AS close, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT 0::bigint AS rn, [{_FREE}]::bigint[] AS held, []::bigint[] AS over, NULL::bigint AS t, NULL::bigint AS seq, NULL::bigint AS item, NULL::int AS slot
+  UNION ALL
+  SELECT rn, CASE WHEN slot = 16 THEN held ELSE list_transform(held, lambda x, i: CASE WHEN i = slot + 1 THEN CASE WHEN close THEN -1 ELSE item END ELSE x END) END,
+         CASE WHEN slot < 16 THEN over WHEN close THEN list_filter(over, lambda x: x <> item) WHEN list_contains(over, item) THEN over ELSE list_append(over, item) END, t, seq, item, slot
+  FROM (SELECT n.rn, n.t, n.seq, n.item, n.close, r.held, r.over,
+               CASE WHEN list_contains(r.held, n.item) THEN list_position(r.held, n.item) - 1 WHEN list_contains(r.over, n.item) THEN 16
+                    WHEN list_contains(r.held, -1) THEN list_position(r.held, -1) - 1 ELSE 16 END::int AS slot
+        FROM r JOIN n ON n.rn = r.rn + 1))
+SELECT t, seq, item, slot FROM r WHERE rn > 0"""
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    rows = events(spark, sf, "user_id").df
+    return rows.select("t", "seq", F.col("k").cast("long").alias("item"), (F.col("v") > 60).alias("close"), F.col("v").alias("value"))
+
+
+@add("demux_map", _SLOTS)
 def demux_map(spark: SparkSession, sf: str) -> DataFrame:
-    rows = events(spark, sf, "user_id").df.select("t", "seq", F.col("k").alias("item"), (F.col("v") > 60).alias("close"))
-    return keyed.demux_map(rows, 16)
+    return keyed.demux_map(_items(spark, sf).drop("value"), 16)
+
+
+@add("demux_it", f"""WITH s AS ({_SLOTS}) SELECT s.t, s.slot, count(*) AS n, round(sum(e.value), 6) AS v FROM s JOIN events e ON e.event_id = s.seq GROUP BY s.t, s.slot""")
+def demux_it(spark: SparkSession, sf: str) -> DataFrame:
+    bursts = _items(spark, sf).groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "item", "close", "value"))), lambda x: F.struct(x["item"].alias("item"), x["close"].alias("close"), x["value"].alias("value"))).alias("v"))
+    made = keyed.demux_items(bursts, 16)
+    return made.select("t", "slot", F.size("v").cast("long").alias("n"), rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("v"))
+
+
+def _lifetimes(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf, "user_id").df.groupBy("k").agg((F.min("t") + DAY).alias("added"), (F.min("t") + 5 * DAY).alias("removed"))
+
+
+@add("dynamic_group_fold", f"""WITH {U}, l AS (SELECT k, min(t) + {DAY} AS a, min(t) + {5 * DAY} AS z FROM e GROUP BY k),
+x AS (SELECT e.t, e.v::decimal(18, 2) AS d FROM e JOIN l ON l.k = e.k WHERE e.t >= l.a AND e.t < l.z UNION ALL SELECT z, -100 FROM l)
+SELECT t, round((sum(sum(d)) OVER (ORDER BY t))::double, 6) AS v FROM x GROUP BY t""")
+def dynamic_group_fold(spark: SparkSession, sf: str) -> DataFrame:
+    rows = keyed.dynamic_group_fold(events(spark, sf, "user_id").df, _lifetimes(spark, sf), "k", 0.0, lambda acc, key, v: acc + v, lambda acc, key: acc - 100.0, "double")
+    return rows.select("t", rounded("v").alias("v"))
 
 
 def _stamps(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,30 +305,65 @@ def _stamps(spark: SparkSession, sf: str) -> DataFrame:
     return base.withColumns({"publish": F.col("produce") + F.col("c"), "receive": F.col("produce") + F.when(F.col("i") % 7 == 0, F.col("c")).otherwise(F.col("c") * 2 - 500), "ack": F.when(F.col("i") % 11 == 0, 0).otherwise(F.col("produce") + F.col("c") * 3)})
 
 
-_LATENCY = """WITH s AS (SELECT event_type AS k, epoch_us(ts) * 1000 AS produce, event_id AS i, cast(round(value * 100) AS bigint) AS c FROM events),
-x AS (SELECT k, produce, produce + c AS publish, produce + CASE WHEN i % 7 = 0 THEN c ELSE c * 2 - 500 END AS receive, CASE WHEN i % 11 = 0 THEN 0 ELSE produce + c * 3 END AS ack FROM s),
-h AS (SELECT k, 'produce->publish' AS hop, produce AS a, publish AS b FROM x UNION ALL SELECT k, 'publish->receive', publish, receive FROM x UNION ALL SELECT k, 'receive->ack', receive, ack FROM x),
-m AS (SELECT *, CASE WHEN a <> 0 AND b <> 0 AND b >= a THEN b - a END AS ns FROM h)
-SELECT k, hop, count(ns) AS n, min(ns) AS min_ns, round(avg(ns), 6) AS mean_ns, round(quantile_cont(ns::double, 0.5), 6) AS p50_ns, round(quantile_cont(ns::double, 0.99), 6) AS p99_ns,
- round(quantile_cont(ns::double, 0.999), 6) AS p999_ns, max(ns) AS max_ns, count(*) FILTER (WHERE a <> 0 AND a = b) AS same_instant, count(*) FILTER (WHERE a <> 0 AND b <> 0 AND b < a) AS backwards,
- count(*) FILTER (WHERE a = 0 OR b = 0) AS unstamped FROM m GROUP BY k, hop"""
+_STAMPS = """s AS (SELECT event_type AS k, epoch_us(ts) * 1000 AS produce, event_id AS i, cast(round(value * 100) AS bigint) AS c FROM events),
+x AS (SELECT k, i, produce, produce + c AS publish, produce + CASE WHEN i % 7 = 0 THEN c ELSE c * 2 - 500 END AS receive, CASE WHEN i % 11 = 0 THEN 0 ELSE produce + c * 3 END AS ack FROM s)"""
+
+
+def _report(keys: str, source: str = "x") -> str:
+    """The report of the stamps in SQL; a quantile is the end of the bucket of the value at its rank."""
+    value = lambda q: f"l[greatest(1, ceil(n * {q}::double))::bigint]"
+    width = lambda q: f"(1::bigint << greatest(0, length(bin({value(q)})) - 6)::int)"
+    top = lambda q: f"least({value(q)} - {value(q)} % {width(q)} + {width(q)} - 1, max_ns)"
+    return f"""WITH {_STAMPS},
+h AS (SELECT *, 'produce->publish' AS hop, produce AS a, publish AS b FROM {source} UNION ALL SELECT *, 'publish->receive', publish, receive FROM {source} UNION ALL SELECT *, 'receive->ack', receive, ack FROM {source}),
+m AS (SELECT *, CASE WHEN a <> 0 AND b <> 0 AND b >= a THEN b - a END AS ns FROM h),
+g AS (SELECT {keys}, hop, list_sort(list(ns) FILTER (WHERE ns IS NOT NULL)) AS l, count(ns) AS n, min(ns) AS min_ns, avg(ns) AS mean_ns, max(ns) AS max_ns, count(*) FILTER (WHERE a <> 0 AND a = b) AS same_instant,
+ count(*) FILTER (WHERE a <> 0 AND b <> 0 AND b < a) AS backwards, count(*) FILTER (WHERE a = 0 OR b = 0) AS unstamped FROM m GROUP BY ALL)
+SELECT {keys}, hop, n, min_ns, round(mean_ns, 6) AS mean_ns, {top(0.5)} AS p50_ns, {top(0.99)} AS p99_ns, {top(0.999)} AS p999_ns, max_ns, same_instant, backwards, unstamped FROM g"""
+
+
+STAGES = ["produce", "publish", "receive", "ack"]
+
+
+def _latency(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("mean_ns", rounded("mean_ns"))
+
 
+add("latency_report", _report("k"))(lambda s, d: _latency(latency.latency_report(_stamps(s, d), STAGES, ["k"])))
+add("latency_report_if", _report("k", "(SELECT * FROM x WHERE i % 3 = 0)"))(lambda s, d: _latency(latency.latency_report_if(_stamps(s, d), F.col("i") % 3 == 0, STAGES, ["k"])))
+add("latency_windows", _report("until", f"(SELECT *, produce // {DAY} * {DAY} + {DAY} AS until FROM x)"))(lambda s, d: _latency(latency.latency_windows(_stamps(s, d), STAGES, DAY)))
 
-@add("latency_report", _LATENCY)
-def latency_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = latency.latency_report(_stamps(spark, sf), ["produce", "publish", "receive", "ack"], ["k"])
-    return rows.withColumns({c: rounded(c) for c in ("mean_ns", "p50_ns", "p99_ns", "p999_ns")})
 
+def _burst_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    hour = F.floor(F.col("produce") / HOUR) * HOUR
+    return _stamps(spark, sf).groupBy("k", hour.alias("t")).agg(F.collect_list(F.struct(*STAGES)).alias("v"))
+
+
+add("latency_report_bursts", _report("k"))(lambda s, d: _latency(latency.latency_report_bursts(_burst_stamps(s, d), "v", STAGES, ["k"])))
+add("stamp", f"WITH {_STAMPS} SELECT i, CASE WHEN ack > 0 THEN ack ELSE produce + 7 END AS ack, produce + 9 AS done FROM x")(
+    lambda s, d: latency.stamp(latency.stamp(_stamps(s, d), "ack", F.col("produce") + 7), "done", F.col("produce") + 9).select("i", "ack", "done")
+)
+add("stamp_precise", f"WITH {_STAMPS} SELECT i, CASE WHEN ack > 0 THEN ack END AS ack, true AS stamped FROM x")(
+    lambda s, d: latency.stamp_precise(_stamps(s, d).withColumn("was", F.col("ack")), "ack").select("i", F.when(F.col("was") > 0, F.col("ack")).alias("ack"), (F.col("ack") > 0).alias("stamped"))
+)
+add("stamp_each", f"WITH {_STAMPS} SELECT k, produce // {HOUR} * {HOUR} AS t, count(*) AS n, sum(CASE WHEN ack > 0 THEN ack - produce ELSE 5 END)::bigint AS v FROM x GROUP BY ALL")(
+    lambda s, d: latency.stamp_each(_burst_stamps(s, d).withColumn("v", F.transform("v", lambda r: r.withField("ack", F.when(r["ack"] > 0, r["ack"] - r["produce"]).otherwise(0)))), "v", "ack", F.lit(5)).select(
+        "k", "t", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, r: a + r["ack"]).alias("v")
+    )
+)
+add("stamp_precise_each", f"WITH {_STAMPS} SELECT k, produce // {HOUR} * {HOUR} AS t, count(*) AS n, 0::bigint AS missing FROM x GROUP BY ALL")(
+    lambda s, d: latency.stamp_precise_each(_burst_stamps(s, d), "v", "ack").select("k", "t", F.size("v").cast("long").alias("n"), F.size(F.filter("v", lambda r: r["ack"] == 0)).cast("long").alias("missing"))
+)
 
 # ---- market data
 
 
 def book_updates(spark: SparkSession, sf: str) -> DataFrame:
-    """Updates made of lineitem: parts are instruments, a row a level change, every 64th a snapshot."""
+    """Updates made of lineitem: parts are instruments, a row a level change, every 64th a snapshot, before every 50th one is missing."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     from pyspark.sql import Window as W
 
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(38,9)")
+    price = (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("decimal(28,0)") / 100).cast("decimal(38,9)")
     rows = items.select(
         F.col("l_returnflag").alias("venue"), F.concat(F.lit("S"), F.col("l_partkey") % 20).alias("symbol"), nanos(F.col("l_shipdate")).alias("t"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_linenumber") % 2 == 0, "bid").otherwise("ask").alias("side"), price.alias("price"),
@@ -276,9 +373,10 @@ def book_updates(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("n", n.cast("long")).withColumn("kind", F.when(F.col("n") % 64 == 1, "snapshot").otherwise("delta"))
     level = F.array(F.struct("price", "qty"))
     none = F.slice(level, 1, 0)
+    first = F.col("n") + F.when(F.col("n") % 50 == 0, 1).otherwise(0)
     snap = F.col("kind") == "snapshot"
     return rows.select(
-        "venue", "symbol", "t", "seq", "kind", F.col("n").alias("first"), F.col("n").alias("last"),
+        "venue", "symbol", "t", "seq", "kind", first.alias("first"), F.col("n").alias("last"),
         F.when(snap & (F.col("side") == "bid"), level).otherwise(none).alias("bids"), F.when(snap & (F.col("side") == "ask"), level).otherwise(none).alias("asks"),
         F.when(~snap, F.array(F.struct("side", "price", "qty"))).alias("changes"),
     )
@@ -286,13 +384,27 @@ def book_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 def _touch(book: DataFrame) -> DataFrame:
     return book.select(
-        "venue", "symbol", "t", "seq", "status", rounded(market.mid()).alias("mid"), market.spread().cast("double").alias("spread"), rounded(market.microprice()).alias("microprice"),
+        "venue", "symbol", "t", "seq", "status", rounded(market.mid()).alias("mid"), rounded(market.spread().cast("double")).alias("spread"), rounded(market.microprice()).alias("microprice"),
         F.size(market.depth("bids", 5)).alias("bid_depth"), market.level_count("asks").alias("ask_levels"),
     )
 
 
-add("order_book")(lambda s, d: _touch(market.order_book(book_updates(s, d))))
-add("order_book_bursts")(lambda s, d: _touch(market.order_book_bursts(book_updates(s, d))))
+#: Levels hold from their change to the next one of their price and side, or to the next snapshot; a gap empties the book up to it.
+_BOOKS = """WITH u AS (SELECT l_returnflag AS venue, 'S' || (l_partkey % 20) AS symbol, epoch_us(l_shipdate) * 1000 AS t, l_orderkey * 8 + l_linenumber AS seq, l_linenumber % 2 = 0 AS bid,
+  floor(l_extendedprice / l_quantity * 100) / 100 AS price, CASE WHEN l_linenumber = 5 THEN 0 ELSE l_quantity END::double AS qty FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY venue, symbol ORDER BY t, seq, price) AS n FROM u),
+p AS (SELECT *, (n - 1) // 64 AS epoch FROM n),
+g AS (SELECT *, min(CASE WHEN n % 50 = 0 AND n % 64 <> 1 THEN n END) OVER (PARTITION BY venue, symbol, epoch) AS gap FROM p),
+live AS (SELECT * FROM g WHERE gap IS NULL OR n <= gap),
+lvl AS (SELECT *, coalesce(lead(n) OVER (PARTITION BY venue, symbol, epoch, bid, price ORDER BY n), 1000000000) AS until FROM live WHERE gap IS NULL OR n < gap),
+j AS (SELECT a.venue, a.symbol, a.t, a.seq, a.n, a.gap, b.bid, b.price, b.qty FROM live a LEFT JOIN lvl b ON b.venue = a.venue AND b.symbol = a.symbol AND b.epoch = a.epoch AND b.n <= a.n AND a.n < b.until AND b.qty > 0 AND (a.gap IS NULL OR a.n < a.gap)),
+top AS (SELECT venue, symbol, t, seq, n, any_value(gap) AS gap, max(price) FILTER (WHERE bid) AS bp, min(price) FILTER (WHERE NOT bid) AS ap, arg_max(qty, price) FILTER (WHERE bid) AS bq, arg_min(qty, price) FILTER (WHERE NOT bid) AS aq,
+  count(*) FILTER (WHERE bid) AS nb, count(*) FILTER (WHERE NOT bid) AS na FROM j GROUP BY venue, symbol, t, seq, n),
+touch AS (SELECT venue, symbol, t, seq, n, CASE WHEN n = gap THEN 'Gapped' ELSE 'Live' END AS status, round((bp + ap) / 2, 6) AS mid, round(ap - bp, 6) AS spread, round((bp * aq + ap * bq) / (bq + aq), 6) AS microprice,
+  least(5, nb)::int AS bid_depth, na::int AS ask_levels FROM top)"""
+_TOUCH = "venue, symbol, t, seq, status, mid, spread, microprice, bid_depth, ask_levels"
+add("order_book", f"{_BOOKS} SELECT {_TOUCH} FROM touch")(lambda s, d: _touch(market.order_book(book_updates(s, d), 5)))
+add("order_book_bursts", f"{_BOOKS} SELECT {_TOUCH} FROM touch QUALIFY row_number() OVER (PARTITION BY venue, symbol, t ORDER BY n DESC) = 1")(lambda s, d: _touch(market.order_book_bursts(book_updates(s, d), 5)))
 
 
 def _market_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,8 +437,24 @@ def _burst_query(kind: str, field: str):
 
 add("market_trades_bursts", _burst_sql("", "price"))(_burst_query("trade", "price"))
 add("market_book_updates_bursts", _burst_sql("NOT", "level"))(_burst_query("book", "level"))
-add("ws_messages", _burst_sql("", "price"))(_burst_query("trade", "price"))
-add("ws_status", _burst_sql("NOT", "level"))(_burst_query("book", "level"))
+
+
+def _socket(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    status = F.col("event_type").isin("purchase", "signup")
+    item = F.struct(
+        F.col("event_id").alias("seq"), F.when(status, "status").otherwise("message").alias("kind"), F.when(status, F.when(F.col("value") > 50, "open").otherwise("closed")).alias("status"),
+        F.col("event_type").alias("topic"), F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")).alias("text"),
+    )
+    return e.groupBy((F.floor(nanos(F.col("ts")) / HOUR) * HOUR).alias("t")).agg(F.sort_array(F.collect_list(item)).alias("v"))
+
+
+add("ws_messages", f"SELECT epoch_us(ts) * 1000 // {HOUR} * {HOUR} AS t, count(*) AS n, arg_min(event_type, event_id) AS topic, arg_max(event_type || ':' || event_id, event_id) AS last FROM events WHERE event_type NOT IN ('purchase', 'signup') GROUP BY 1")(
+    lambda s, d: market.ws_messages(_socket(s, d)).select("t", F.size("v").cast("long").alias("n"), F.get("v", F.lit(0))["topic"].alias("topic"), F.element_at("v", -1)["text"].alias("last"))
+)
+add("ws_status", f"SELECT epoch_us(ts) * 1000 // {HOUR} * {HOUR} AS t, CASE WHEN arg_max(value, event_id) > 50 THEN 'open' ELSE 'closed' END AS status FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1")(
+    lambda s, d: market.ws_status(_socket(s, d)).select("t", F.col("v").alias("status"))
+)
 
 # ---- time-series analysis over daily sums; several series are the five event types
 
@@ -348,6 +476,42 @@ add("seasons")(lambda s, d: analysis.seasons(_series(s, d), ["k"], 32))
 add("dtw")(lambda s, d: analysis.dtw(_multi(s, d), [], 12))
 add("cluster")(lambda s, d: analysis.cluster(_multi(s, d), [], 12, 150.0))
 
+# ---- sources and sinks
+add("ticker", "SELECT 1000 + i * 250 AS t, true AS v FROM range(5000) r(i)")(lambda s, d: ticks.ticker(s, 250, 5_000, 1_000).df.select("t", "v"))
+add("counter", "SELECT i * 100 AS t, i + 1 AS v FROM range(5000) r(i)")(lambda s, d: ticks.counter(s, 100, 5_000).df.select("t", "v"))
+add("constant", "SELECT 5::bigint AS t, 7::int AS v")(lambda s, d: ticks.constant(s, 7, 5).df.select("t", "v"))
+add("never", "SELECT 0::bigint AS t, 0.0::double AS v WHERE false")(lambda s, d: ticks.never(s).df.select("t", "v"))
+add("replay_results", "SELECT * FROM (VALUES (0::bigint, 1.5::double), (10, 2.5), (10, 3.5), (25, NULL)) x(t, v)")(lambda s, d: ticks.values(s, [(0, 1.5), (10, 2.5), (10, 3.5), (25, None)]).df.select("t", "v"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@add("csv_round_trip", f"WITH {E} SELECT k, t, v FROM e")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    to = _folder(spark, "csv")
+    rows = events(spark, sf).df
+    files.csv_write(Stream(rows.withColumn("v", F.struct("k", "v"))), to)
+    return files.csv_read(spark, to, "time bigint, k string, v double", "time").df.select("v.k", "t", "v.v")
+
+
+@add("lines_round_trip", "SELECT (row_number() OVER (ORDER BY ts, event_id) - 1) * 10 AS t, event_id || '|' || event_type AS v FROM events")
+def lines_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    to = _folder(spark, "lines")
+    e = spark.read.parquet(f"{sf}/events.parquet").select(nanos(F.col("ts")).alias("t"), F.col("event_id").alias("seq"), F.concat(F.col("event_id").cast("string"), F.lit("|"), "event_type").alias("v"))
+    files.write_lines(Stream(e), to)
+    return files.replay_lines(spark, to, 0, 10).df.select("t", "v")
+
+
+@add("result_cache", "SELECT event_type AS k, count(*) AS n FROM events GROUP BY 1")
+def result_cache(spark: SparkSession, sf: str) -> DataFrame:
+    to = _folder(spark, "cache")
+    make = lambda: spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("k")).agg(F.count("*").alias("n"))
+    files.cached(spark, to, "events by type", make)
+    return files.cached(spark, to, "events by type", lambda: make().limit(0))
+
+
 # ---- scalar helpers
 add("kdb_epoch", "SELECT event_id, epoch_us(ts) * 1000 - 946684800000000000 AS v FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", helpers.to_kdb(nanos(F.col("ts"))).alias("v")))
 add("pretty_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(cast(epoch_us(ts) % 1000000 * 1000 AS varchar), 9, '0') AS v FROM events")(

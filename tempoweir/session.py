@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,17 @@ def session(app: str = "tempoweir", master: str | None = None, **conf: str) -> S
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     return builder.config(map=held).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir, or one made here in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tempoweir-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -16,12 +16,16 @@ def _ordered(df: DataFrame) -> Column:
     return F.monotonically_increasing_id()
 
 
-def csv_read(spark: SparkSession, path: str, schema: str, time: str | Column, header: bool = False) -> Stream:
-    """Rows as structs; a bad row fails the run; rows of one instant keep their order."""
+def csv_read(spark: SparkSession, path: str, schema: str, time: str | Column, header: bool = False, late: str = "abort") -> Stream:
+    """Rows as structs; a bad row fails the run; rows of one instant keep their order.
+
+    ``late``: a row older than the one before it in its split of a file aborts the run, or is put in order with "sort".
+    """
     rows = spark.read.schema(schema).csv(path, header=header, mode="FAILFAST")
     names = rows.columns
     t = F.col(time) if isinstance(time, str) else time
-    return Stream(rows.select(t.cast("long").alias("t"), _ordered(rows).alias("seq"), F.struct(*names).alias("v")))
+    read = Stream(rows.select(t.cast("long").alias("t"), _ordered(rows).alias("seq"), F.struct(*names).alias("v")))
+    return read if late == "sort" else read.in_order()
 
 
 def csv_write(stream: Stream, path: str, header: bool = False) -> None:

@@ -8,6 +8,7 @@ are independent sequences; a stream without keys is one sequence.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -17,12 +18,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempoweir.operators import kernels, multi, stats
-from tempoweir.operators.scan import ordered_scan
+from tempoweir.operators.scan import column_scan, ordered_scan
 from tempoweir.operators.stats import Span
 
 Fn = Callable[[Column], Column]
 
 
+@dataclass(frozen=True)
+class Decay:
+    """How an exponential average forgets: by a share with each tick, or by half in a time."""
+
+    alpha: float | None = None
+    half: int | None = None
+
+    @staticmethod
+    def per_tick(alpha: float) -> Decay:
+        return Decay(alpha=alpha)
+
+    @staticmethod
+    def half_life(ns: int) -> Decay:
+        return Decay(half=ns)
+
+
 @dataclass(frozen=True)
 class Stream:
     df: DataFrame
@@ -49,6 +66,9 @@ class Stream:
         out = ", ".join(f"`{c}` {types[c]}" for c in (*self.keys, "t", "seq")) + f", v {kind or types['v']}"
         return self._with(ordered_scan(self.df, self._k, kernel, out), self.seed)
 
+    def _run(self, kernel, kind: str | None = None) -> Stream:
+        return self._with(column_scan(self.df, self._k, kernel, kind or dict(self.df.dtypes)["v"]), self.seed)
+
     def _joined(self, others: Sequence[Stream], active: Sequence[bool]) -> tuple[DataFrame, list[Column]]:
         inputs = [self, *others]
         rows = multi.latest([s.df for s in inputs], self._k, active)
@@ -174,8 +194,9 @@ class Stream:
     # -- statistics
     def stat(self, name: str, span: Span = Span(), time_weighting: bool = False) -> Stream:
         """sum, mean, min, max, var, std or median over a span, weighted by count or by time."""
-        if name == "median" and not time_weighting and span == Span():
-            return self._scan(kernels.running_median(), "double")
+        if name == "median":
+            kernel = kernels.weighted_median(span.rows, span.ns) if time_weighting else kernels.running_median() if span == Span() else kernels.window_median(span.rows, span.ns)
+            return self._run(kernel, "double")
         of = stats.time_weighted if time_weighting else stats.statistics
         rows = of(self.df, self._k, [name], span)
         return self._with(rows.withColumn("v", F.col(name)))
@@ -204,25 +225,28 @@ class Stream:
         return self.stat("median", span, time_weighting)
 
     # -- path-dependent
+    def ewma(self, decay: Decay) -> Stream:
+        return self._run(kernels.ewma(decay.alpha, decay.half), "double")
+
     def ewma_per_tick(self, alpha: float) -> Stream:
-        return self._scan(kernels.ewma(alpha=alpha), "double")
+        return self._run(kernels.ewma(alpha=alpha), "double")
 
     def ewma_half_life(self, half_life: int) -> Stream:
-        return self._scan(kernels.ewma(half_life=half_life), "double")
+        return self._run(kernels.ewma(half_life=half_life), "double")
 
     def throttle(self, interval: int) -> Stream:
-        return self._scan(kernels.throttle(interval))
+        return self._run(kernels.throttle(interval))
 
     def drop_small_change(self, is_small: Callable) -> Stream:
-        return self._scan(kernels.drop_small_change(is_small))
+        return self._run(kernels.drop_small_change(is_small))
 
     def fold(self, init, f: Callable, kind: str) -> Stream:
-        return replace(self._scan(kernels.fold(init, f), kind), seed=init)
+        return replace(self._run(kernels.fold(init, f), kind), seed=init)
 
     scan = fold
 
     def reduce(self, f: Callable, kind: str | None = None) -> Stream:
-        return self._scan(kernels.reduce(f), kind)
+        return self._run(kernels.reduce(f), kind)
 
     def feedback(self, seed, f: Callable, count: int) -> Stream:
         return self._scan(kernels.feedback(seed, f, count))
@@ -245,12 +269,32 @@ class Stream:
     def try_join(self, other: Stream, f: Callable, failed: Callable, message: str = "try_join failed", active: Sequence[bool] = (True, True)) -> Stream:
         return self.bimap(other, lambda a, b: F.when(failed(a, b), F.raise_error(F.lit(message))).otherwise(f(a, b)), active)
 
+    try_bimap = try_join
+
+    def try_join_passive(self, other: Stream, f: Callable, failed: Callable, message: str = "try_join_passive failed") -> Stream:
+        return self.try_join(other, f, failed, message, (True, False))
+
     def trimap(self, b: Stream, c: Stream, f: Callable, active: Sequence[bool] = (True, True, True)) -> Stream:
         rows, held = self._joined([b, c], active)
         return self._with(rows.withColumn("v", f(*held)))
 
     join3 = trimap
 
+    def try_trimap(self, b: Stream, c: Stream, f: Callable, failed: Callable, message: str = "try_trimap failed", active: Sequence[bool] = (True, True, True)) -> Stream:
+        return self.trimap(b, c, lambda x, y, z: F.when(failed(x, y, z), F.raise_error(F.lit(message))).otherwise(f(x, y, z)), active)
+
+    try_join3 = try_trimap
+
+    def custom_node(self, others: Sequence[Stream], active: Sequence[bool], kernel, kind: str) -> Stream:
+        """A custom operator over several inputs, run when an active one ticks.
+
+        ``kernel()`` makes a key's state; ``run(times, values)`` gets a dict a tick, of held values v0..vn
+        and flags tick0..tickn, and gives (places of the ticks that emit, or None for all; their values).
+        """
+        rows, held = self._joined(others, active)
+        packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(held)], *[F.col(f"tick{i}") for i in range(len(held))])
+        return self._with(rows.withColumn("v", packed))._run(kernel, kind)
+
     def filter(self, condition: Stream) -> Stream:
         """Held value whenever value or condition ticks while the condition holds; quiet before the first value."""
         rows, held = self._joined([condition], (True, True))
@@ -294,6 +338,20 @@ class Stream:
         child = F.when((to >= 0) & (to < size), to).otherwise(size).cast("int")
         return Stream(self.df.withColumn("child", child), (*self.keys, "child"), self.seed)
 
+    def in_order(self) -> Stream:
+        """Pass-through that aborts the run where a row is older than the one before it in its split of the source."""
+
+        def walk(batches):
+            last = None
+            for batch in batches:
+                for t in batch.column("t").to_pylist():
+                    if last is not None and t < last:
+                        raise ValueError(f"time {t} after {last}")
+                    last = t
+                yield batch
+
+        return replace(self, df=self.df.mapInArrow(walk, self.df.schema))
+
     # -- taps and sinks
     def inspect(self, f: Callable[[DataFrame], Any] | None = None) -> Stream:
         if f:
@@ -310,10 +368,19 @@ class Stream:
         seen = Observation(name)
         return replace(self, df=self.df.observe(seen, F.count(F.lit(1)).alias("ticks"), F.min("t").alias("first"), F.max("t").alias("last"))), seen
 
-    def logged(self, label: str, logger) -> Stream:
-        """Pass-through; logs the plan's label and schema when wired, ticks through ``timed``."""
-        logger.info("%s %s", label, self.df.schema.simpleString())
-        return self
+    def logged(self, label: str, level: int = logging.INFO) -> Stream:
+        """Pass-through; each tick is logged by the executor that walks it, under the logger ``tempoweir``."""
+        keys = self._k
+
+        def walk(batches):
+            log = logging.getLogger("tempoweir")
+            for batch in batches:
+                if log.isEnabledFor(level):
+                    for row in batch.to_pylist():
+                        log.log(level, "%s %s", label, " ".join(str(row[c]) for c in (*keys, "t", "v")))
+                yield batch
+
+        return replace(self, df=self.df.mapInArrow(walk, self.df.schema))
 
     def for_each(self, f: Callable) -> None:
         """Call ``f`` with each row on the executors; an error aborts the run."""
@@ -350,10 +417,32 @@ def bounded(streams: Sequence[Stream], start: int = 0, cycles: int | None = None
     for s in streams:
         own = s.df.where(F.col("t") >= start).select("t")
         every = own if every is None else every.unionByName(own)
-    every = every.distinct()
+    every = every.groupBy("t").agg(F.lit(1).alias("one"))
     if cycles is None:
         every, cycles = every.where(F.col("t") >= start + duration), 2
-    last = every.orderBy("t").limit(cycles).agg(F.max("t").alias("t"), F.count("*").alias("n")).first()
-    until = last["t"] if last["n"] == cycles else None
+    if cycles <= 1_000:
+        last = every.orderBy("t").limit(cycles).agg(F.max("t").alias("t"), F.count("*").alias("n")).first()
+        until = last["t"] if last["n"] == cycles else None
+    else:
+        # instants are counted in ranges first; only the range with the last one is sorted
+        span = every.agg(F.min("t").alias("a"), F.max("t").alias("z")).first()
+        until = _nth(every, cycles, span["a"], span["z"])
     cut = (lambda t: (t >= start) & (t <= until)) if until is not None else (lambda t: t >= start)
     return [replace(s, df=s.df.where(cut(F.col("t")))) for s in streams]
+
+
+def _nth(instants: DataFrame, n: int, low: int | None, high: int | None) -> int | None:
+    """The n-th smallest t of distinct instants in [low, high], null if there are fewer; 1 024 counts a round reach the driver."""
+    while low is not None:
+        width = (high - low) // 1_024 + 1
+        counts = instants.where(F.col("t").between(low, high)).groupBy(F.floor((F.col("t") - low) / width).alias("r")).count().orderBy("r").collect()
+        for row in counts:
+            if n <= row["count"]:
+                break
+            n -= row["count"]
+        else:
+            return None
+        if width == 1:
+            return low + row["r"]
+        low, high = low + row["r"] * width, min(high, low + (row["r"] + 1) * width - 1)
+    return None

@@ -9,42 +9,27 @@ would abort a replay.
 
 from __future__ import annotations
 
-import pickle
-
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def stateful(df: DataFrame, key: str, make, kind: str = "double") -> DataFrame:
-    """A kernel of ``operators.kernels`` over a streaming DataFrame (key, t, seq, v).
-
-    The kernel's state is rebuilt from the rows it needs: kernels here are closures, so
-    the state kept is their cells, pickled.
-    """
+    """A kernel of ``operators.kernels`` over a streaming DataFrame (key, t, seq, v); its state is kept pickled."""
     types = dict(df.dtypes)
     out = f"`{key}` {types[key]}, t bigint, seq bigint, v {kind}"
 
     def step(k, frames, state):
-        kernel = make()
-        cells = kernel.__closure__ or ()
-        last = -1
-        if state.exists:
-            held, last = pickle.loads(state.get[0])
-            for cell, value in zip(cells, held, strict=True):
-                if not callable(value):
-                    cell.cell_contents = value
+        kernel, last = cloudpickle.loads(state.get[0]) if state.exists else (make(), -1)
         rows = pd.concat(list(frames)).sort_values(["t", "seq"], kind="stable")
-        made = []
-        for row in rows.to_dict("records"):
-            if row["t"] < last:
-                raise ValueError(f"time {row['t']} after {last} for key {k[0]}")
-            last = row["t"]
-            made += [{"t": r["t"], "seq": r["seq"], "v": r["v"]} for r in kernel(row)]
-        state.update((pickle.dumps(([None if callable(c.cell_contents) else c.cell_contents for c in cells], last)),))
-        found = pd.DataFrame(made, columns=["t", "seq", "v"])
-        found.insert(0, key, k[0])
-        yield found
+        times = rows["t"].tolist()
+        if times and times[0] < last:
+            raise ValueError(f"time {times[0]} after {last} for key {k[0]}")
+        at, values = kernel.run(times, [None if pd.isna(x) else x for x in rows["v"]])
+        state.update((cloudpickle.dumps((kernel, times[-1] if times else last)),))
+        found = rows[[key, "t", "seq"]] if at is None else rows[[key, "t", "seq"]].iloc[at]
+        yield found.assign(v=values)
 
     def run(k, frames, state):
         yield from step(k, frames, state)

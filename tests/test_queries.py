@@ -60,7 +60,7 @@ def test_streaming_matches_batch(spark, tmp_path, make):
         base.where((F.col("seq") * 3 / base.count()).cast("int") == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
     src = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     got = state.run_available(state.stateful(src, "k", make()), f"out_{abs(hash(str(tmp_path)))}", str(tmp_path / "cp"))
-    want = catalog.Stream(base, ("k",))._scan(make(), "double").df
+    want = catalog.Stream(base, ("k",))._run(make(), "double").df
     assert _norm([tuple(r) for r in got.select("k", "t", "v").collect()], ["k", "t", "v"]) == _norm([tuple(r) for r in want.select("k", "t", "v").collect()], ["k", "t", "v"])
 
 
