@@ -5,7 +5,8 @@ a band (and larger partners, which lie in the same band or the next) differ in a
 most H shingles, so hashing shingles into H + 1 segments leaves one segment equal
 in both.  Segments are indexed by a signature of their shingles, a subset of them
 also by signatures with one shingle left out.  The signature of an empty segment holds the set's size
-too, lest all sets with an empty segment meet; a probe asks for each size that a partner can have.  A probe spends H + 1 units on its
+too, lest all sets with an empty segment meet; a probe asks for each size that a partner can have
+(not below a similarity of 2/3, where empty segments are too common to ask so).  A probe spends H + 1 units on its
 segments: none on those whose signature is cheap to hit by chance (at most one
 shingle), two (equal, or one shingle apart) on as many others that are indexed
 with deletions.  Signatures travel packed by bucket; the texts that meet in one
@@ -106,7 +107,7 @@ def _spend(sizes: np.ndarray, deletable: int) -> np.ndarray:
     return units
 
 
-def _signed(elements, of, n: np.ndarray, band: int, segments: int, deletable: int, index: bool, reach: tuple[np.ndarray, np.ndarray]):
+def _signed(elements, of, n: np.ndarray, band: int, segments: int, deletable: int, index: bool, reach: tuple[np.ndarray, np.ndarray], sized: bool = True):
     """Signatures (key, text, probes, is_index) of texts under one band.
 
     elements, of: shingles of these texts and the text of each; n: sizes of the texts;
@@ -127,7 +128,7 @@ def _signed(elements, of, n: np.ndarray, band: int, segments: int, deletable: in
             units[d * segments : (d + 1) * segments] = _spend(count[d * segments : (d + 1) * segments], deletable)
         base = total + np.tile(mark, sizes)
         text = np.arange(len(base)) // segments
-        empty = count == 0
+        empty = (count == 0) & sized
         full = tokens.mix(np.where(empty, base + tokens.mix(n.astype(np.uint64))[text], base))
         take = np.flatnonzero((units > 0) & ~empty) if not index else np.arange(len(full))
         # probes of empty segments, for each size but the own one, which the index rows stand for
@@ -173,7 +174,7 @@ def _signer(k: int, num: int, den: int, bits: int):
                         low = max(int(top[b - 1]) + 1 if b else 1, 1)
                         # an indexed partner is of this band; of equal sizes either asks
                         reach = np.maximum(-(-n[these] * num // den), low), np.minimum(n[these] * den // num, int(top[b]))
-                        key, at, probe, is_index = _signed(flat, of, n[these], int(b), int(segments[b]), int(deletable[b]), not shift, reach)
+                        key, at, probe, is_index = _signed(flat, of, n[these], int(b), int(segments[b]), int(deletable[b]), not shift, reach, num >= 2 * (den - num))
                         keys.append(key)
                         docs.append(rank[these[at] + lo])
                         probes.append(probe)

@@ -7,8 +7,9 @@ which passes possible hits; an exact join on the URL removes false positives.  A
 listed page is blocked, another allowed.
 
 Null, empty and scheme-less urls have empty host and path, fit no rule and are
-allowed.  Repeated rows each get their own verdict; null and repeated listed URLs do not count.  An empty listing allows
-everything; an empty page table gives no rows.  Other page columns are ignored.
+allowed.  Repeated rows each get their own verdict; null and repeated listed URLs do
+not count.  Without rules and listed URLs everything is allowed; an empty page table
+gives no rows.  Other page columns are ignored.
 """
 
 from __future__ import annotations

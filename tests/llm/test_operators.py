@@ -95,7 +95,7 @@ def test_url_filter(spark):
     got = sorted((r.page_id, r.verdict, r.rule or "") for r in url_filter.filter_urls(pages, listed).collect())
     assert got == sorted((i, v, r or "") for i, _, v, r in urls)
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
-    assert {r.verdict for r in url_filter.filter_urls(pages, listed.limit(0)).collect()} == {"allow"}
+    assert {r.verdict for r in url_filter.filter_urls(pages, listed.limit(0), ()).collect()} == {"allow"}
 
 
 # ---- 2
