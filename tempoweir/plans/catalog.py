@@ -258,17 +258,17 @@ add("dynamic_group", f"WITH {U}, l AS (SELECT k, min(t) + {DAY} AS a, min(t) + {
 
 
 _FREE = ", ".join("-1" for _ in range(16))
-_SLOTS = f"""WITH RECURSIVE n AS (SELECT epoch_us(ts) * 1000 AS t, event_id AS seq, user_id::bigint AS item, value > 60 AS close, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+_ITEMS = "SELECT epoch_us(ts) * 1000 AS t, event_id AS seq, user_id::bigint AS item, value > 60 AS close, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events"
+_SLOTS = f"""WITH RECURSIVE e AS ({_ITEMS}), n AS MATERIALIZED (SELECT list({{'item': item, 'close': close}} ORDER BY rn) AS l FROM e),
 r AS (
-  SELECT 0::bigint AS rn, [{_FREE}]::bigint[] AS held, []::bigint[] AS over, NULL::bigint AS t, NULL::bigint AS seq, NULL::bigint AS item, NULL::int AS slot
+  SELECT 0::bigint AS rn, [{_FREE}]::bigint[] AS held, []::bigint[] AS over, NULL::int AS slot
   UNION ALL
-  SELECT rn, CASE WHEN slot = 16 THEN held ELSE list_transform(held, lambda x, i: CASE WHEN i = slot + 1 THEN CASE WHEN close THEN -1 ELSE item END ELSE x END) END,
-         CASE WHEN slot < 16 THEN over WHEN close THEN list_filter(over, lambda x: x <> item) WHEN list_contains(over, item) THEN over ELSE list_append(over, item) END, t, seq, item, slot
-  FROM (SELECT n.rn, n.t, n.seq, n.item, n.close, r.held, r.over,
-               CASE WHEN list_contains(r.held, n.item) THEN list_position(r.held, n.item) - 1 WHEN list_contains(r.over, n.item) THEN 16
-                    WHEN list_contains(r.held, -1) THEN list_position(r.held, -1) - 1 ELSE 16 END::int AS slot
-        FROM r JOIN n ON n.rn = r.rn + 1))
-SELECT t, seq, item, slot FROM r WHERE rn > 0"""
+  SELECT rn, CASE WHEN slot = 16 THEN held ELSE list_transform(held, lambda y, i: CASE WHEN i = slot + 1 THEN CASE WHEN x.close THEN -1 ELSE x.item END ELSE y END) END,
+         CASE WHEN slot < 16 THEN over WHEN x.close THEN list_filter(over, lambda y: y <> x.item) WHEN list_contains(over, x.item) THEN over ELSE list_append(over, x.item) END, slot
+  FROM (SELECT rn, x, held, over, CASE WHEN list_contains(held, x.item) THEN list_position(held, x.item) - 1 WHEN list_contains(over, x.item) THEN 16
+                    WHEN list_contains(held, -1) THEN list_position(held, -1) - 1 ELSE 16 END::int AS slot
+        FROM (SELECT r.rn + 1 AS rn, r.held, r.over, n.l[r.rn + 1] AS x FROM r, n WHERE r.rn < len(n.l))))
+SELECT e.t, e.seq, e.item, r.slot FROM r JOIN e ON e.rn = r.rn"""
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
