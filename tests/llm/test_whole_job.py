@@ -3,10 +3,13 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tempoweir.llm import license_scan, pii_surrogates, template_decontam
+from tempoweir.llm import embedding_dedup, jaccard_join, license_scan, pfair_mix, pii_surrogates, quality_pu, template_decontam
 from tests.llm.test_operators import docs
 
 
@@ -46,6 +49,101 @@ def test_rows_of_one_id_do_not_mix(spark):
     assert leaks(spark, [(4, "see " + row), (4, "see " + other)], [(1, "see " + row)]) == [(4, 1)]
 
 
+def test_documents_without_id_are_judged(spark, tmp_path):
+    items = spark.createDataFrame([(1, CLIPS), (None, SHORT)], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = docs(spark, [(None, f"see {CLIPS}"), (None, "nothing of it here"), (7, SHORT), (8, None)])
+    got = template_decontam.contamination(d, items).collect()
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in got) == [("7", "None"), ("None", "1")]
+    left = template_decontam.drop_contaminated(spark, d.withColumn("row", F.lit(1)), str(tmp_path)).collect()
+    assert sorted(str(r.text) for r in left) == ["None", "nothing of it here"]
+
+
+# ---- 3 and 8
+
+
+def test_columns_that_clash_with_new_ones(spark, tmp_path):
+    d = docs(spark, [(1, "one"), (2, None)], score_="s", _score="t")
+    got = quality_pu.score_quality(d, spark.createDataFrame([], "doc_id long, quality int"))
+    assert got.columns == [*d.columns, "score__"] and {r["score_"] for r in got.collect()} == {"s"}
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert set(quality_pu.keep_good(spark, d, str(tmp_path)).columns) == set(d.columns)
+    names = ["slot", "position", "stream_", "rank_", "prefix_", "here_", "plan_", "MD5_"]
+    out = pfair_mix.interleave(spark, docs(spark, [(i, "x") for i in range(9)], **dict.fromkeys(names, 5)), "")
+    assert out.columns[-2:] == ["slot_", "position_"] and sorted(r["position_"] for r in out.collect()) == list(range(9))
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {(5,) * len(names)}
+    kept = jaccard_join.keep_one(spark, docs(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c")], turn_=3), "")
+    assert [(r.doc_id, r["turn_"]) for r in kept.collect()] == [(1, 3)]
+
+
+def test_ranks_over_many_prefixes(spark, monkeypatch):
+    rows = [(i, "x") for i in range(700)]
+    want = {r.doc_id: (r.slot, r.position) for r in pfair_mix.interleave(spark, docs(spark, rows), "").collect()}
+    monkeypatch.setattr(pfair_mix, "PREFIX_ROWS", 0.2)  # four digits, two of them heads
+    assert {r.doc_id: (r.slot, r.position) for r in pfair_mix.interleave(spark, docs(spark, rows), "").collect()} == want
+    assert sorted(p for _, p in want.values()) == list(range(700))
+
+
+def test_weights_with_a_common_factor(spark):
+    d = docs(spark, [(i, "x") for i in range(40)]).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    one, many = ({r.doc_id: (r.slot_, r.position_) for r in pfair_mix.mix(d, {"a": 3 * f}, f, 2).collect()} for f in (1, 5_000))
+    assert one == many
+
+
+# ---- 9
+
+
+def test_links_of_repeated_ids(spark):
+    """Each row of an id links for itself; links are counted by documents and texts."""
+    t, u = "a b c d e f g h i j k l m n o p q r s t", "one two three four five six seven eight nine ten eleven twelve"
+    near = u + " thirteen"
+    d = docs(spark, [(1, t), (2, t), (2, u), (3, u), (4, near), (9, "z")])
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in jaccard_join.jaccard_links(d, shingle=2).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 2, 2), (3, 2, 2), (4, 2, 2), (9, 0, 9)]
+
+
+# ---- 10
+
+
+def test_planted_pairs_among_many_vectors(spark, tmp_path):
+    """50 000 vectors: 3 000 pairs at cosine 0.901 and groups of 40, against all pairs by blocks."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((43_000, 24)))
+    away = rng.standard_normal((3_000, 24))
+    away = unit(away - (away * base[:3_000]).sum(1, keepdims=True) * base[:3_000])
+    near = 0.901 * base[:3_000] + np.sqrt(1 - 0.901**2) * away
+    groups = unit(np.repeat(base[3_000:3_100], 40, 0) + 0.03 * rng.standard_normal((4_000, 24)))
+    x = np.concatenate([base, near, groups])
+    ids = rng.permutation(len(x)) + 5
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(x), pa.list_(pa.float64()))}), tmp_path / "v.parquet")
+    rows = embedding_dedup.near_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).toPandas().set_index("vec_id").loc[ids]
+    pairs = []
+    for lo in range(0, len(x), 2_000):
+        i, j = np.nonzero(x[lo : lo + 2_000] @ x.T >= 0.9)
+        pairs.append(np.column_stack([i + lo, j])[i + lo < j])
+    pairs = np.concatenate(pairs)
+    links = np.bincount(pairs.ravel(), minlength=len(x))
+    assert (rows.n_links.to_numpy() <= links).all() and rows.n_links.sum() >= 0.95 * links.sum()
+    planted = pairs[(pairs[:, 0] < 3_000) & (pairs[:, 1] == pairs[:, 0] + 43_000)]
+    assert len(planted) == 3_000 and (rows.n_links.to_numpy()[planted] > 0).all(1).mean() >= 0.95
+    root = np.arange(len(x))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, pairs[:, 0], root[pairs[:, 1]])
+        np.minimum.at(low, pairs[:, 1], root[pairs[:, 0]])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    least = np.full(len(x), ids.max() + 1)
+    np.minimum.at(least, root, ids)
+    right = rows.component_id.to_numpy() == least[root]
+    assert right.mean() >= 0.99 and (rows.component_id.to_numpy() >= least[root]).all()
+    full = rows.n_links.to_numpy() == links
+    assert ((rows.component_id.to_numpy() == ids) == (least[root] == ids))[full & right].all()
+
+
 # ---- 5
 
 
