@@ -362,7 +362,10 @@ class Stream:
         return self.inspect(lambda df: df.orderBy(*self.keys, "t", "seq").show(rows, truncate=False))
 
     def timed(self, name: str) -> tuple[Stream, Any]:
-        """Pass-through with an observation of the ticks and the span of time."""
+        """Pass-through with an observation of the ticks and the span of time.
+
+        A sort of all rows after it samples them first, and then counts them twice.
+        """
         from pyspark.sql import Observation
 
         seen = Observation(name)

@@ -119,7 +119,7 @@ def test_taps_and_sinks(spark, tmp_path, capsys, caplog):
     n.print()
     assert "|300|0" in capsys.readouterr().out.replace(" ", "")
     timed, watch = n.timed("ticks of n")
-    assert len(timed.collect()) == 4 and watch.get == {"ticks": 4, "first": 0, "last": 300}
+    assert len(timed.df.collect()) == 4 and watch.get == {"ticks": 4, "first": 0, "last": 300}
     assert only(n.logged("n")) == [1, 2, 3, 4]
     assert only(n.logged("n", logging.CRITICAL + 1)) == [1, 2, 3, 4]
     last = []
