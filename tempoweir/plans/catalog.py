@@ -470,11 +470,58 @@ def _multi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("forecast")(lambda s, d: analysis.forecast(_series(s, d), ["k"], 32, 4, (4,)))
-add("outlier")(lambda s, d: analysis.outlier(_multi(s, d), [], 16))
+
+
+def _aligned_sql(window: int) -> str:
+    """x(w, i, j, v): value of series j in the i-th sample of the window that ends at sample w, filled forward, then backward; m(w, t, n) the windows."""
+    return f"""g AS (SELECT event_type AS k, epoch_us(ts) * 1000 // {6 * HOUR} * {6 * HOUR} AS t, sum(value) AS v FROM events GROUP BY 1, 2),
+s AS (SELECT t, row_number() OVER (PARTITION BY t ORDER BY k) - 1 AS j, v FROM g),
+r AS (SELECT t, row_number() OVER (ORDER BY t) AS i, count(*) AS width FROM s GROUP BY t),
+m AS (SELECT w.i AS w, w.t, count(*) AS n, max(o.width) AS width FROM r w JOIN r o ON o.i BETWEEN w.i - {window - 1} AND w.i GROUP BY 1, 2 HAVING count(*) > 1),
+c AS (SELECT m.w, o.i, o.t, q.j FROM m JOIN r o ON o.i BETWEEN m.w - {window - 1} AND m.w JOIN (SELECT unnest(range(1000)) AS j) q ON q.j < m.width),
+x AS (SELECT c.w, c.i, c.j, coalesce(last_value(s.v IGNORE NULLS) OVER (PARTITION BY c.w, c.j ORDER BY c.i), first_value(s.v IGNORE NULLS) OVER (PARTITION BY c.w, c.j ORDER BY c.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v
+      FROM c LEFT JOIN s ON s.t = c.t AND s.j = c.j)"""
+
+
+#: Dynamic time warping cell by cell, all pairs of all windows together: rows of the matrix are lists from index 0 on.
+_DTW = f"""{_aligned_sql(12)},
+l AS (SELECT w, j, list(v ORDER BY i) AS v FROM x GROUP BY 1, 2),
+d AS (
+  SELECT a.w, a.j AS a, b.j AS b, a.v AS x, b.v AS y, len(a.v) AS n, 0 AS c, list_concat([0.0::double], list_transform(a.v, lambda z: 'inf'::double)) AS prev, ['inf'::double] AS cur FROM l a JOIN l b ON a.w = b.w AND a.j < b.j
+  UNION ALL
+  SELECT w, a, b, x, y, n, c + 1, CASE WHEN c % n = n - 1 THEN list_append(cur, z) ELSE prev END, CASE WHEN c % n = n - 1 THEN ['inf'::double] ELSE list_append(cur, z) END
+  FROM (SELECT *, pow(x[c // n + 1] - y[c % n + 1], 2) + least(prev[c % n + 2], cur[c % n + 1], prev[c % n + 1]) AS z FROM d WHERE c < n * n)),
+p AS (SELECT m.t, d.w, d.a, d.b, sqrt(d.prev[d.n + 1]) AS d FROM d JOIN m USING (w) WHERE c = d.n * d.n)"""
+
+
+@add("outlier", f"""WITH {_aligned_sql(16)},
+e AS (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY w, i) AS mid FROM x),
+h AS (SELECT w, j, avg(abs(v - mid)) AS gap FROM e GROUP BY 1, 2),
+o AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY w) AS med FROM h),
+z AS (SELECT *, quantile_cont(abs(gap - med), 0.5) OVER (PARTITION BY w) AS mad FROM o)
+SELECT m.t, coalesce(string_agg(j::varchar, ',' ORDER BY j) FILTER (WHERE 0.6745 * (gap - med) > 3.5 * CASE WHEN mad = 0 THEN 1e-12 ELSE mad END), '') AS outliers FROM z JOIN m USING (w) GROUP BY m.t""")
+def outlier(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.outlier(_multi(spark, sf), [], 16).select("t", F.array_join(F.col("outliers").cast("array<string>"), ",").alias("outliers"))
+
+
+@add("dtw", f"WITH RECURSIVE {_DTW} SELECT t, a::int AS a, b::int AS b, round(d, 6) AS d FROM p")
+def dtw(spark: SparkSession, sf: str) -> DataFrame:
+    rows = analysis.dtw(_multi(spark, sf), [], 12).select("t", F.posexplode("distances").alias("a", "row"))
+    return rows.select("t", "a", F.posexplode("row").alias("b", "d")).where("a < b").select("t", "a", "b", rounded("d").alias("d"))
+
+
+@add("cluster", f"""WITH RECURSIVE {_DTW},
+near AS (SELECT w, a, b FROM p WHERE d <= 150 UNION SELECT w, b, a FROM p WHERE d <= 150),
+reach AS (SELECT w, a, a AS b FROM near UNION SELECT r.w, r.a, n.b FROM reach r JOIN near n ON n.w = r.w AND n.a = r.b),
+root AS (SELECT w, a, min(b) AS root FROM reach GROUP BY 1, 2),
+label AS (SELECT w, a, dense_rank() OVER (PARTITION BY w ORDER BY root) - 1 AS label FROM root)
+SELECT m.t, string_agg(coalesce(label.label, -1)::varchar, ',' ORDER BY l.j) AS labels FROM l JOIN m USING (w) LEFT JOIN label ON label.w = m.w AND label.a = l.j WHERE m.width > 1 GROUP BY m.t""")
+def cluster(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.cluster(_multi(spark, sf), [], 12, 150.0).select("t", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
 add("changepoint")(lambda s, d: analysis.changepoint(_series(s, d), ["k"], 32))
 add("seasons")(lambda s, d: analysis.seasons(_series(s, d), ["k"], 32))
-add("dtw")(lambda s, d: analysis.dtw(_multi(s, d), [], 12))
-add("cluster")(lambda s, d: analysis.cluster(_multi(s, d), [], 12, 150.0))
 
 # ---- sources and sinks
 add("ticker", "SELECT 1000 + i * 250 AS t, true AS v FROM range(5000) r(i)")(lambda s, d: ticks.ticker(s, 250, 5_000, 1_000).df.select("t", "v"))
