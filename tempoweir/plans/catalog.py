@@ -12,7 +12,7 @@ from tempoweir.functions import helpers
 from tempoweir.operators import analysis, keyed, latency, market, stats
 from tempoweir.operators.stats import Span
 from tempoweir.session import shared_dir
-from tempoweir.sources import files, ticks
+from tempoweir.sources import files, live, ticks
 from tempoweir.sources.ticks import from_table, nanos
 from tempoweir.stream import Decay, Stream, bounded
 
@@ -531,6 +531,13 @@ add("never", "SELECT 0::bigint AS t, 0.0::double AS v WHERE false")(lambda s, d:
 add("replay_results", "SELECT * FROM (VALUES (0::bigint, 1.5::double), (10, 2.5), (10, 3.5), (25, NULL)) x(t, v)")(lambda s, d: ticks.values(s, [(0, 1.5), (10, 2.5), (10, 3.5), (25, None)]).df.select("t", "v"))
 
 
+add("spawn_map", f"WITH {E} SELECT k, t, round(v * 3, 6) AS v FROM e")(lambda s, d: out(events(s, d).spawn_map(lambda v: v * 3)))
+add("produce_async", "SELECT i * 7 AS t, (i * i % 101)::double AS v FROM range(20000) r(i)")(lambda s, d: live.produce(s, lambda: ((i * 7, float(i * i % 101)) for i in range(20_000)), "double").df.select("t", "v"))
+add("channel", "SELECT i // 3 * 10 AS t, count(*) AS n, sum(i)::bigint AS v, max(i)::bigint AS last FROM range(10000) r(i) GROUP BY 1")(
+    lambda s, d: live.channel(s, lambda: ((i // 3 * 10, i) for i in range(10_000)), "bigint").df.select("t", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("v"), F.element_at("v", -1).alias("last"))
+)
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -88,11 +88,26 @@ def kafka_write(df: DataFrame, servers: str, topic: str, checkpoint: str):
     return out.option("checkpointLocation", checkpoint).start()
 
 
-def cached(spark: SparkSession, folder: str, query: str, make) -> DataFrame:
-    """Result of a query kept as Parquet under a digest of its text; ``make`` runs only if there is none."""
-    path = f"{folder.rstrip('/')}/{hashlib.sha256(query.encode()).hexdigest()[:32]}"
+def cached(spark: SparkSession, folder: str, query: str, make, most_bytes: int | None = None) -> DataFrame:
+    """Result of a query kept as Parquet under a digest of its text; ``make`` runs only if there is none.
+
+    ``most_bytes``: results not used for longest are deleted until the others and this one fit.
+    """
+    folder, own = folder.rstrip("/"), hashlib.sha256(query.encode()).hexdigest()[:32]
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place(f"{folder}/{own}/_SUCCESS")):
+        make().write.mode("overwrite").parquet(f"{folder}/{own}")
+    fs.create(place(f"{folder}/{own}/_USED"), True).close()  # its time says when a result was last used
+    if most_bytes is not None:
+        held = []
+        for entry in fs.listStatus(place(folder)):
+            mark = place(entry.getPath(), "_USED")
+            held.append((fs.getFileStatus(mark).getModificationTime() if fs.exists(mark) else 0, fs.getContentSummary(entry.getPath()).getLength(), entry.getPath()))
+        total = sum(size for _, size, _ in held)
+        for _, size, path in sorted(held, key=lambda x: (x[0], x[2].getName())):
+            if total > most_bytes and path.getName() != own:
+                fs.delete(path, True)
+                total -= size
+    return spark.read.parquet(f"{folder}/{own}")

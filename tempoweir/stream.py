@@ -79,6 +79,9 @@ class Stream:
     def map(self, f: Fn, seed: Any = None) -> Stream:
         return self._v(f(F.col("v")), seed)
 
+    #: Other threads are other partitions.
+    spawn_map = map
+
     def try_map(self, f: Fn, failed: Fn, message: str = "try_map failed") -> Stream:
         """As map; the run aborts where ``failed`` holds."""
         v = F.col("v")
