@@ -1,4 +1,7 @@
-"""Time-series analysis over the last samples of a stream, by NumPy kernels in ordered scans."""
+"""Time-series analysis over the last samples of a stream, by NumPy kernels in ordered scans.
+
+A null sample is no sample: it is not held and gives no row.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +18,8 @@ def _windowed(df: DataFrame, keys: list[str], window: int, least: int, of, out:
         held: deque = deque(maxlen=window)
 
         def step(row):
+            if row["v"] is None:
+                return
             held.append(row["v"])
             if len(held) >= least and (made := of(list(held))) is not None:
                 yield {"t": row["t"], "seq": row["seq"]} | made
@@ -28,49 +33,117 @@ def _windowed(df: DataFrame, keys: list[str], window: int, least: int, of, out:
 # -- forecasts
 
 
-def _holt(y: np.ndarray, a: float, b: float) -> tuple[float, float, np.ndarray]:
-    level, trend, errors = y[0], y[1] - y[0], []
+#: Forms of additive smoothing: level; level and trend; level and damped trend.  Their free numbers, the noise's included.
+FORMS = {"level": 3, "trend": 5, "damped": 6}
+
+
+def _smooth(y: np.ndarray, a: float, b: float, phi: float) -> tuple[float, float, float]:
+    """Sum of squared errors, last level and last trend of y under one set of parameters; phi 0 has no trend."""
+    level, trend, loss = y[0], (y[1] - y[0]) if phi else 0.0, 0.0
     for x in y[1:]:
-        e = x - level - trend
-        errors.append(e)
-        level, trend = level + trend + a * e, trend + a * b * e
-    return level, trend, np.array(errors)
+        ahead = level + phi * trend
+        e = x - ahead
+        loss += e * e
+        level, trend = ahead + a * e, phi * trend + a * b * e if phi else 0.0
+    return loss, level, trend
 
 
-def ets(y: np.ndarray, horizon: int, z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Additive-trend exponential smoothing: points and half widths; parameters by grid and refinement."""
-    best, at, width = None, (0.5, 0.3), 0.4
+def _fitted(y: list[float], form: str) -> tuple:
+    """(loss, a, b, phi, level, trend) of the best parameters, by grid and refinement."""
+    best, at, width = None, (0.5, 0.3, 0.9), (0.4, 0.4, 0.08)
     for _ in range(4):
-        for a in np.clip(at[0] + width * np.linspace(-1, 1, 5), 0.01, 0.99):
-            for b in np.clip(at[1] + width * np.linspace(-1, 1, 5), 0.001, 0.99):
-                loss = float((_holt(y, a, b)[2] ** 2).sum())
-                if best is None or loss < best[0]:
-                    best = loss, a, b
-        at, width = best[1:], width / 2
-    level, trend, errors = _holt(y, *at)
-    h = np.arange(1, horizon + 1)
-    c = np.concatenate([[0.0], at[0] * (1 + at[1] * h[:-1])])
-    return level + trend * h, z * errors.std() * np.sqrt(1 + np.cumsum(c**2))
+        grid = lambda i, low, high: sorted({min(high, max(low, at[i] + width[i] * k)) for k in (-1, -0.5, 0, 0.5, 1)})
+        for a in grid(0, 0.01, 0.99):
+            for b in grid(1, 0.001, 0.99) if form != "level" else (0.0,):
+                for phi in grid(2, 0.8, 0.98)[::2] if form == "damped" else (float(form == "trend"),):
+                    loss, level, trend = _smooth(y, a, b, phi)
+                    if best is None or loss < best[0]:
+                        best = loss, a, b, phi, level, trend
+        at, width = best[1:4] if form == "damped" else (best[1], best[2], 0.9), tuple(w / 2 for w in width)
+    return best
 
 
-def seasonal(y: np.ndarray, period: int) -> np.ndarray:
-    """Seasonal component: mean of each phase of the detrended series."""
-    x = y - np.polyval(np.polyfit(np.arange(len(y)), y, 1), np.arange(len(y)))
-    phase = np.array([x[i::period].mean() for i in range(period)])
-    return phase - phase.mean()
+def ets(y: np.ndarray, horizon: int, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exponential smoothing of the form with the least corrected information criterion: points and half widths."""
+    values, n = np.asarray(y, float).tolist(), len(y)
+    least, held = None, None
+    for form, k in FORMS.items():
+        if n <= k + 1:
+            continue
+        fit = _fitted(values, form)
+        score = n * np.log(max(fit[0] / n, 1e-300)) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+        if least is None or score < least - 1e-9:
+            least, held = score, fit
+    loss, a, b, phi, level, trend = held or _fitted(values, "level")
+    steps = np.cumsum(phi ** np.arange(1, horizon + 1)) if phi else np.zeros(horizon)
+    c = np.concatenate([[0.0], a * (1 + b * (np.cumsum(phi ** np.arange(1, horizon)) if phi else np.zeros(horizon - 1)))])
+    return level + trend * steps, z * np.sqrt(loss / max(1, n - 1)) * np.sqrt(1 + np.cumsum(c**2))
+
+
+def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Local lines through the ``span`` nearest points with tricube weights."""
+    d = np.abs(at[:, None] - x[None, :])
+    q = min(span, len(x))
+    reach = np.sort(d, 1)[:, q - 1] * max(1.0, span / len(x))
+    w = np.clip(1 - (d / np.maximum(reach, 1e-12)[:, None]) ** 3, 0, None) ** 3
+    w[w.sum(1) == 0] = 1.0
+    total = w.sum(1)
+    mx, my = (w @ x) / total, (w @ y) / total
+    dx = x[None, :] - mx[:, None]
+    spread = (w * dx * dx).sum(1)
+    slope = np.where(spread > 1e-12, (w * dx * (y[None, :] - my[:, None])).sum(1) / np.maximum(spread, 1e-12), 0.0)
+    return my + slope * (at - mx)
+
+
+def _odd(x: float) -> int:
+    return int(np.ceil(x)) | 1
+
+
+def _moving(x: np.ndarray, n: int) -> np.ndarray:
+    return np.convolve(x, np.full(n, 1 / n), "valid")
+
+
+def stl(y: np.ndarray, period: int, span: int, inner: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Seasonal component and trend by repeated LOESS (Cleveland et al., 1990), without robustness weights."""
+    n = len(y)
+    x, trend = np.arange(n, dtype=float), np.zeros(n)
+    wide = _odd(1.5 * period / (1 - 1.5 / span))
+    for _ in range(inner):
+        cycle = np.empty(n + 2 * period)
+        for i in range(period):
+            own = (y - trend)[i::period]
+            m = len(own)
+            cycle[i::period][: m + 2] = loess(np.arange(m, dtype=float), own, np.arange(-1, m + 1, dtype=float), span)
+        low = _moving(_moving(_moving(cycle, period), period), 3)
+        season = cycle[period : period + n] - loess(x, low, x, _odd(period))
+        trend = loess(x, y - season, x, wide)
+    return season, trend
+
+
+def mstl(y: np.ndarray, periods: tuple[int, ...], rounds: int = 2) -> dict[int, np.ndarray]:
+    """Seasonal component of each period, shortest first, each taken from the series without the others."""
+    usable = sorted(p for p in set(periods) if p > 1 and len(y) >= 2 * p)
+    found, rest = {p: np.zeros(len(y)) for p in usable}, np.asarray(y, float).copy()
+    for _ in range(rounds if len(usable) > 1 else 1):
+        for i, p in enumerate(usable):
+            rest = rest + found[p]
+            found[p] = stl(rest, p, 7 + 4 * (i + 1))[0]
+            rest = rest - found[p]
+    return found
 
 
 def forecast(df: DataFrame, keys: list[str], window: int, horizon: int, periods: tuple[int, ...] = (), min_points: int = 12, level: float = 0.95) -> DataFrame:
-    """point, lower and upper of the next ``horizon`` values; seasonal components are taken off and put back."""
+    """point, lower and upper of the next ``horizon`` values.
+
+    Seasonal components are taken off by ``mstl`` and their last cycle is repeated; what is left gets the best form of ``ets``.
+    """
     z = {0.8: 1.2816, 0.9: 1.6449, 0.95: 1.96, 0.99: 2.5758}.get(level, 1.96)
 
     def of(held):
-        y, h = np.array(held, float), np.arange(len(held), len(held) + horizon)
-        back = np.zeros(horizon)
-        for p in periods:
-            if len(y) >= 2 * p:
-                s = seasonal(y, p)
-                y, back = y - s[np.arange(len(y)) % p], back + s[h % p]
+        y = np.array(held, float)
+        n, back = len(y), np.zeros(horizon)
+        for p, s in mstl(y, periods).items():
+            y, back = y - s, back + s[n - p + np.arange(horizon) % p]
         point, half = ets(y, horizon, z)
         point = point + back
         return {"point": point.tolist(), "lower": (point - half).tolist(), "upper": (point + half).tolist()}

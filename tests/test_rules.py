@@ -4,6 +4,7 @@ import logging
 import math
 import time
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -228,3 +229,39 @@ def test_long_keys_stay_cheap(spark):
         began = time.perf_counter()
         made.df.write.format("noop").mode("overwrite").save()
         assert time.perf_counter() - began < 30
+
+
+def test_seasons_and_forms_of_forecasts():
+    from tempoweir.operators import analysis
+
+    t = np.arange(96)
+    two = 10 + 0.2 * t + 3 * np.sin(2 * np.pi * t / 4) + 5 * np.cos(2 * np.pi * t / 12)
+    parts = analysis.mstl(two, (12, 4, 400))
+    assert sorted(parts) == [4, 12] and np.abs(two - sum(parts.values()) - (10 + 0.2 * t)).max() < 0.5
+    noise = np.random.default_rng(2).standard_normal(96)
+    flat, _ = analysis.ets(5 + noise, 6, 1.96)
+    assert np.ptp(flat) < 0.3 and abs(flat[0] - 5) < 0.7
+    rising, half = analysis.ets(0.5 * t + 0.1 * noise, 6, 1.96)
+    assert np.allclose(rising, 0.5 * (96 + np.arange(6)), atol=0.5) and (np.diff(half) > 0).all()
+    assert np.allclose(analysis.ets(np.full(12, 3.0), 2, 1.96)[0], 3)
+    assert np.allclose(analysis.loess(t.astype(float), 2.0 * t, t + 0.5, 11), 2 * t + 1)
+
+
+def test_forecasts_follow_seasons(spark):
+    t = np.arange(64)
+    y = 20 + 0.1 * t + 4 * np.sin(2 * np.pi * t / 8)
+    from tempoweir.operators import analysis
+
+    rows = plain(spark, y.tolist()).df
+    last = analysis.forecast(rows, [], 64, 8, (8,)).orderBy(F.desc("t")).first()
+    ahead = np.arange(64, 72)
+    assert np.abs(np.array(last.point) - (20 + 0.1 * ahead + 4 * np.sin(2 * np.pi * ahead / 8))).max() < 0.6
+    assert all(a <= p <= b for a, p, b in zip(last.lower, last.point, last.upper))
+    assert analysis.forecast(rows.limit(11), [], 64, 2).count() == 0
+
+
+def test_null_samples_of_analysis(spark):
+    from tempoweir.operators import analysis
+
+    s = plain(spark, [None, *[float(i % 4) for i in range(40)], None]).df
+    assert analysis.seasons(s, [], 32).count() > 0 and analysis.changepoint(s, [], 32).count() > 0 and analysis.forecast(s, [], 32, 2).count() > 0
