@@ -1,7 +1,8 @@
 """Quality classifier: positive-unlabelled learning with the non-negative risk.
 
 Trusted positives are labelled rows of quality 1, unlabelled text is drawn from
-all documents.  With the class prior p estimated from the training labels, a
+all documents.  The class prior p is estimated as the share of 1 among the training
+labels or, where these are all 1, from trusted and unlabelled texts alone.  With it a
 logistic model over shape features of the whole text minimises
 
     p R_P(+) + max(0, R_U(-) - p R_P(-)),
@@ -31,6 +32,7 @@ FIT_ROWS = 20_000
 STEPS = 1_500
 RATE = 0.05
 WEIGHT_DECAY = 1e-4
+PRIOR_STEPS, PRIOR_RATE = 400, 0.5
 
 #: Byte classes whose shares are features.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?", "|", "#$%&*+=<>@^~_{}[]\\/", ".,;:'\"()-", "\n")
@@ -86,6 +88,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.
     return mean, scale, w, float(b)
 
 
+def prior_from(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, without negative labels.
+
+    A logistic model tells trusted from unlabelled rows; above any cut of its scores the
+    unlabelled hold at least that share of what the positives hold, and the least such ratio is the estimate.
+    """
+    both = np.concatenate([positive, unlabelled])
+    mean, scale = both.mean(0), both.std(0) + 1e-3
+    x_p, x_u = (positive - mean) / scale, (unlabelled - mean) / scale
+    w, b = np.zeros(x_p.shape[1]), 0.0
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for _ in range(PRIOR_STEPS):
+        g_p, g_u = -sigmoid(-(x_p @ w + b)) / len(x_p), sigmoid(x_u @ w + b) / len(x_u)
+        w, b = w - PRIOR_RATE * (x_p.T @ g_p + x_u.T @ g_u + 1e-3 * w), b - PRIOR_RATE * float(g_p.sum() + g_u.sum())
+    s_p, s_u = x_p @ w, x_u @ w
+    cuts = np.quantile(s_p, np.linspace(0.02, 0.8, 40))
+    return float(min((s_u >= c).mean() / (s_p >= c).mean() for c in cuts))
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3 == 1
 
@@ -116,7 +137,9 @@ def learn(docs: DataFrame, labels: DataFrame):
         return None
     # rows come in no fixed order: sums over a sorted matrix are the same in every run
     order = lambda part: part[np.lexsort(part.T)]
-    return fit(order(x[is_trusted]), order(x[~is_trusted]), min(0.98, max(0.05, share)))
+    positive, unlabelled = order(x[is_trusted]), order(x[~is_trusted])
+    prior = share if share < 1 else prior_from(positive, unlabelled)
+    return fit(positive, unlabelled, min(0.98, max(0.05, prior)))
 
 
 def _scorer(model, into: str, text: str):

@@ -76,6 +76,14 @@ def test_columns_that_clash_with_new_ones(spark, tmp_path):
     assert [(r.doc_id, r["turn_"]) for r in kept.collect()] == [(1, 3)]
 
 
+def test_prior_without_negative_labels():
+    rng = np.random.default_rng(4)
+    draw = lambda n, at: at + rng.standard_normal((n, 3))
+    for share in (0.3, 0.6, 0.9):
+        unlabelled = np.concatenate([draw(int(4_000 * share), 2), draw(4_000 - int(4_000 * share), -2)])
+        assert abs(quality_pu.prior_from(draw(2_000, 2), unlabelled) - share) < 0.06
+
+
 def test_ranks_over_many_prefixes(spark, monkeypatch):
     rows = [(i, "x") for i in range(700)]
     want = {r.doc_id: (r.slot, r.position) for r in pfair_mix.interleave(spark, docs(spark, rows), "").collect()}
