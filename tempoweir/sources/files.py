@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempoweir.functions.helpers import quote_table, time_slices
 from tempoweir.stream import Stream
 
+BROADCAST_SPLITS = 50_000
 
 def _ordered(df: DataFrame) -> Column:
     """Row order of file sources: files by name, rows by place."""
@@ -37,18 +38,20 @@ def csv_write(stream: Stream, path: str, header: bool = False) -> None:
 
 
 def replay_lines(spark: SparkSession, path: str, base: int = 0, step: int = 1) -> Stream:
-    """Lines of text files at base + i * step ns.
+    """Lines of text files at base + i * step ns, files by name.
 
-    Line numbers come from counts by partition, a row each, and not from a global sort.
+    A line's number is its place in its split of a file and the lines of the splits before;
+    only the table of splits, a row each, is put in order as a whole.
     """
-    rows = spark.read.text(path).select(F.col("value").alias("v"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("seq"))
-    sizes = {r["p"]: r["n"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.lit(None).cast("map<int,int>")
-    index = F.col("seq").bitwiseAND((1 << 33) - 1) + F.element_at(offset, F.col("p"))
-    return Stream(rows.select((index * step + base).cast("long").alias("t"), F.lit(0).cast("long").alias("seq"), "v"))
+    split = ["file_path", "file_block_start"]
+    rows = spark.read.text(path).select(F.col("value").alias("v"), *[f"_metadata.{c}" for c in split], F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy(*split).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(*split, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    index = F.col("id") - F.col("first") + F.col("before")
+    return Stream(rows.join(splits, split).select((index * step + base).cast("long").alias("t"), F.lit(0).cast("long").alias("seq"), "v"))
 
 
 def tail_lines(spark: SparkSession, folder: str) -> DataFrame:
