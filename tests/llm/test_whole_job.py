@@ -303,3 +303,28 @@ def test_license_texts_count_by_their_full_wording(spark):
     ]
     got = {r.doc_id: sorted({m.label for m in r.matches}) for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
     assert got == {1: ["mit-text"], 2: [], 3: [], 4: ["bsd-2-text"], 5: ["bsd-3-text"], 6: ["bsd-4-text"], 7: [], 8: ["mit-text"]}
+
+
+# ---- pipeline
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null texts and ids, repeated rows, long texts, clashing columns; then tables without rows."""
+    import corpus_pipeline
+    from tests.llm.test_operators import LONG, ODD, words
+
+    good = [(100 + i, f"mail me at ab.{i}@mail3.example.com. " + words(60, 50 + i)) for i in range(6)]
+    copies = [(200, LONG), (201, LONG), (100, good[0][1])]
+    d = docs(spark, [*ODD, *good, *copies], slot=1, turn_=2, found_="x", row=3)
+    d.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i, _ in good] + [(3, None), (None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    spark.createDataFrame([(1, good[1][1]), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    rows = out.collect()
+    assert set(d.columns) < set(out.columns) and sorted(r.position for r in rows) == list(range(len(rows)))
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and 101 not in ids and len({6, 7, 200, 201} & set(ids)) <= 1 and 100 in ids
+    assert {(r.slot, r.turn_, r.found_, r.row) for r in rows} <= {(1, 2, "x", 3)} and not any("ab." in (r.text or "") for r in rows)
+    for name, kind in (("documents", d.schema), ("labels", "doc_id long, quality int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / "b" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
