@@ -348,14 +348,15 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # one text of each class is signed, so that copies reach no bucket
     first = classes.select("node", F.col("least_id").alias("id"), "t")
-    texts = rows.where("id is not null").join(first, ["id", "t"]).select("node", "text")
-    signed = texts.select(F.col("node").alias("id"), "text").mapInArrow(_signer(shingle, num, den, bits), "bucket int, payload binary")
+    texts = rows.where("id is not null")
+    signed = texts.join(first, ["id", "t"]).select(F.col("node").alias("id"), "text").mapInArrow(_signer(shingle, num, den, bits), "bucket int, payload binary")
     met = signed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
     clusters = components(met).withColumnRenamed("component", "cluster")
     members = cut(classes.select("node", "n", "copies").join(clusters, "node"))
 
     task = ["cluster", "s1", "c1", "s2", "c2"]
-    dealt = texts.join(_tasks(members, num, den), "node").repartition(*task).sortWithinPartitions(*task, "node")
+    # the few tasks go to the texts by id and hash, which are dealt so already, and not the texts to the tasks by node
+    dealt = texts.join(_tasks(members, num, den).join(first, "node"), ["id", "t"]).drop("id", "t").repartition(*task).sortWithinPartitions(*task, "node")
     checked = cut(dealt.mapInArrow(_verifier(shingle, num, den, task), "a bigint, b bigint, n bigint"))
     found = components(checked.where("b is not null"))
     # a component is called by the least id of its classes
