@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempoweir.llm.common import remove, shared_dir
+from tempoweir.llm.common import freed, remove, shared_dir
 from tempoweir.llm.jaccard_join import keep_one
 from tempoweir.llm.pfair_mix import interleave
 from tempoweir.llm.pii_surrogates import hide_pii
@@ -60,14 +60,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared folder and read again.
 
     What a stage wrote is deleted once the next one has written its own, so that two
-    copies of the corpus are held at most; the last one stays.  Null texts and ids,
+    copies of the corpus are held at most; the last one stays.  Shuffle files go with the
+    query that made them.  Null texts and ids,
     repeated rows, empty tables and further columns go through every stage as its docstring says.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = f"{root}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        made = stage(spark, docs, sf_dir)
+        with freed(spark):
+            made.select("*").write.parquet(out)
         if k:
             remove(spark, f"{root}/{k - 1}")
         docs = spark.read.parquet(out)

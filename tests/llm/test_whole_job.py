@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempoweir.llm import embedding_dedup, jaccard_join, license_scan, pfair_mix, pii_surrogates, quality_pu, template_decontam
+from tempoweir.llm.common import cut
 from tests.llm.test_operators import docs
 
 
@@ -328,3 +330,37 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     for name, kind in (("documents", d.schema), ("labels", "doc_id long, quality int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(str(tmp_path / "b" / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def _shuffles(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {x for x in files.split("\n") if "/shuffle_" in x}
+
+
+def _left(spark, before: set[str]) -> set[str]:
+    # deleted by another thread
+    end = time.time() + 20
+    while (left := _shuffles(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    return left
+
+
+def test_cut_frames_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = _shuffles(spark), spark.conf.get(key)
+    # held until the end, so that the driver's garbage collection deletes nothing
+    frame = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count()
+    whole = cut(frame)
+    assert not _left(spark, before)
+    assert spark.conf.get(key) == held
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, frame.collect())) and whole.columns == frame.columns
+
+
+def test_near_copies_leave_only_the_shuffles_of_the_result(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: made.append(df) or cut(df))
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    before = _shuffles(spark)
+    kept = jaccard_join.keep_one(spark, docs(spark, [(1, text), (2, text + " x"), (3, "other words of another text"), (4, None)]), "")
+    assert made and not _left(spark, before)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
