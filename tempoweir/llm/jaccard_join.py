@@ -10,7 +10,10 @@ too, lest all sets with an empty segment meet; a probe asks for each size that a
 segments: none on those whose signature is cheap to hit by chance (at most one
 shingle), two (equal, or one shingle apart) on as many others that are indexed
 with deletions.  Signatures travel packed by bucket; the texts that meet in one
-are joined into clusters, and inside a cluster every pair is verified exactly,
+are joined into clusters.  Chance meetings chain unrelated texts, the more the more
+texts there are, so clusters above CHUNK are taken apart first: all their pairs are compared
+by sketches, whose differing bits are at most the shingles that the sets do not share, and
+only pairs within the bound stay joined.  Inside a cluster every pair is verified exactly,
 in tasks of at most 2 * CHUNK texts, counting links and keeping a spanning forest.
 
 Equal sets (by a 128-bit digest) are one class and enter once.  Shingles are
@@ -34,6 +37,8 @@ from tempoweir.llm.common import cut, fresh, table, text_bytes
 from tempoweir.llm.graph import components, forest
 
 CHUNK = 256
+#: As CHUNK, of sketches.
+SKETCHES = 4_096
 BUCKET_BYTES = 4 << 20
 LEAST_BITS = 8
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -60,18 +65,26 @@ def shingle_sets(column, k: int):
         yield sets
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the shingles' counts in as many cells as there are shingles, rounded up to a power of two, 64 at least."""
+    cells = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    at = (tokens.mix(s + _M1) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1).tobytes()
+
+
 def _profiler(k: int):
     def profile(batches):
         for batch in batches:
-            n, one, two = [], [], []
+            n, one, two, drawn = [], [], [], []
             with np.errstate(over="ignore"):
                 for sets in shingle_sets(batch.column("text"), k):
                     for s in sets:
                         n.append(len(s))
                         one.append(int(tokens.mix(s ^ _M1).sum(dtype=np.uint64)))
                         two.append(int(tokens.mix(s + _M2).sum(dtype=np.uint64)))
+                        drawn.append(sketch(s))
             as_long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), as_long(one), as_long(two)], ["id", "t", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), as_long(one), as_long(two), pa.array(drawn, pa.binary())], ["id", "t", "n", "h1", "h2", "sketch"])
 
     return profile
 
@@ -283,7 +296,67 @@ def _verifier(k: int, num: int, den: int, task: list[str]):
             ["a", "b", "n"],
         )
 
-    def verify(batches):
+    return _by_task(one, task)
+
+
+def _near(sketches: list[bytes], n: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that join what all pairs of sketches within the bound join, of different sides if there are two.
+
+    Sets that link differ in at most (den - num) / (den + num) of their sizes' sum, and by no
+    fewer shingles than their sketches by bits.  The longer sketch of two is folded.
+    """
+    cells = np.array([len(x) for x in sketches])
+    label, found, apart = np.arange(len(n)), [], len(set(side.tolist())) > 1
+    for length in np.unique(cells):
+        own = np.flatnonzero(cells == length)
+        cols = np.flatnonzero((cells >= length) & (cells * num <= 2 * length * den))
+        own, cols = own[np.argsort(n[own], kind="stable")], cols[np.argsort(n[cols], kind="stable")]
+
+        def bits(at, length=length):
+            out = []
+            for i in at:
+                x = np.frombuffer(sketches[i], np.uint8)
+                while len(x) > length:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                out.append(x.tobytes())
+            return np.frombuffer(b"".join(out), np.uint64).reshape(len(at), -1)
+
+        left, right = bits(own), np.ascontiguousarray(bits(cols).T)
+        step = max(1, (1 << 20) // len(cols))
+        for a in range(0, len(own), step):
+            rows = own[a : a + step]
+            lo, hi = np.searchsorted(n[cols], [-(-n[rows[0]] * num // den), n[rows[-1]] * den // num + 1])
+            to = cols[lo:hi]
+            most = (n[rows][:, None] + n[to][None, :]) * (den - num) // (den + num)
+            differ = np.zeros(most.shape, np.int32)
+            for w in range(left.shape[1]):
+                differ += np.bitwise_count(left[a : a + step, w, None] ^ right[None, w, lo:hi])
+            keep = (differ <= most) & (np.abs(n[rows][:, None] - n[to][None, :]) <= most) & (rows[:, None] != to[None, :])
+            if apart:
+                keep &= side[rows][:, None] != side[to][None, :]
+            for r in np.flatnonzero(keep.any(1)):
+                i, partners = int(rows[r]), to[keep[r]]
+                others, first = np.unique(label[partners], return_index=True)
+                for other, j in zip(others.tolist(), partners[first].tolist(), strict=True):
+                    if other != label[i]:
+                        found.append((i, j))
+                        label[label == other] = label[i]
+    return found
+
+
+def _sifter(num: int, den: int, task: list[str]):
+    def one(rows):
+        node = np.array([r["node"] for r in rows])
+        pairs = _near([r["sketch"] for r in rows], np.array([r["n"] for r in rows]), np.array([r["side"] for r in rows]), num, den)
+        return pa.RecordBatch.from_arrays([pa.array([node[p[side]] for p in pairs], pa.int64()) for side in (0, 1)], ["a", "b"])
+
+    return _by_task(one, task)
+
+
+def _by_task(one, task: list[str]):
+    """``one`` over the rows of each task of two rows or more, which come together."""
+
+    def walk(batches):
         held, key = [], None
         for batch in batches:
             for row in batch.to_pylist():
@@ -296,20 +369,33 @@ def _verifier(k: int, num: int, den: int, task: list[str]):
         if len(held) > 1:
             yield one(held)
 
-    return verify
+    return walk
+
+
+def _taken_apart(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Members, those of clusters above CHUNK in the clusters that their sketches leave."""
+    large = cut(members.groupBy("cluster").count().where(F.col("count") > CHUNK).select("cluster"))
+    if large.isEmpty():
+        return members
+    chained = cut(members.join(large, "cluster"))
+    task = ["cluster", "s1", "c1", "s2", "c2"]
+    dealt = _tasks(chained, num, den, SKETCHES).join(chained.select("node", "n").join(sketches, "node"), "node").repartition(*task).sortWithinPartitions(*task, "node")
+    near = components(dealt.mapInArrow(_sifter(num, den, task), "a bigint, b bigint"))
+    rest = chained.drop("cluster").join(near.withColumnRenamed("component", "cluster"), "node")
+    return cut(members.join(large, "cluster", "left_anti").unionByName(rest))
 
 
-def _tasks(members: DataFrame, num: int, den: int) -> DataFrame:
+def _tasks(members: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataFrame:
     """(node, copies, task columns, side): members of clusters dealt so that each pair that can link meets in one task.
 
-    A cluster of up to CHUNK members is one task.  Larger ones are dealt by size
+    A cluster of up to ``chunk`` members is one task.  Larger ones are dealt by size
     (partners lie in the same size class or the next) and by hash within it.
     """
     size_class = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9).cast("int")
     sized = members.withColumn("s", size_class)
     counts = sized.groupBy("cluster", "s").agg(F.count("*").alias("m")).withColumn("all", F.sum("m").over(Window.partitionBy("cluster")))
     # cut, so that its joins are of plain exchanges and a large cluster's partition can be split
-    chunks = cut(counts.where(F.col("all") > CHUNK).select("cluster", "s", F.ceil(F.col("m") / CHUNK).cast("int").alias("c")))
+    chunks = cut(counts.where(F.col("all") > chunk).select("cluster", "s", F.ceil(F.col("m") / chunk).cast("int").alias("c")))
     small = sized.join(chunks.select("cluster"), "cluster", "left_anti").select(
         "node", "copies", "cluster", F.lit(-1).alias("s1"), F.lit(0).alias("c1"), F.lit(-1).alias("s2"), F.lit(0).alias("c2"), F.lit(0).alias("side")
     )
@@ -333,10 +419,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = text_bytes(docs, text_col)
     bits = max(LEAST_BITS, (-(-size // BUCKET_BYTES) - 1).bit_length())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
-    profile = cut(rows.mapInArrow(_profiler(shingle), "id bigint, t bigint, n bigint, h1 bigint, h2 bigint"))
+    profile = cut(rows.mapInArrow(_profiler(shingle), "id bigint, t bigint, n bigint, h1 bigint, h2 bigint, sketch binary"))
     digest = ["n", "h1", "h2"]
-    classes = profile.where("n > 0 and id is not null").groupBy(*digest).agg(F.min(F.struct("id", "t")).alias("first"), F.countDistinct("id").alias("copies"))
-    classes = classes.select(*digest, "copies", F.col("first.id").alias("least_id"), F.col("first.t").alias("t"))
+    classes = profile.where("n > 0 and id is not null").groupBy(*digest).agg(F.min(F.struct("id", "t", "sketch")).alias("first"), F.countDistinct("id").alias("copies"))
+    classes = classes.select(*digest, "copies", F.col("first.id").alias("least_id"), F.col("first.t").alias("t"), F.col("first.sketch").alias("sketch"))
     # an id that is the least of several classes names one of them; the others get numbers below all ids
     turn = F.row_number().over(Window.partitionBy("least_id").orderBy(*digest))
     named = F.when(turn == 1, F.col("least_id")).otherwise(-F.abs(F.xxhash64(*digest)) - (1 << 62))
@@ -353,6 +439,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = signed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint")
     clusters = components(met).withColumnRenamed("component", "cluster")
     members = cut(classes.select("node", "n", "copies").join(clusters, "node"))
+    members = _taken_apart(members, classes.select("node", "sketch"), num, den)
 
     task = ["cluster", "s1", "c1", "s2", "c2"]
     # the few tasks go to the texts by id and hash, which are dealt so already, and not the texts to the tasks by node

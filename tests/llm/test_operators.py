@@ -390,6 +390,63 @@ def test_jaccard(spark, k, num, den):
     assert jaccard_join.jaccard_links(docs(spark, [])).count() == 0
 
 
+def test_sketches_join_all_that_link():
+    """All links lie within what pairs by sketches join; sets that share nothing stay apart."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for num, den in ((4, 5), (85, 100), (3, 10)):
+        for case in range(20):
+            sets = []
+            for _ in range(10):
+                base = draw(int(rng.integers(1, 300)))
+                sets += [np.unique(np.concatenate([base[rng.random(len(base)) > rng.random() * 0.3], draw(int(rng.integers(1, 20)))])) for _ in range(int(rng.integers(1, 6)))]
+            n, side = np.array([len(s) for s in sets]), rng.integers(1, 3, len(sets)) if case % 2 else np.zeros(len(sets), int)
+            common = jaccard_join.intersections(sets)
+            linked = (common > 0) & (den * common >= num * (n[:, None] + n[None, :] - common)) & ~np.eye(len(n), dtype=bool)
+            linked &= (side[:, None] != side[None, :]) | (case % 2 == 0)
+            label = np.arange(len(n))
+            for i, j in jaccard_join._near([jaccard_join.sketch(s) for s in sets], n, side, num, den):
+                label[label == label[i]] = label[j]
+            assert all(label[i] == label[j] for i, j in np.argwhere(linked))
+    apart = [np.unique(draw(int(k))) for k in rng.integers(100, 140, 300)]
+    assert not jaccard_join._near([jaccard_join.sketch(s) for s in apart], np.array([len(s) for s in apart]), np.zeros(300, int), 4, 5)
+
+
+def test_chained_texts_are_not_dealt_together(spark, monkeypatch):
+    """Texts that meet by chance, chained to one cluster, are sent once and not to a task for each CHUNK of them; near copies among them link."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    monkeypatch.setattr(jaccard_join, "SKETCHES", 32)
+    rng, dealt, deal = np.random.default_rng(5), [], jaccard_join._tasks
+
+    def counted(members, num, den, chunk=8):
+        made = deal(members, num, den, chunk)
+        if chunk == 8:
+            dealt.append((members.count(), made.count()))
+        return made
+
+    monkeypatch.setattr(jaccard_join, "_tasks", counted)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, n))
+    rows, last = [], [word(30) for _ in range(3)]
+    for i in range(200):  # each text has half of the one before it
+        last = [last[1], last[2], word(30)]
+        rows.append((i, " ".join(last)))
+    rows += [(1_000 + i, t + " " + word(2)) for i, t in rows[:150:10]]
+    whole, once = graph.components, []
+
+    def chained(links, *a):
+        if once:
+            return whole(links, *a)
+        once.append(True)  # as if all had met
+        nodes = whole(links, *a).select("node")
+        every = spark.createDataFrame([(i,) for i, _ in rows], "node bigint")
+        return every.unionByName(nodes).distinct().withColumn("component", F.lit(0).cast("long"))
+
+    monkeypatch.setattr(jaccard_join, "components", chained)
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (1, i) if i < 150 and i % 10 == 0 else (1, i - 1_000) if i >= 1_000 else (0, i) for i, _ in rows}
+    assert len(dealt) == 1 and dealt[0][1] <= 2 * 15 + 20
+
+
 def test_jaccard_large_cluster(spark, monkeypatch):
     """Clusters above a chunk are dealt in pairs of chunks and lose no link."""
     monkeypatch.setattr(jaccard_join, "CHUNK", 8)
